@@ -2,16 +2,18 @@
 
 A geometry is ``STRUCT<type STRING, srid INT, rings ARRAY<ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>>``:
 a point is one ring of one vertex, a line one ring, a polygon an outer ring followed by its
-holes. Predicates are built from higher-order array functions, so they run in the JVM and
-need no Python worker. Arithmetic is plain double precision.
+holes. Predicates are SQL expressions over higher-order array functions, so they run in the
+JVM and need no Python worker. Arithmetic is plain double precision.
+
+Every function exists as a column function here and, after ``register(spark)``, as a SQL
+function of the same name (``pg_st_setsrid`` for ``st_setsrid``).
 """
 
 from __future__ import annotations
 
-import json
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 GEOMETRY_TYPE = "struct<type:string,srid:int,rings:array<array<struct<x:double,y:double>>>>"
 WGS84 = 4326
@@ -19,340 +21,369 @@ WEB_MERCATOR = 3857
 EARTH_RADIUS = 6378137.0
 
 
-# --- constructors and accessors -----------------------------------------------------
+# --- SQL text of the building blocks ------------------------------------------------
+# Lambda variable names are unique along every nesting path.
 
 
-def _vertex(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+def _first(g: str) -> str:
+    return f"get(get({g}.rings, 0), 0)"
 
 
-def _geometry(kind: Column, srid: Column, rings: Column) -> Column:
-    return F.struct(kind.alias("type"), srid.cast("int").alias("srid"), rings.alias("rings"))
+def _bound(g: str, axis: str, pick: str) -> str:
+    return (
+        f"CASE WHEN {g}.type = 'Point' THEN {_first(g)}.{axis} "
+        f"ELSE {pick}(transform(flatten({g}.rings), v -> v.{axis})) END"
+    )
 
 
-def st_point(x: Column, y: Column, srid: int = 0) -> Column:
-    point = _geometry(F.lit("Point"), F.lit(srid), F.array(F.array(_vertex(x, y))))
-    return F.when(x.isNotNull() & y.isNotNull(), point)
+def _edges(rings: str) -> str:
+    """All segments of all rings; a lone vertex gives one degenerate segment."""
+    ends = "'ax', get(r, i - 1).x, 'ay', get(r, i - 1).y, 'bx', get(r, least(i, size(r) - 1)).x, 'by', get(r, least(i, size(r) - 1)).y"
+    return f"flatten(transform({rings}, r -> transform(sequence(1, greatest(size(r) - 1, 1)), i -> named_struct({ends}))))"
 
 
-def st_setsrid(geom: Column, srid: int) -> Column:
-    return geom.withField("srid", F.lit(srid).cast("int"))
+def _side(e: str, px: str, py: str) -> str:
+    return f"(({e}.bx - {e}.ax) * ({py} - {e}.ay) - ({e}.by - {e}.ay) * ({px} - {e}.ax))"
 
 
-def st_geomfromgeojson(text: Column, srid: int = WGS84) -> Column:
-    """GeoJSON ``Point``, ``LineString`` or ``Polygon`` text; NULL for anything else."""
-    kind = F.get_json_object(text, "$.type")
-    coords = F.get_json_object(text, "$.coordinates")
-    pair = lambda p: _vertex(F.get(p, F.lit(0)), F.get(p, F.lit(1)))
-    rings = (
-        F.when(kind == "Point", F.array(F.array(pair(F.from_json(coords, "array<double>")))))
-        .when(kind == "LineString", F.array(F.transform(F.from_json(coords, "array<array<double>>"), pair)))
-        .when(
-            kind == "Polygon",
-            F.transform(F.from_json(coords, "array<array<array<double>>>"), lambda r: F.transform(r, pair)),
-        )
+def _on_segment(px: str, py: str, e: str) -> str:
+    return (
+        f"({px} BETWEEN least({e}.ax, {e}.bx) AND greatest({e}.ax, {e}.bx) AND "
+        f"{py} BETWEEN least({e}.ay, {e}.by) AND greatest({e}.ay, {e}.by) AND {_side(e, px, py)} = 0)"
     )
-    return F.when(rings.isNotNull(), _geometry(kind, F.lit(srid), rings))
 
 
-def st_asgeojson(geom: Column) -> Column:
-    """GeoJSON text of a geometry column."""
-    pairs = F.transform(geom["rings"], lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"])))
-    first = F.get(pairs, F.lit(0))
+def _on_boundary(px: str, py: str, edges: str) -> str:
+    return f"exists({edges}, ob -> {_on_segment(px, py, 'ob')})"
 
-    def doc(coordinates: Column) -> Column:
-        return F.to_json(F.struct(geom["type"].alias("type"), coordinates.alias("coordinates")))
 
-    return (
-        F.when(geom["type"] == "Point", doc(F.get(first, F.lit(0))))
-        .when(geom["type"] == "LineString", doc(first))
-        .when(geom["type"] == "Polygon", doc(pairs))
+def _inside(px: str, py: str, edges: str) -> str:
+    """Even-odd rule over every ring, so holes count as outside."""
+    crossing = (
+        f"CASE WHEN (ip.ay > {py}) != (ip.by > {py}) "
+        f"THEN {px} < (ip.bx - ip.ax) * ({py} - ip.ay) / (ip.by - ip.ay) + ip.ax ELSE false END"
     )
+    return f"aggregate({edges}, false, (odd, ip) -> odd != ({crossing}))"
 
 
-def polygon(rings: list[list[tuple[float, float]]], srid: int = WGS84) -> Column:
-    """Polygon constant from closed rings of ``(x, y)`` pairs."""
-    text = json.dumps({"type": "Polygon", "coordinates": [[list(v) for v in ring] for ring in rings]})
-    return st_geomfromgeojson(F.lit(text), srid)
+def _meet(e: str, f: str) -> str:
+    ends_on = " OR ".join(
+        [
+            _on_segment(f"{f}.ax", f"{f}.ay", e),
+            _on_segment(f"{f}.bx", f"{f}.by", e),
+            _on_segment(f"{e}.ax", f"{e}.ay", f),
+            _on_segment(f"{e}.bx", f"{e}.by", f),
+        ]
+    )
+    cross = (
+        f"signum({_side(e, f'{f}.ax', f'{f}.ay')}) * signum({_side(e, f'{f}.bx', f'{f}.by')}) < 0 AND "
+        f"signum({_side(f, f'{e}.ax', f'{e}.ay')}) * signum({_side(f, f'{e}.bx', f'{e}.by')}) < 0"
+    )
+    return f"(({cross}) OR {ends_on})"
 
 
-def st_makebox(xmin: Column, ymin: Column, xmax: Column, ymax: Column, srid: int = WGS84) -> Column:
-    """Axis-aligned rectangle polygon from its corners."""
-    ring = F.array(
-        _vertex(xmin, ymin), _vertex(xmax, ymin), _vertex(xmax, ymax), _vertex(xmin, ymax), _vertex(xmin, ymin)
+def _let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once per row and use it as ``name`` inside ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _overlap(a: str, b: str) -> str:
+    return " AND ".join(
+        [
+            f"{_bound(a, 'x', 'array_min')} <= {_bound(b, 'x', 'array_max')}",
+            f"{_bound(a, 'x', 'array_max')} >= {_bound(b, 'x', 'array_min')}",
+            f"{_bound(a, 'y', 'array_min')} <= {_bound(b, 'y', 'array_max')}",
+            f"{_bound(a, 'y', 'array_max')} >= {_bound(b, 'y', 'array_min')}",
+        ]
     )
-    return _geometry(F.lit("Polygon"), F.lit(srid), F.array(ring))
 
 
-def _coordinates(geom: Column, axis: str) -> Column:
-    return F.transform(F.flatten(geom["rings"]), lambda v: v[axis])
+# --- SQL text of the predicates over s.a and s.b ------------------------------------
 
 
-def st_xmin(geom: Column) -> Column:
-    return F.array_min(_coordinates(geom, "x"))
+def _point_meets(point: str, other: str) -> str:
+    px, py = f"{_first(point)}.x", f"{_first(point)}.y"
+    body = f"exists(array(named_struct('x', {px}, 'y', {py})), p -> {_on_boundary('p.x', 'p.y', 'es')} OR ({other}.type = 'Polygon' AND {_inside('p.x', 'p.y', 'es')}))"
+    return _let(_edges(f"{other}.rings"), "es", body)
 
 
-def st_xmax(geom: Column) -> Column:
-    return F.array_max(_coordinates(geom, "x"))
+def _intersects_sql(a: str, b: str) -> str:
+    general = _let(
+        f"named_struct('a', {_edges(f'{a}.rings')}, 'b', {_edges(f'{b}.rings')})",
+        "g",
+        f"exists(g.a, e -> exists(g.b, f -> {_meet('e', 'f')}))"
+        f" OR ({b}.type = 'Polygon' AND {_inside(f'{_first(a)}.x', f'{_first(a)}.y', 'g.b')})"
+        f" OR ({a}.type = 'Polygon' AND {_inside(f'{_first(b)}.x', f'{_first(b)}.y', 'g.a')})",
+    )
+    return (
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' THEN {_point_meets(a, b)} "
+        f"WHEN {b}.type = 'Point' THEN {_point_meets(b, a)} WHEN {_overlap(a, b)} THEN {general} ELSE false END"
+    )
 
 
-def st_ymin(geom: Column) -> Column:
-    return F.array_min(_coordinates(geom, "y"))
+def _point_within(a: str, b: str) -> str:
+    last = f"element_at(get({b}.rings, 0), -1)"
+    same = lambda q, r: f"({q}.x = {r}.x AND {q}.y = {r}.y)"
+    is_end = f"(NOT {same(_first(b), last)} AND ({same('p', _first(b))} OR {same('p', last)}))"
+    area = _let(_edges(f"{b}.rings"), "es", f"NOT {_on_boundary('p.x', 'p.y', 'es')} AND {_inside('p.x', 'p.y', 'es')}")
+    body = (
+        f"CASE WHEN {b}.type = 'Point' THEN {same('p', _first(b))} "
+        f"WHEN {b}.type = 'LineString' THEN NOT {is_end} AND {_on_boundary('p.x', 'p.y', _edges(f'{b}.rings'))} ELSE {area} END"
+    )
+    return _let(_first(a), "p", body)
 
 
-def st_ymax(geom: Column) -> Column:
-    return F.array_max(_coordinates(geom, "y"))
+def _cuts(e: str, f: str) -> str:
+    """Positions along ``e`` where segment ``f`` crosses it or ends on it."""
+    dx, dy, gx, gy = f"({e}.bx - {e}.ax)", f"({e}.by - {e}.ay)", f"({f}.bx - {f}.ax)", f"({f}.by - {f}.ay)"
+    det, length2 = f"({dx} * {gy} - {dy} * {gx})", f"({dx} * {dx} + {dy} * {dy})"
+    along = lambda x, y: f"(({x} - {e}.ax) * {dx} + ({y} - {e}.ay) * {dy}) / {length2}"
+    return (
+        f"CASE WHEN {det} != 0 THEN array((({f}.ax - {e}.ax) * {gy} - ({f}.ay - {e}.ay) * {gx}) / {det}) "
+        f"WHEN {length2} != 0 THEN array({along(f'{f}.ax', f'{f}.ay')}, {along(f'{f}.bx', f'{f}.by')}) "
+        "ELSE CAST(array() AS array<double>) END"
+    )
 
 
-def st_extent(geom: Column) -> Column:
-    """Aggregate bounding box; NULL over no geometries."""
-    box = F.struct(
-        F.min(st_xmin(geom)).alias("xmin"),
-        F.min(st_ymin(geom)).alias("ymin"),
-        F.max(st_xmax(geom)).alias("xmax"),
-        F.max(st_ymax(geom)).alias("ymax"),
+def _piece_middles(e: str, edges: str) -> str:
+    """Midpoints of the pieces of ``e`` after cutting it at every segment of ``edges``."""
+    cuts = f"filter(flatten(transform({edges}, cf -> {_cuts(e, 'cf')})), t -> t > 0 AND t < 1)"
+    marks = f"array_sort(array_distinct(concat(array(0D, 1D), {cuts})))"
+    at = lambda axis: f"{e}.a{axis} + ({e}.b{axis} - {e}.a{axis}) * (get(m, k - 1) + get(m, k)) / 2"
+    middles = f"transform(sequence(1, size(m) - 1), k -> named_struct('x', {at('x')}, 'y', {at('y')}))"
+    return _let(marks, "m", middles)
+
+
+def _pieces_within(a: str, b: str) -> str:
+    """Lines and polygons: every piece of ``a`` between crossings with ``b`` lies in ``b``."""
+    holes = f"slice({b}.rings, 2, greatest(size({b}.rings) - 1, 0))"
+    strict = lambda x, y, es: f"(NOT {_on_boundary(x, y, es)} AND {_inside(x, y, es)})"
+    covered = f"forall(mid, q -> {_on_boundary('q.x', 'q.y', 'g.b')} OR {_inside('q.x', 'q.y', 'g.b')})"
+    reaches = f"exists(mid, q -> {strict('q.x', 'q.y', 'g.b')})"
+    on_line = f"forall(mid, q -> {_on_boundary('q.x', 'q.y', 'g.b')})"
+    hole_in_a = (
+        f"exists({_edges(holes)}, h -> {strict('h.ax', 'h.ay', 'g.a')} "
+        f"OR {strict('((h.ax + h.bx) / 2)', '((h.ay + h.by) / 2)', 'g.a')})"
+    )
+    judged = (
+        f"CASE WHEN {a}.type = 'LineString' AND {b}.type = 'Polygon' THEN {covered} AND {reaches} "
+        f"WHEN {a}.type = 'LineString' THEN {on_line} "
+        f"WHEN {b}.type = 'Polygon' THEN {covered} AND NOT {hole_in_a} ELSE false END"
+    )
+    middles = f"flatten(transform(g.a, e -> {_piece_middles('e', 'g.b')}))"
+    return _let(
+        f"named_struct('a', {_edges(f'{a}.rings')}, 'b', {_edges(f'{b}.rings')})", "g", _let(middles, "mid", judged)
     )
-    return F.when(F.count(geom) > 0, box)
 
 
-# --- segment helpers ----------------------------------------------------------------
+def _within_sql(a: str, b: str) -> str:
+    return (
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' THEN {_point_within(a, b)} "
+        f"WHEN {b}.type = 'Point' THEN false WHEN {_overlap(a, b)} THEN {_pieces_within(a, b)} ELSE false END"
+    )
 
 
-def _edges(geom: Column) -> Column:
-    """All segments of all rings; a lone vertex gives one degenerate segment."""
+def _segment_distance2(px: str, py: str, e: str) -> str:
+    dx, dy = f"({e}.bx - {e}.ax)", f"({e}.by - {e}.ay)"
+    length2 = f"({dx} * {dx} + {dy} * {dy})"
+    t = f"greatest(0D, least(1D, (({px} - {e}.ax) * {dx} + ({py} - {e}.ay) * {dy}) / {length2}))"
+    position = f"CASE WHEN {length2} = 0 THEN 0D ELSE {t} END"
+    square = f"pow({px} - ({e}.ax + u * {dx}), 2) + pow({py} - ({e}.ay + u * {dy}), 2)"
+    return _let(position, "u", square)
 
-    def of_ring(ring: Column) -> Column:
-        last = F.size(ring) - 1
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-            lambda i: F.struct(
-                F.get(ring, i - 1)["x"].alias("ax"),
-                F.get(ring, i - 1)["y"].alias("ay"),
-                F.get(ring, F.least(i, last))["x"].alias("bx"),
-                F.get(ring, F.least(i, last))["y"].alias("by"),
-            ),
-        )
 
-    return F.flatten(F.transform(geom["rings"], of_ring))
+def _point_distance(point: str, other: str) -> str:
+    nearest = f"sqrt(array_min(transform(es, e -> {_segment_distance2('p.x', 'p.y', 'e')})))"
+    body = f"CASE WHEN {other}.type = 'Polygon' AND {_inside('p.x', 'p.y', 'es')} THEN 0D ELSE {nearest} END"
+    return _let(_first(point), "p", _let(_edges(f"{other}.rings"), "es", body))
 
 
-def _side(ax, ay, bx, by, px, py) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def _distance_sql(a: str, b: str) -> str:
+    pair = ", ".join(
+        [
+            _segment_distance2("f.ax", "f.ay", "e"),
+            _segment_distance2("f.bx", "f.by", "e"),
+            _segment_distance2("e.ax", "e.ay", "f"),
+            _segment_distance2("e.bx", "e.by", "f"),
+        ]
+    )
+    general = _let(
+        f"named_struct('a', {_edges(f'{a}.rings')}, 'b', {_edges(f'{b}.rings')})",
+        "g",
+        f"sqrt(array_min(transform(g.a, e -> array_min(transform(g.b, f -> least({pair}))))))",
+    )
+    points = f"sqrt(pow({_first(a)}.x - {_first(b)}.x, 2) + pow({_first(a)}.y - {_first(b)}.y, 2))"
+    return (
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' AND {b}.type = 'Point' THEN {points} "
+        f"WHEN {a}.type = 'Point' THEN {_point_distance(a, b)} WHEN {b}.type = 'Point' THEN {_point_distance(b, a)} "
+        f"WHEN {_intersects_sql(a, b)} THEN 0D ELSE {general} END"
+    )
 
 
-def _on_segment(px, py, e) -> Column:
+def _transform_sql(g: str, srid: str) -> str:
+    radius, quarter, half = f"{EARTH_RADIUS}D", f"{math.pi / 4!r}D", f"{math.pi / 2!r}D"
+    moved = lambda x, y: f"transform({g}.rings, r -> transform(r, v -> named_struct('x', {x}, 'y', {y})))"
+    forward = moved(f"radians(v.x) * {radius}", f"ln(tan({quarter} + radians(v.y) / 2)) * {radius}")
+    backward = moved(f"degrees(v.x / {radius})", f"degrees(atan(exp(v.y / {radius})) * 2 - {half})")
+    built = lambda rings: f"named_struct('type', {g}.type, 'srid', CAST({srid} AS int), 'rings', {rings})"
     return (
-        (_side(e["ax"], e["ay"], e["bx"], e["by"], px, py) == 0)
-        & px.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"]))
-        & py.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+        f"CASE WHEN {g} IS NULL THEN NULL WHEN {g}.srid = {srid} THEN {g} "
+        f"WHEN {g}.srid = {WGS84} AND {srid} = {WEB_MERCATOR} THEN {built(forward)} "
+        f"WHEN {g}.srid = {WEB_MERCATOR} AND {srid} = {WGS84} THEN {built(backward)} "
+        f"ELSE CAST(raise_error('unsupported reprojection ' || {g}.srid || ' -> ' || {srid}) AS {GEOMETRY_TYPE}) END"
     )
 
 
-def _on_boundary(px, py, edges) -> Column:
-    return F.exists(edges, lambda e: _on_segment(px, py, e))
+def _from_geojson_sql(text: str, srid: int) -> str:
+    coords = f"get_json_object({text}, '$.coordinates')"
+    kind = f"get_json_object({text}, '$.type')"
+    pair = lambda p: f"named_struct('x', CAST(get({p}, 0) AS double), 'y', CAST(get({p}, 1) AS double))"
+    rings = (
+        f"CASE {kind} WHEN 'Point' THEN array(array({pair(f'''from_json({coords}, 'array<double>')''')})) "
+        f"WHEN 'LineString' THEN array(transform(from_json({coords}, 'array<array<double>>'), p -> {pair('p')})) "
+        f"WHEN 'Polygon' THEN transform(from_json({coords}, 'array<array<array<double>>>'), r -> transform(r, p -> {pair('p')})) END"
+    )
+    return _let(rings, "rs", f"CASE WHEN rs IS NOT NULL THEN named_struct('type', {kind}, 'srid', {srid}, 'rings', rs) END")
 
 
-def _inside_parity(px, py, edges) -> Column:
-    """Even-odd rule over every ring, so holes count as outside."""
+def _as_geojson_sql(g: str) -> str:
+    pairs = f"transform({g}.rings, r -> transform(r, v -> array(v.x, v.y)))"
+    doc = lambda c: f"to_json(named_struct('type', {g}.type, 'coordinates', {c}))"
+    return _let(
+        pairs,
+        "ps",
+        f"CASE {g}.type WHEN 'Point' THEN {doc('get(get(ps, 0), 0)')} WHEN 'LineString' THEN {doc('get(ps, 0)')} "
+        f"WHEN 'Polygon' THEN {doc('ps')} END",
+    )
 
-    def crosses(e: Column) -> Column:
-        straddles = (e["ay"] > py) != (e["by"] > py)
-        return F.when(
-            straddles,
-            F.when(px < (e["bx"] - e["ax"]) * (py - e["ay"]) / (e["by"] - e["ay"]) + e["ax"], 1).otherwise(0),
-        ).otherwise(0)
 
-    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1
+# --- column functions ---------------------------------------------------------------
 
 
-def _segments_meet(e, f) -> Column:
-    s1 = F.signum(_side(e["ax"], e["ay"], e["bx"], e["by"], f["ax"], f["ay"]))
-    s2 = F.signum(_side(e["ax"], e["ay"], e["bx"], e["by"], f["bx"], f["by"]))
-    s3 = F.signum(_side(f["ax"], f["ay"], f["bx"], f["by"], e["ax"], e["ay"]))
-    s4 = F.signum(_side(f["ax"], f["ay"], f["bx"], f["by"], e["bx"], e["by"]))
-    return (
-        ((s1 * s2 < 0) & (s3 * s4 < 0))
-        | _on_segment(f["ax"], f["ay"], e)
-        | _on_segment(f["bx"], f["by"], e)
-        | _on_segment(e["ax"], e["ay"], f)
-        | _on_segment(e["bx"], e["by"], f)
-    )
+def _bind(text: str, **columns: Column) -> Column:
+    """Evaluate the columns once per row into ``s`` and compute ``text`` over it."""
+    bound = F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))
+    return F.get(F.call_function("transform", bound, F.expr(f"s -> {text}")), F.lit(0))
 
 
-def _first(geom: Column) -> Column:
-    return F.get(F.get(geom["rings"], F.lit(0)), F.lit(0))
+def _vertex(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def _is(geom: Column, kind: str) -> Column:
-    return geom["type"] == kind
+def _geometry(kind: str, srid: int, rings: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), F.lit(srid).cast("int").alias("srid"), rings.alias("rings"))
 
 
-def bbox_overlap(a: Column, b: Column) -> Column:
-    return (
-        (st_xmin(a) <= st_xmax(b))
-        & (st_xmax(a) >= st_xmin(b))
-        & (st_ymin(a) <= st_ymax(b))
-        & (st_ymax(a) >= st_ymin(b))
-    )
+def st_point(x: Column, y: Column, srid: int = 0) -> Column:
+    return F.when(x.isNotNull() & y.isNotNull(), _geometry("Point", srid, F.array(F.array(_vertex(x, y)))))
 
 
-# --- predicates ---------------------------------------------------------------------
+def st_makebox(xmin: Column, ymin: Column, xmax: Column, ymax: Column, srid: int = WGS84) -> Column:
+    """Axis-aligned rectangle polygon from its corners."""
+    corners = ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin))
+    return _geometry("Polygon", srid, F.array(F.array(*[_vertex(x, y) for x, y in corners])))
 
 
-def st_intersects(a: Column, b: Column) -> Column:
-    """The geometries share at least one point; touching boundaries count."""
-    ea, eb = _edges(a), _edges(b)
-    fa, fb = _first(a), _first(b)
-    exact = (
-        F.exists(ea, lambda e: F.exists(eb, lambda f: _segments_meet(e, f)))
-        | (_is(b, "Polygon") & _inside_parity(fa["x"], fa["y"], eb))
-        | (_is(a, "Polygon") & _inside_parity(fb["x"], fb["y"], ea))
-    )
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(bbox_overlap(a, b), exact).otherwise(F.lit(False)))
+def polygon(rings: list[list[tuple[float, float]]], srid: int = WGS84) -> Column:
+    """Polygon constant from closed rings of ``(x, y)`` pairs; the optimizer folds it to a literal."""
+    listed = [F.array(*[_vertex(F.lit(float(x)), F.lit(float(y))) for x, y in ring]) for ring in rings]
+    return _geometry("Polygon", srid, F.array(*listed))
 
 
-def _cut_parameters(e, f) -> Column:
-    """Positions along ``e`` where segment ``f`` crosses it or ends on it."""
-    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-    gx, gy = f["bx"] - f["ax"], f["by"] - f["ay"]
-    det = dx * gy - dy * gx
-    length2 = dx * dx + dy * dy
-    along = lambda x, y: ((x - e["ax"]) * dx + (y - e["ay"]) * dy) / length2
-    return F.when(
-        det != 0, F.array(((f["ax"] - e["ax"]) * gy - (f["ay"] - e["ay"]) * gx) / det)
-    ).otherwise(
-        F.when(length2 != 0, F.array(along(f["ax"], f["ay"]), along(f["bx"], f["by"]))).otherwise(
-            F.array().cast("array<double>")
-        )
-    )
+def st_geomfromgeojson(text: Column, srid: int = WGS84) -> Column:
+    """GeoJSON ``Point``, ``LineString`` or ``Polygon`` text; NULL for anything else."""
+    return _bind(_from_geojson_sql("s.j", srid), j=text)
 
 
-def _piece_middles(e, edges) -> Column:
-    """Midpoints of the pieces of ``e`` after cutting it at every segment of ``edges``."""
-    cuts = F.filter(F.flatten(F.transform(edges, lambda f: _cut_parameters(e, f))), lambda t: (t > 0) & (t < 1))
-    marks = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
-    return F.transform(
-        F.sequence(F.lit(1), F.size(marks) - 1),
-        lambda i: F.struct(
-            (e["ax"] + (e["bx"] - e["ax"]) * (F.get(marks, i - 1) + F.get(marks, i)) / 2).alias("x"),
-            (e["ay"] + (e["by"] - e["ay"]) * (F.get(marks, i - 1) + F.get(marks, i)) / 2).alias("y"),
-        ),
-    )
+def st_asgeojson(geom: Column) -> Column:
+    """GeoJSON text of a geometry column."""
+    return _bind(_as_geojson_sql("s.g"), g=geom)
 
 
-def st_within(a: Column, b: Column) -> Column:
-    """``a`` lies in ``b`` and their interiors meet; lying only on the boundary does not count."""
-    ea, eb = _edges(a), _edges(b)
-    pa, pb = _first(a), _first(b)
-    line_b = F.get(b["rings"], F.lit(0))
-    last_b = F.element_at(line_b, -1)
-    same = lambda p, q: (p["x"] == q["x"]) & (p["y"] == q["y"])
-    open_ended = ~same(pb, last_b)
-    point_within = (
-        F.when(_is(b, "Point"), same(pa, pb))
-        .when(
-            _is(b, "LineString"),
-            _on_boundary(pa["x"], pa["y"], eb) & ~(open_ended & (same(pa, pb) | same(pa, last_b))),
-        )
-        .otherwise(~_on_boundary(pa["x"], pa["y"], eb) & _inside_parity(pa["x"], pa["y"], eb))
-    )
+def st_setsrid(geom: Column, srid: int) -> Column:
+    return geom.withField("srid", F.lit(srid).cast("int"))
 
-    middles = F.flatten(F.transform(ea, lambda e: _piece_middles(e, eb)))
-    covered = F.forall(
-        middles, lambda m: _on_boundary(m["x"], m["y"], eb) | _inside_parity(m["x"], m["y"], eb)
-    )
-    reaches_inside = F.exists(
-        middles, lambda m: ~_on_boundary(m["x"], m["y"], eb) & _inside_parity(m["x"], m["y"], eb)
-    )
-    on_line = F.forall(middles, lambda m: _on_boundary(m["x"], m["y"], eb))
-    holes = F.slice(b["rings"], F.lit(2), F.greatest(F.size(b["rings"]) - 1, F.lit(0)))
-    strictly_in_a = lambda x, y: ~_on_boundary(x, y, ea) & _inside_parity(x, y, ea)
-    hole_edges = _edges(b.withField("rings", holes))
-    hole_in_a = F.exists(
-        hole_edges,
-        lambda e: strictly_in_a(e["ax"], e["ay"])
-        | strictly_in_a((e["ax"] + e["bx"]) / 2, (e["ay"] + e["by"]) / 2),
-    )
-    exact = (
-        F.when(_is(a, "Point"), point_within)
-        .when(_is(a, "LineString") & _is(b, "Polygon"), covered & reaches_inside)
-        .when(_is(a, "LineString") & _is(b, "LineString"), on_line)
-        .when(_is(a, "Polygon") & _is(b, "Polygon"), covered & ~hole_in_a)
-        .otherwise(F.lit(False))
-    )
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(bbox_overlap(a, b), exact).otherwise(F.lit(False)))
 
+def st_xmin(geom: Column) -> Column:
+    return _bind(_bound("s.g", "x", "array_min"), g=geom)
+
+
+def st_xmax(geom: Column) -> Column:
+    return _bind(_bound("s.g", "x", "array_max"), g=geom)
 
-def st_contains(a: Column, b: Column) -> Column:
-    return st_within(b, a)
 
+def st_ymin(geom: Column) -> Column:
+    return _bind(_bound("s.g", "y", "array_min"), g=geom)
 
-# --- measures -----------------------------------------------------------------------
 
+def st_ymax(geom: Column) -> Column:
+    return _bind(_bound("s.g", "y", "array_max"), g=geom)
 
-def _point_segment2(px, py, e) -> Column:
-    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-    length2 = dx * dx + dy * dy
-    t = F.when(length2 == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - e["ax"]) * dx + (py - e["ay"]) * dy) / length2))
+
+def st_extent(geom: Column) -> Column:
+    """Aggregate bounding box; NULL over no geometries."""
+    box = F.struct(
+        F.min(st_xmin(geom)).alias("xmin"),
+        F.min(st_ymin(geom)).alias("ymin"),
+        F.max(st_xmax(geom)).alias("xmax"),
+        F.max(st_ymax(geom)).alias("ymax"),
     )
-    ox, oy = px - (e["ax"] + t * dx), py - (e["ay"] + t * dy)
-    return ox * ox + oy * oy
+    return F.when(F.count(geom) > 0, box)
+
+
+def st_intersects(a: Column, b: Column) -> Column:
+    """The geometries share at least one point; touching boundaries count."""
+    return _bind(_intersects_sql("s.a", "s.b"), a=a, b=b)
+
+
+def st_within(a: Column, b: Column) -> Column:
+    """``a`` lies in ``b`` and their interiors meet; lying only on the boundary does not count."""
+    return _bind(_within_sql("s.a", "s.b"), a=a, b=b)
+
+
+def st_contains(a: Column, b: Column) -> Column:
+    return st_within(b, a)
 
 
 def st_distance(a: Column, b: Column) -> Column:
     """Planar distance; zero when the geometries intersect."""
-    ea, eb = _edges(a), _edges(b)
-    pa, pb = _first(a), _first(b)
-    both_points = _is(a, "Point") & _is(b, "Point")
-    dx, dy = pa["x"] - pb["x"], pa["y"] - pb["y"]
-    nearest = F.array_min(
-        F.flatten(
-            F.transform(
-                ea,
-                lambda e: F.transform(
-                    eb,
-                    lambda f: F.least(
-                        _point_segment2(f["ax"], f["ay"], e),
-                        _point_segment2(f["bx"], f["by"], e),
-                        _point_segment2(e["ax"], e["ay"], f),
-                        _point_segment2(e["bx"], e["by"], f),
-                    ),
-                ),
-            )
-        )
-    )
-    return (
-        F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-        .when(both_points, F.sqrt(dx * dx + dy * dy))
-        .when(st_intersects(a, b), F.lit(0.0))
-        .otherwise(F.sqrt(nearest))
-    )
+    return _bind(_distance_sql("s.a", "s.b"), a=a, b=b)
 
 
 def st_transform(geom: Column, srid: int) -> Column:
     """Reproject between WGS 84 (4326) and Web Mercator (3857); other systems raise."""
     if srid not in (WGS84, WEB_MERCATOR):
         raise ValueError(f"unsupported target SRID {srid}")
-    half = math.pi / 4
-
-    def forward(v: Column) -> Column:
-        return _vertex(
-            F.radians(v["x"]) * EARTH_RADIUS,
-            F.log(F.tan(F.lit(half) + F.radians(v["y"]) / 2)) * EARTH_RADIUS,
-        )
-
-    def backward(v: Column) -> Column:
-        return _vertex(
-            F.degrees(v["x"] / EARTH_RADIUS),
-            F.degrees(F.atan(F.exp(v["y"] / EARTH_RADIUS)) * 2 - math.pi / 2),
-        )
-
-    source, step = (WGS84, forward) if srid == WEB_MERCATOR else (WEB_MERCATOR, backward)
-    moved = F.transform(geom["rings"], lambda ring: F.transform(ring, step))
-    refused = F.raise_error(F.concat(F.lit("unsupported source SRID "), geom["srid"].cast("string")))
-    return (
-        F.when(geom["srid"] == srid, geom)
-        .when(geom["srid"] == source, _geometry(geom["type"], F.lit(srid), moved))
-        .when(geom.isNotNull(), refused.cast(GEOMETRY_TYPE))
-    )
+    return _bind(_transform_sql("s.g", str(srid)), g=geom)
+
+
+# --- SQL functions ------------------------------------------------------------------
+
+
+def register(spark: SparkSession) -> None:
+    """Create the geometry functions as temporary SQL functions of the session."""
+    g, two = f"g {GEOMETRY_TYPE}", f"a {GEOMETRY_TYPE}, b {GEOMETRY_TYPE}"
+    vertex = "named_struct('x', x, 'y', y)"
+    point = f"named_struct('type', 'Point', 'srid', 0, 'rings', array(array({vertex})))"
+    definitions = {
+        "st_point": ("x double, y double", GEOMETRY_TYPE, f"CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN {point} END"),
+        # Spark keeps ``st_setsrid`` for its own geometry type, so the SQL name carries a prefix.
+        "pg_st_setsrid": (
+            f"{g}, srid int",
+            GEOMETRY_TYPE,
+            "CASE WHEN g IS NOT NULL THEN named_struct('type', g.type, 'srid', srid, 'rings', g.rings) END",
+        ),
+        "st_geomfromgeojson": ("j string", GEOMETRY_TYPE, _from_geojson_sql("j", WGS84)),
+        "st_asgeojson": (g, "string", _as_geojson_sql("g")),
+        "st_xmin": (g, "double", _bound("g", "x", "array_min")),
+        "st_ymin": (g, "double", _bound("g", "y", "array_min")),
+        "st_xmax": (g, "double", _bound("g", "x", "array_max")),
+        "st_ymax": (g, "double", _bound("g", "y", "array_max")),
+        "st_intersects": (two, "boolean", _intersects_sql("a", "b")),
+        "st_within": (two, "boolean", _within_sql("a", "b")),
+        "st_contains": (two, "boolean", _within_sql("b", "a")),
+        "st_distance": (two, "double", _distance_sql("a", "b")),
+        "st_transform": (f"{g}, srid int", GEOMETRY_TYPE, _transform_sql("g", "srid")),
+    }
+    for name, (arguments, returns, body) in definitions.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")

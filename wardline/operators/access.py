@@ -22,10 +22,11 @@ def access_matrix(df: DataFrame, level: str = "access_level") -> DataFrame:
 def resolve_ids(refs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``ref`` -> ``dataset_id``: exact id, else for a two-part ref the lowest id ending in ``.ref``.
 
-    Suffixes are reduced to one id each before the join, so a popular suffix stays one row.
+    Ids are unique; suffixes are reduced to one id each before the join, so a popular suffix
+    stays one row.
     """
     ids = catalogue.select("dataset_id")
-    exact = ids.select(F.col("dataset_id").alias("exact_id")).distinct()
+    exact = ids.select(F.col("dataset_id").alias("exact_id"))
     dots = lambda c: F.size(F.split(c, r"\.")) - 1
     suffix = (
         ids.filter(dots(F.col("dataset_id")) >= 2)

@@ -89,8 +89,8 @@ def _nonempty(keys: DataFrame) -> DataFrame:
 # --- specs --------------------------------------------------------------------------
 
 
-def row_filter_specs(catalogue: DataFrame) -> DataFrame:
-    """``(dataset_id, position, handler, args)`` of every spec, legacy columns appended last."""
+def specs_column() -> Column:
+    """Spec array of a catalogue row, legacy columns appended last."""
     gov = F.col("lineage.facets.governance")
     nonempty = lambda c: F.when(F.size(c) > 0, c)
     declared = F.coalesce(nonempty(gov["rowFilters"]), nonempty(gov["row_filters"]))
@@ -108,8 +108,12 @@ def row_filter_specs(catalogue: DataFrame) -> DataFrame:
         ),
     )
     empty = F.array().cast("array<struct<handler:string,args:map<string,string>>>")
-    specs = F.concat(F.coalesce(declared, empty), F.coalesce(legacy, empty))
-    return catalogue.select("dataset_id", F.posexplode(specs).alias("position", "spec")).select(
+    return F.concat(F.coalesce(declared, empty), F.coalesce(legacy, empty))
+
+
+def row_filter_specs(catalogue: DataFrame) -> DataFrame:
+    """``(dataset_id, position, handler, args)`` of every spec."""
+    return catalogue.select("dataset_id", F.posexplode(specs_column()).alias("position", "spec")).select(
         "dataset_id", "position", "spec.handler", "spec.args"
     )
 
@@ -265,7 +269,8 @@ def apply_gates(df: DataFrame, plans: Sequence[FilterPlan]) -> DataFrame:
 
 def plan_ttl(now: Column, expires: Column, override: Column, default: int = DEFAULT_PLAN_TTL) -> Column:
     """Seconds a resolved plan may live: the control plane's value, else token rest, else the default."""
-    rest = F.greatest(F.lit(0), expires - now)
+    # greatest() skips nulls, so a token without expiry must stay null here.
+    rest = F.when(expires.isNotNull(), F.greatest(F.lit(0), expires - now))
     wanted = F.coalesce(override, rest, F.lit(default))
     return F.greatest(F.lit(0), F.least(wanted, F.lit(default)))
 

@@ -3,7 +3,11 @@
 
 def catalog_of_queries():
     """``(queries, oracles)`` with every query module loaded."""
-    from wardline.plans import queries_relational  # noqa: F401
+    from wardline.plans import (  # noqa: F401
+        queries_functions,
+        queries_governance,
+        queries_relational,
+    )
     from wardline.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

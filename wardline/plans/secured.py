@@ -16,7 +16,7 @@ from wardline.operators.rowfilters import (
     Subject,
     apply_gates,
     apply_plans,
-    row_filter_specs,
+    specs_column,
 )
 from wardline.sources.tables import TableSource
 
@@ -94,6 +94,7 @@ class GovernedSession:
 
     def disclosures(self, refs: Sequence[str], agreement: Agreement, page: DataFrame) -> DataFrame:
         """Audit records of a page served under an agreement."""
+        refs = sorted(set(refs))
         rows = [
             (
                 r["dataset_id"],
@@ -102,7 +103,7 @@ class GovernedSession:
                 agreement.transfer_id,
                 (agreement.filters.get(r["dataset_id"]) or {}).get("principals"),
             )
-            for r in self._resolved(sorted(set(refs))).select("dataset_id").collect()
+            for r in self._resolved(refs, self._candidates(refs)).select("dataset_id").collect()
         ]
         schema = (
             "dataset_id string, consumer_id string, agreement_id string, transfer_id string, "
@@ -112,11 +113,17 @@ class GovernedSession:
 
     # --- internals ------------------------------------------------------------------
 
-    def _resolved(self, refs: Sequence[str]) -> DataFrame:
-        return resolve_ids(self.spark.createDataFrame([(r,) for r in refs], "ref string"), self.catalogue)
+    def _candidates(self, refs: Sequence[str]) -> DataFrame:
+        """Catalogue rows the refs can mean; the filter reaches the catalogue's scan."""
+        two_part = F.substring_index("dataset_id", ".", -2)
+        return self.catalogue.filter(F.col("dataset_id").isin(*refs) | two_part.isin(*refs))
+
+    def _resolved(self, refs: Sequence[str], candidates: DataFrame) -> DataFrame:
+        return resolve_ids(self.spark.createDataFrame([(r,) for r in refs], "ref string"), candidates)
 
     def _judge(self, refs: Sequence[str], subject: Subject, agreement: Agreement | None) -> dict[str, dict[str, Any]]:
-        resolved = self._resolved(refs).withColumns(
+        candidates = self._candidates(refs)
+        resolved = self._resolved(refs, candidates).withColumns(
             {
                 "action": F.lit("read"),
                 "subject_type": F.lit(subject.type),
@@ -125,17 +132,10 @@ class GovernedSession:
                 "under_agreement": F.lit(agreement is not None),
             }
         )
-        specs = row_filter_specs(self.catalogue).groupBy("dataset_id").agg(
-            F.array_sort(F.collect_list(F.struct("position", "handler", F.map_entries("args").alias("args")))).alias(
-                "specs"
-            )
-        )
+        carried = candidates.select("dataset_id", "backend_config", specs_column().alias("specs"))
         judged = (
-            access_decisions(resolved, self.catalogue)
-            .join(self.catalogue.select("dataset_id", "backend_config"), "dataset_id", "left")
-            .join(specs, "dataset_id", "left")
-            .collect()  # one row per ref of the request
-        )
+            access_decisions(resolved, candidates).join(carried, "dataset_id", "left").collect()
+        )  # one row per ref of the request
         refused = [r for r in judged if not r["allowed"]]
         if refused:
             worst = min(refused, key=lambda r: (r["status"] != 400, r["verdict"] != "not_offered", r["ref"]))
@@ -145,7 +145,7 @@ class GovernedSession:
             r["ref"]: {
                 "dataset_id": r["dataset_id"],
                 "backend": r["backend_config"].asDict(),
-                "specs": [(s["handler"], {a["key"]: a["value"] for a in s["args"] or []}) for s in r["specs"] or []],
+                "specs": [(s["handler"], s["args"] or {}) for s in r["specs"] or []],
             }
             for r in judged
         }

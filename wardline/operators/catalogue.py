@@ -239,14 +239,16 @@ def medallion(facet: Column, name: Column) -> Column:
 
 
 def _edit_filters(catalogue: DataFrame, dataset_id: str, change) -> DataFrame:
-    filters = F.coalesce(
-        F.col("lineage.facets.governance.rowFilters"),
-        F.array().cast("array<struct<handler:string,args:map<string,string>>>"),
-    )
-    edited = F.col("lineage").withField("facets.governance.rowFilters", change(filters))
-    return catalogue.withColumn(
-        "lineage", F.when(F.col("dataset_id") == dataset_id, edited).otherwise(F.col("lineage"))
-    )
+    def edit(lineage: Column) -> Column:
+        filters = F.coalesce(
+            lineage["facets"]["governance"]["rowFilters"],
+            F.array().cast("array<struct<handler:string,args:map<string,string>>>"),
+        )
+        edited = lineage.withField("facets.governance.rowFilters", change(filters))
+        return F.when(F.col("dataset_id") == dataset_id, edited).otherwise(lineage)
+
+    # Binding the struct once keeps the plan linear when several edits are chained.
+    return catalogue.withColumn("lineage", F.get(F.transform(F.array("lineage"), edit), F.lit(0)))
 
 
 def _args_column(args: dict[str, str] | None) -> Column:

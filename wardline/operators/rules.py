@@ -40,11 +40,11 @@ def glob_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: str)
         .withColumn("__regex", glob_regex(F.col("pattern")))
     )
     lengths = pats.agg(F.collect_set(F.length("__prefix"))).scalar()
-    fitting = F.filter(lengths, lambda n: n <= F.length(name))
     listed = (
         names.select(name)
         .distinct()
-        .withColumn("__n", F.explode(fitting))
+        .withColumn("__n", F.explode(lengths))
+        .filter(F.col("__n") <= F.length(name))
         .withColumn("__prefix", F.substring(F.col(name), F.lit(1), F.col("__n")))
     )
     met = listed.join(

@@ -4,6 +4,7 @@
 def catalog_of_queries():
     """``(queries, oracles)`` with every query module loaded."""
     from wardline.plans import (  # noqa: F401
+        queries_catalogue,
         queries_functions,
         queries_governance,
         queries_relational,

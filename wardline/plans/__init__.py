@@ -8,6 +8,7 @@ def catalog_of_queries():
         queries_functions,
         queries_governance,
         queries_relational,
+        queries_semantic,
     )
     from wardline.plans.registry import ORACLES, QUERIES
 

@@ -44,6 +44,12 @@ def _when(*cases: tuple[Column, object], otherwise: object = None) -> Column:
 
 def catalogue(t: Tables) -> DataFrame:
     """One entry per document, with the columns of the catalogue schema plus ``doc_id``."""
+    if "catalogue" not in t.__dict__:
+        t.__dict__["catalogue"] = _catalogue(t)
+    return t.__dict__["catalogue"]
+
+
+def _catalogue(t: Tables) -> DataFrame:
     d, lab = t.documents, t.labels
     lang, n, src, doc = F.col("lang"), F.col("n_chars"), F.col("source"), F.col("doc_id")
     q, tox = F.col("quality") == 1, F.col("toxic") == 1

@@ -19,6 +19,12 @@ RUNTIME_CONF = {
     "spark.sql.execution.topKSortFallbackThreshold": "1000000",
 }
 
+# Only settable when the session is created.
+STATIC_CONF = {
+    # Plans here are built from many small columns; recording a call site for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -32,7 +38,7 @@ def build_session(app: str = "wardline", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**STATIC_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

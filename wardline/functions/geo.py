@@ -57,13 +57,15 @@ def _on_boundary(px: str, py: str, edges: str) -> str:
     return f"exists({edges}, ob -> {_on_segment(px, py, 'ob')})"
 
 
-def _inside(px: str, py: str, edges: str) -> str:
-    """Even-odd rule over every ring, so holes count as outside."""
-    crossing = (
-        f"CASE WHEN (ip.ay > {py}) != (ip.by > {py}) "
-        f"THEN {px} < (ip.bx - ip.ax) * ({py} - ip.ay) / (ip.by - ip.ay) + ip.ax ELSE false END"
+def _locate(px: str, py: str, edges: str) -> str:
+    """0 outside, 1 inside, 2 on the boundary; even-odd over every ring, so holes are outside."""
+    straddles = f"(le.ay > {py}) != (le.by > {py})"
+    crosses = f"{px} < (le.bx - le.ax) * ({py} - le.ay) / (le.by - le.ay) + le.ax"
+    step = (
+        f"CASE WHEN at = 2 OR {_on_segment(px, py, 'le')} THEN 2 "
+        f"WHEN {straddles} THEN CASE WHEN {crosses} THEN 1 - at ELSE at END ELSE at END"
     )
-    return f"aggregate({edges}, false, (odd, ip) -> odd != ({crossing}))"
+    return f"aggregate({edges}, 0, (at, le) -> {step})"
 
 
 def _meet(e: str, f: str) -> str:
@@ -102,9 +104,9 @@ def _overlap(a: str, b: str) -> str:
 
 
 def _point_meets(point: str, other: str) -> str:
-    px, py = f"{_first(point)}.x", f"{_first(point)}.y"
-    body = f"exists(array(named_struct('x', {px}, 'y', {py})), p -> {_on_boundary('p.x', 'p.y', 'es')} OR ({other}.type = 'Polygon' AND {_inside('p.x', 'p.y', 'es')}))"
-    return _let(_edges(f"{other}.rings"), "es", body)
+    area = f"{_locate('p.x', 'p.y', 'es')} > 0"
+    body = f"CASE WHEN {other}.type = 'Polygon' THEN {area} ELSE {_on_boundary('p.x', 'p.y', 'es')} END"
+    return _let(_first(point), "p", _let(_edges(f"{other}.rings"), "es", body))
 
 
 def _intersects_sql(a: str, b: str) -> str:
@@ -112,8 +114,8 @@ def _intersects_sql(a: str, b: str) -> str:
         f"named_struct('a', {_edges(f'{a}.rings')}, 'b', {_edges(f'{b}.rings')})",
         "g",
         f"exists(g.a, e -> exists(g.b, f -> {_meet('e', 'f')}))"
-        f" OR ({b}.type = 'Polygon' AND {_inside(f'{_first(a)}.x', f'{_first(a)}.y', 'g.b')})"
-        f" OR ({a}.type = 'Polygon' AND {_inside(f'{_first(b)}.x', f'{_first(b)}.y', 'g.a')})",
+        f" OR ({b}.type = 'Polygon' AND {_locate(f'{_first(a)}.x', f'{_first(a)}.y', 'g.b')} > 0)"
+        f" OR ({a}.type = 'Polygon' AND {_locate(f'{_first(b)}.x', f'{_first(b)}.y', 'g.a')} > 0)",
     )
     return (
         f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' THEN {_point_meets(a, b)} "
@@ -125,7 +127,7 @@ def _point_within(a: str, b: str) -> str:
     last = f"element_at(get({b}.rings, 0), -1)"
     same = lambda q, r: f"({q}.x = {r}.x AND {q}.y = {r}.y)"
     is_end = f"(NOT {same(_first(b), last)} AND ({same('p', _first(b))} OR {same('p', last)}))"
-    area = _let(_edges(f"{b}.rings"), "es", f"NOT {_on_boundary('p.x', 'p.y', 'es')} AND {_inside('p.x', 'p.y', 'es')}")
+    area = _let(_edges(f"{b}.rings"), "es", f"{_locate('p.x', 'p.y', 'es')} = 1")
     body = (
         f"CASE WHEN {b}.type = 'Point' THEN {same('p', _first(b))} "
         f"WHEN {b}.type = 'LineString' THEN NOT {is_end} AND {_on_boundary('p.x', 'p.y', _edges(f'{b}.rings'))} ELSE {area} END"
@@ -157,8 +159,8 @@ def _piece_middles(e: str, edges: str) -> str:
 def _pieces_within(a: str, b: str) -> str:
     """Lines and polygons: every piece of ``a`` between crossings with ``b`` lies in ``b``."""
     holes = f"slice({b}.rings, 2, greatest(size({b}.rings) - 1, 0))"
-    strict = lambda x, y, es: f"(NOT {_on_boundary(x, y, es)} AND {_inside(x, y, es)})"
-    covered = f"forall(mid, q -> {_on_boundary('q.x', 'q.y', 'g.b')} OR {_inside('q.x', 'q.y', 'g.b')})"
+    strict = lambda x, y, es: f"({_locate(x, y, es)} = 1)"
+    covered = f"forall(mid, q -> {_locate('q.x', 'q.y', 'g.b')} > 0)"
     reaches = f"exists(mid, q -> {strict('q.x', 'q.y', 'g.b')})"
     on_line = f"forall(mid, q -> {_on_boundary('q.x', 'q.y', 'g.b')})"
     hole_in_a = (
@@ -194,7 +196,7 @@ def _segment_distance2(px: str, py: str, e: str) -> str:
 
 def _point_distance(point: str, other: str) -> str:
     nearest = f"sqrt(array_min(transform(es, e -> {_segment_distance2('p.x', 'p.y', 'e')})))"
-    body = f"CASE WHEN {other}.type = 'Polygon' AND {_inside('p.x', 'p.y', 'es')} THEN 0D ELSE {nearest} END"
+    body = f"CASE WHEN {other}.type = 'Polygon' AND {_locate('p.x', 'p.y', 'es')} > 0 THEN 0D ELSE {nearest} END"
     return _let(_first(point), "p", _let(_edges(f"{other}.rings"), "es", body))
 
 

@@ -122,26 +122,28 @@ def spatial_join(
 
     def gridded(df: DataFrame, geom: str, tag: str) -> DataFrame:
         g = F.col(geom)
-        boxed = df.withColumns(
-            {
-                f"__{tag}x": F.floor(geo.st_xmin(g) / cell),
-                f"__{tag}y": F.floor(geo.st_ymin(g) / cell),
-                f"__{tag}x2": F.floor(geo.st_xmax(g) / cell),
-                f"__{tag}y2": F.floor(geo.st_ymax(g) / cell),
-            }
-        ).filter(g.isNotNull())
-        columns = F.sequence(F.col(f"__{tag}x"), F.col(f"__{tag}x2"))
-        rows = F.sequence(F.col(f"__{tag}y"), F.col(f"__{tag}y2"))
-        wide = boxed.withColumn(f"__{tag}cx", F.explode(columns)).withColumn(f"__{tag}cy", F.explode(rows))
-        return wide.drop(f"__{tag}x2", f"__{tag}y2")
+        bounds = {
+            f"__{tag}x0": geo.st_xmin(g),
+            f"__{tag}y0": geo.st_ymin(g),
+            f"__{tag}x1": geo.st_xmax(g),
+            f"__{tag}y1": geo.st_ymax(g),
+        }
+        cells = lambda axis: F.sequence(
+            F.floor(F.col(f"__{tag}{axis}0") / cell), F.floor(F.col(f"__{tag}{axis}1") / cell)
+        )
+        boxed = df.filter(g.isNotNull()).withColumns(bounds)
+        return boxed.withColumn(f"__{tag}cx", F.explode(cells("x"))).withColumn(f"__{tag}cy", F.explode(cells("y")))
 
     a, b = gridded(left, left_geom, "l"), gridded(right, right_geom, "r")
+    c = F.col
+    lowest_shared = (c("__lcx") == F.floor(F.greatest("__lx0", "__rx0") / cell)) & (
+        c("__lcy") == F.floor(F.greatest("__ly0", "__ry0") / cell)
+    )
+    boxes_touch = (
+        (c("__lx0") <= c("__rx1")) & (c("__lx1") >= c("__rx0")) & (c("__ly0") <= c("__ry1")) & (c("__ly1") >= c("__ry0"))
+    )
     met = a.join(
-        b,
-        (F.col("__lcx") == F.col("__rcx"))
-        & (F.col("__lcy") == F.col("__rcy"))
-        & (F.col("__lcx") == F.greatest("__lx", "__rx"))
-        & (F.col("__lcy") == F.greatest("__ly", "__ry"))
-        & predicate(a[left_geom], b[right_geom]),
+        b, (c("__lcx") == c("__rcx")) & (c("__lcy") == c("__rcy")) & lowest_shared & boxes_touch & predicate(a[left_geom], b[right_geom])
     )
-    return met.drop("__lx", "__ly", "__lcx", "__lcy", "__rx", "__ry", "__rcx", "__rcy")
+    helpers = [f"__{tag}{name}" for tag in "lr" for name in ("x0", "y0", "x1", "y1", "cx", "cy")]
+    return met.drop(*helpers)

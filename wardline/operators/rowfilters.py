@@ -301,6 +301,11 @@ def pointer_entitlements(subjects: DataFrame, pointer: DataFrame, key: str, subj
     return grants.filter(F.col("key").isNotNull()).join(who, "subject", "left_semi").distinct()
 
 
+def visible_rows(data: DataFrame, key: str, entitlements: DataFrame) -> DataFrame:
+    """Every row with each subject that may see it: ``(subject, …row)``."""
+    return data.join(entitlements, data[key] == entitlements["key"]).drop(entitlements["key"])
+
+
 def visible_totals(
     data: DataFrame, key: str, entitlements: DataFrame, measures: Mapping[str, tuple[Column, Callable[[Any], Column]]]
 ) -> DataFrame:

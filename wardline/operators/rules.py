@@ -27,30 +27,30 @@ def glob_regex(pattern: Column) -> Column:
 
 
 def glob_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """``(name, pattern)`` for every name matched by a pattern of a table.
+    """``(name, pattern)`` for every name matched by a pattern of a table, without a nested-loop join.
 
-    The text before a pattern's first wildcard must start the name, so names are listed
-    under those of their prefixes whose length occurs among the patterns and meet the
-    patterns in an equi join on that prefix; only these pairs run the regular expression.
+    Literal patterns meet the names in an equi join. For the others, the text before the
+    first wildcard must start the name: names are listed under those of their prefixes whose
+    length occurs among the wildcard patterns and meet the patterns in an equi join on that
+    prefix; only these pairs run the regular expression.
     """
+    listed = names.select(name).distinct()
     pats = (
         patterns.select(F.col(pattern).alias("pattern"))
         .distinct()
         .withColumn("__prefix", F.regexp_extract("pattern", r"^[^*?\[]*", 0))
-        .withColumn("__regex", glob_regex(F.col("pattern")))
     )
-    lengths = pats.agg(F.collect_set(F.length("__prefix"))).scalar()
-    listed = (
-        names.select(name)
-        .distinct()
-        .withColumn("__n", F.explode(lengths))
+    literal = pats.filter(F.col("pattern") == F.col("__prefix")).select("pattern")
+    wild = pats.filter(F.col("pattern") != F.col("__prefix")).withColumn("__regex", glob_regex(F.col("pattern")))
+    lengths = wild.agg(F.collect_set(F.length("__prefix"))).scalar()  # at most one entry per prefix length
+    prefixed = (
+        listed.withColumn("__n", F.explode(lengths))
         .filter(F.col("__n") <= F.length(name))
         .withColumn("__prefix", F.substring(F.col(name), F.lit(1), F.col("__n")))
     )
-    met = listed.join(
-        pats, (listed["__prefix"] == pats["__prefix"]) & F.rlike(F.col(name), F.col("__regex")), "inner"
-    )
-    return met.select(name, "pattern")
+    by_prefix = (prefixed["__prefix"] == wild["__prefix"]) & F.rlike(F.col(name), F.col("__regex"))
+    exact = listed.join(literal, F.col(name) == F.col("pattern"))
+    return exact.select(name, "pattern").unionByName(prefixed.join(wild, by_prefix).select(name, "pattern"))
 
 
 def resolve_rules(datasets: DataFrame, rules: DataFrame, name: str = "dataset_name") -> DataFrame:

@@ -22,7 +22,22 @@ CLAUSE_WORDS = (
 ).split()
 WRITE_VERBS = "insert update delete merge create drop alter truncate grant revoke copy call exec execute do vacuum".split()
 
-REJECT_RULES = ("empty", "stacking", "comments", "statement", "functions", "tautology", "top_limit", "set_ops", "exists")
+
+_STACKED = r";\s*\S"
+_COMMENT = r"--|/\*"
+_OR = r"\bor\b"
+_TAUTOLOGY = r"(?<![\w.'])('[^']*'|[\w.]+)\s*=\s*\1(?![\w.'])"
+_TOP_LIMIT = r"\b(limit|offset)\s+\S+\s*$"
+_SET_OPERATION = r"\b(union|intersect|except)\b"
+_EXISTS = r"\bexists\s*\("
+_SELECT = r"^[\s(]*(select|with)\b"
+_WRITE = rf"(^|[;(])\s*({'|'.join(WRITE_VERBS)})\b"
+_CALL = r"\b([a-z_][a-z0-9_]*)\s*\("
+_CTE_NAME = r"(?:\bwith|,)\s+([a-z_]\w*)(?:\s*\([^()]*\))?\s+as\s*\("
+_CTE_WITH_COLUMNS = r"(?:\bwith|,)\s+([a-z_]\w*)\s*\([^()]*\)\s+as\s*\("
+_FROM_ARGUMENT = r"\b(extract|substring|trim)\s*\([^()]*\)"
+_ITEM = r"[a-z_][\w.]*(?:\s+(?:as\s+)?[a-z_]\w*)?"
+_FROM_LIST = rf"\b(?:from|join)\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"
 
 
 def _text(sql: Column) -> Column:
@@ -34,100 +49,132 @@ def trimmed(sql: Column) -> Column:
     return F.trim(F.regexp_replace(_text(sql), r"^\s+|\s*;*\s*$", ""))
 
 
+def blanked(text: Column) -> Column:
+    """Lower-cased text with string literals emptied."""
+    return F.lower(F.regexp_replace(text, r"'(?:[^']|'')*'", "''"))
+
+
 def bare(sql: Column) -> Column:
-    """Lower-cased text with string literals blanked."""
-    return F.lower(F.regexp_replace(trimmed(sql), r"'(?:[^']|'')*'", "''"))
+    return blanked(trimmed(sql))
+
+
+# --- rules over prepared text -------------------------------------------------------
+
+
+def _tautology(text: Column) -> Column:
+    return F.lower(text).rlike(_TAUTOLOGY)
+
+
+def _not_select(words: Column) -> Column:
+    return ~words.rlike(_SELECT) | words.rlike(_WRITE)
+
+
+def _called(words: Column) -> Column:
+    names = F.array_distinct(F.regexp_extract_all(words, F.lit(_CALL), F.lit(1)))
+    return F.array_sort(F.array_except(names, F.array(*[F.lit(w) for w in CLAUSE_WORDS])))
+
+
+def _unknown(words: Column) -> Column:
+    known = F.array(*[F.lit(w) for w in CLAUSE_WORDS + ALLOWED_FUNCTIONS + ALLOWED_CONSTRUCTS])
+    named = F.regexp_extract_all(words, F.lit(_CTE_WITH_COLUMNS), F.lit(1))
+    calls = F.regexp_extract_all(words, F.lit(_CALL), F.lit(1))
+    return F.array_sort(F.array_except(F.array_except(calls, known), named))
+
+
+def _tables(words: Column) -> Column:
+    text = F.replace(F.regexp_replace(words, _FROM_ARGUMENT, "x"), F.lit('"'), F.lit(""))
+    lists = F.regexp_extract_all(text, F.lit(_FROM_LIST), F.lit(1))
+    listed = F.flatten(F.transform(lists, lambda s: F.split(s, r"\s*,\s*")))
+    names = F.transform(listed, lambda s: F.regexp_extract(s, r"^\s*(\S+)", 1))
+    ctes = F.regexp_extract_all(text, F.lit(_CTE_NAME), F.lit(1))
+    return F.array_sort(F.array_except(names, ctes))
+
+
+# --- rules over raw text ------------------------------------------------------------
 
 
 def is_empty(sql: Column) -> Column:
-    return F.trim(F.regexp_replace(_text(sql), r"\s+", " ")) == ""
+    return ~_text(sql).rlike(r"\S")
 
 
 def is_stacked(sql: Column) -> Column:
-    return trimmed(sql).rlike(r";\s*\S")
+    return trimmed(sql).rlike(_STACKED)
 
 
 def has_comment(sql: Column) -> Column:
-    return _text(sql).rlike(r"--|/\*")
+    return _text(sql).rlike(_COMMENT)
 
 
 def is_not_select(sql: Column) -> Column:
     """First keyword is neither SELECT nor WITH, or a write verb starts a statement or a CTE body."""
-    text = bare(sql)
-    verbs = "|".join(WRITE_VERBS)
-    starts = text.rlike(r"^[\s(]*(select|with)\b")
-    return ~starts | text.rlike(rf"(^|[;(])\s*({verbs})\b")
+    return _not_select(bare(sql))
 
 
 def called_functions(sql: Column) -> Column:
     """Distinct names called in the text, without clause words."""
-    names = F.regexp_extract_all(bare(sql), F.lit(r"\b([a-z_][a-z0-9_]*)\s*\("), F.lit(1))
-    words = F.array(*[F.lit(w) for w in CLAUSE_WORDS])
-    return F.array_sort(F.array_except(F.array_distinct(names), words))
+    return _called(bare(sql))
 
 
 def unknown_functions(sql: Column) -> Column:
-    known = F.array(*[F.lit(w) for w in ALLOWED_FUNCTIONS + ALLOWED_CONSTRUCTS])
-    named = F.regexp_extract_all(bare(sql), F.lit(r"(?:\bwith|,)\s+([a-z_]\w*)\s*\([^()]*\)\s+as\s*\("), F.lit(1))
-    return F.array_except(F.array_except(called_functions(sql), known), named)
-
-
-def has_tautology(sql: Column) -> Column:
-    return F.lower(trimmed(sql)).rlike(r"(?<![\w.'])('[^']*'|[\w.]+)\s*=\s*\1(?![\w.'])")
+    """Called names outside the allow-list."""
+    return _unknown(bare(sql))
 
 
 def tautology_severity(sql: Column) -> Column:
     """``reject`` next to an OR, ``warn`` alone, NULL when absent."""
-    return F.when(has_tautology(sql), F.when(bare(sql).rlike(r"\bor\b"), "reject").otherwise("warn"))
+    return F.when(_tautology(trimmed(sql)), F.when(bare(sql).rlike(_OR), "reject").otherwise("warn"))
 
 
 def has_top_limit(sql: Column) -> Column:
-    return bare(sql).rlike(r"\b(limit|offset)\s+\S+\s*$")
+    return bare(sql).rlike(_TOP_LIMIT)
 
 
 def has_set_operation(sql: Column) -> Column:
-    return bare(sql).rlike(r"\b(union|intersect|except)\b")
+    return bare(sql).rlike(_SET_OPERATION)
 
 
 def has_exists(sql: Column) -> Column:
-    return bare(sql).rlike(r"\bexists\s*\(")
+    return bare(sql).rlike(_EXISTS)
 
 
 def referenced_tables(sql: Column) -> Column:
     """Sorted dataset ids after FROM and JOIN, dotted names whole, CTE names left out."""
-    text = F.replace(F.regexp_replace(bare(sql), r"\b(extract|substring|trim)\s*\([^()]*\)", "x"), F.lit('"'), F.lit(""))
-    one = r"[a-z_][\w.]*(?:\s+(?:as\s+)?[a-z_]\w*)?"
-    lists = F.regexp_extract_all(text, F.lit(rf"\b(?:from|join)\s+({one}(?:\s*,\s*{one})*)"), F.lit(1))
-    names = F.transform(
-        F.flatten(F.transform(lists, lambda s: F.split(s, r"\s*,\s*"))), lambda s: F.regexp_extract(s, r"^\s*(\S+)", 1)
-    )
-    ctes = F.regexp_extract_all(text, F.lit(r"(?:\bwith|,)\s+([a-z_]\w*)(?:\s*\([^()]*\))?\s+as\s*\("), F.lit(1))
-    return F.array_sort(F.array_except(F.array_distinct(names), ctes))
+    return _tables(bare(sql))
 
 
 def screen(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """Add ``reasons`` (rules broken), ``warnings``, ``tables`` and ``accepted``."""
-    c = F.col(sql)
-    severity = tautology_severity(c)
+    """Add ``reasons`` (rules broken), ``warnings``, ``tables`` and ``accepted``.
+
+    The prepared texts are columns of an earlier projection, so each is computed once per query.
+    """
+    c, text, words = F.col(sql), F.col("__trimmed"), F.col("__bare")
+    prepared = log.withColumn("__trimmed", trimmed(c)).withColumn("__bare", blanked(text))
+    judged = prepared.withColumns(
+        {
+            "__severity": F.when(_tautology(text), F.when(words.rlike(_OR), "reject").otherwise("warn")),
+            "tables": _tables(words),
+        }
+    )
+    severity = F.col("__severity")
     reasons = F.when(is_empty(c), F.array(F.lit("empty"))).otherwise(
         F.array_compact(
             F.array(
-                F.when(is_stacked(c), F.lit("stacking")),
+                F.when(text.rlike(_STACKED), F.lit("stacking")),
                 F.when(has_comment(c), F.lit("comments")),
-                F.when(is_not_select(c), F.lit("statement")),
-                F.when(F.size(unknown_functions(c)) > 0, F.lit("functions")),
+                F.when(_not_select(words), F.lit("statement")),
+                F.when(F.size(_unknown(words)) > 0, F.lit("functions")),
                 F.when(severity == "reject", F.lit("tautology")),
-                F.when(has_top_limit(c), F.lit("top_limit")),
-                F.when(has_set_operation(c), F.lit("set_ops")),
-                F.when(has_exists(c), F.lit("exists")),
+                F.when(words.rlike(_TOP_LIMIT), F.lit("top_limit")),
+                F.when(words.rlike(_SET_OPERATION), F.lit("set_ops")),
+                F.when(words.rlike(_EXISTS), F.lit("exists")),
             )
         )
     )
     return (
-        log.withColumn("reasons", reasons)
+        judged.withColumn("reasons", reasons)
         .withColumn("warnings", F.array_compact(F.array(F.when(severity == "warn", F.lit("tautology")))))
-        .withColumn("tables", referenced_tables(c))
         .withColumn("accepted", F.size("reasons") == 0)
+        .drop("__trimmed", "__bare", "__severity")
     )
 
 

@@ -691,6 +691,16 @@ def odrl_offer(t: Tables) -> DataFrame:
     return tb.catalogue(t).select("dataset_id", F.array_join(text, ",").alias("constraints"))
 
 
+_REF = "struct<`@id`:string>"
+_NODE = (
+    f"`@id` string, `dct:title` string, `dct:description` string, `dct:isPartOf` {_REF}, "
+    "`dct:publisher` struct<`@id`:string,`foaf:name`:string>, `dct:temporal` struct<`dcat:startDate`:string>, "
+    f"`dcat:contactPoint` struct<`vcard:hasEmail`:string>, `dct:conformsTo` {_REF}, `ds:medallion` string, "
+    f"`dcat:distribution` array<struct<`dct:accessRights`:{_REF},`dcat:downloadURL`:{_REF},`dct:license`:{_REF},"
+    "`dcat:keyword`:array<string>,`dcat:byteSize`:bigint>>"
+)
+
+
 @query(
     "dcat_dataset",
     tb.with_cat(
@@ -708,26 +718,26 @@ def odrl_offer(t: Tables) -> DataFrame:
 )
 def dcat_dataset(t: Tables) -> DataFrame:
     nodes = dcat.dataset_nodes(tb.catalogue(t), _owners(t), tb.BASE_URI, tb.CATALOG_URI, tb.API_BASE)
-    json = nodes.select("dataset_id", F.to_json("node").alias("doc"))
-    at = lambda *path: F.get_json_object("doc", "$" + "".join(p if p == "[0]" else f"['{p}']" for p in path))
-    dist = ("dcat:distribution", "[0]")
-    return json.select(
+    documents = nodes.select("dataset_id", F.to_json("node").alias("document"))
+    d = documents.select("dataset_id", F.from_json("document", _NODE).alias("d"))
+    node, dist = F.col("d"), F.get(F.col("d")["dcat:distribution"], F.lit(0))
+    return d.select(
         "dataset_id",
-        at("@id").alias("uri"),
-        at("dct:title").alias("title"),
-        at("dct:description").alias("description"),
-        F.substring_index(at(*dist, "dct:accessRights", "@id"), "/", -1).alias("access_right"),
-        at(*dist, "dcat:downloadURL", "@id").alias("download"),
-        at(*dist, "dct:license", "@id").alias("license"),
-        at(*dist, "dcat:keyword").alias("keywords"),
-        at("dct:isPartOf", "@id").alias("part_of"),
-        at("dct:publisher", "@id").alias("publisher"),
-        at("dct:publisher", "foaf:name").alias("publisher_name"),
-        at("dct:temporal", "dcat:startDate").alias("start_date"),
-        at("dcat:contactPoint", "vcard:hasEmail").alias("email"),
-        at("dct:conformsTo", "@id").alias("conforms_to"),
-        at("ds:medallion").alias("medallion"),
-        at(*dist, "dcat:byteSize").cast("bigint").alias("bytes"),
+        node["@id"].alias("uri"),
+        node["dct:title"].alias("title"),
+        node["dct:description"].alias("description"),
+        F.substring_index(dist["dct:accessRights"]["@id"], "/", -1).alias("access_right"),
+        dist["dcat:downloadURL"]["@id"].alias("download"),
+        dist["dct:license"]["@id"].alias("license"),
+        F.to_json(dist["dcat:keyword"]).alias("keywords"),
+        node["dct:isPartOf"]["@id"].alias("part_of"),
+        node["dct:publisher"]["@id"].alias("publisher"),
+        node["dct:publisher"]["foaf:name"].alias("publisher_name"),
+        node["dct:temporal"]["dcat:startDate"].alias("start_date"),
+        node["dcat:contactPoint"]["vcard:hasEmail"].alias("email"),
+        node["dct:conformsTo"]["@id"].alias("conforms_to"),
+        node["ds:medallion"].alias("medallion"),
+        dist["dcat:byteSize"].alias("bytes"),
     )
 
 

@@ -69,15 +69,20 @@ def fn_conditional(t: Tables) -> DataFrame:
     )
 
 
-@query("fn_now")
+@query(
+    "fn_now",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE) <= current_date AS past, o_orderdate < current_timestamp AS before,
+              now() = current_timestamp AS same, CAST(now() AS DATE) = current_date AS same_day FROM orders""",
+)
 def fn_now(t: Tables) -> DataFrame:
-    # The clock differs between engines: only the row count and types are comparable.
+    # Clock readings differ between engines, so they are compared with the data and each other.
+    moment = F.current_timestamp()
     return t.orders.select(
         "o_orderkey",
-        F.current_date().alias("today"),
-        F.current_timestamp().alias("at"),
-        F.now().alias("now_at"),
-        (F.col("o_orderdate").cast("date") <= F.current_date()).alias("past"),
+        (pg.date("o_orderdate") <= F.current_date()).alias("past"),
+        (F.col("o_orderdate") < moment).alias("before"),
+        (F.now() == moment).alias("same"),
+        (F.now().cast("date") == F.current_date()).alias("same_day"),
     )
 
 
@@ -158,7 +163,7 @@ def st_setsrid(t: Tables) -> DataFrame:
 
 @query(
     "st_geomfromgeojson",
-    """SELECT s_suppkey, 'LineString' AS kind, CAST(s_nationkey AS DOUBLE) AS xmin, s_nationkey + 2.5 AS xmax,
+    """SELECT s_suppkey, 'LineString' AS kind, CAST(s_nationkey AS DOUBLE) AS xmin, CAST(s_nationkey + 2.5 AS DOUBLE) AS xmax,
               least(s_acctbal, 0) AS ymin, greatest(s_acctbal, 0) AS ymax FROM supplier""",
 )
 def st_geomfromgeojson(t: Tables) -> DataFrame:

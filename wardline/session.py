@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Hot entitlement keys, cells and namespaces are split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split hot keys even where that costs one more shuffle further down.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Deep pages sort globally instead of holding limit+offset rows in every task.
     "spark.sql.execution.topKSortFallbackThreshold": "1000000",
 }

@@ -156,17 +156,24 @@ def _piece_middles(e: str, edges: str) -> str:
     return _let(marks, "m", middles)
 
 
+def _inner_point(ring: str) -> str:
+    """A point strictly inside a ring: on a scan line between its two lowest vertex heights."""
+    crossing = "(ix.bx - ix.ax) * (iy - ix.ay) / (ix.by - ix.ay) + ix.ax"
+    cut = f"filter({_edges(f'array({ring})')}, ic -> (ic.ay > iy) != (ic.by > iy))"
+    xs = f"array_sort(transform({cut}, ix -> {crossing}))"
+    at = _let(xs, "xs", "named_struct('x', (get(xs, 0) + get(xs, 1)) / 2, 'y', iy)")
+    heights = f"array_sort(array_distinct(transform({ring}, iv -> iv.y)))"
+    return _let(_let(heights, "hs", "(get(hs, 0) + get(hs, 1)) / 2"), "iy", at)
+
+
 def _pieces_within(a: str, b: str) -> str:
     """Lines and polygons: every piece of ``a`` between crossings with ``b`` lies in ``b``."""
-    holes = f"slice({b}.rings, 2, greatest(size({b}.rings) - 1, 0))"
-    strict = lambda x, y, es: f"({_locate(x, y, es)} = 1)"
     covered = f"forall(mid, q -> {_locate('q.x', 'q.y', 'g.b')} > 0)"
-    reaches = f"exists(mid, q -> {strict('q.x', 'q.y', 'g.b')})"
+    reaches = f"exists(mid, q -> {_locate('q.x', 'q.y', 'g.b')} = 1)"
     on_line = f"forall(mid, q -> {_on_boundary('q.x', 'q.y', 'g.b')})"
-    hole_in_a = (
-        f"exists({_edges(holes)}, h -> {strict('h.ax', 'h.ay', 'g.a')} "
-        f"OR {strict('((h.ax + h.bx) / 2)', '((h.ay + h.by) / 2)', 'g.a')})"
-    )
+    # With the boundary of ``a`` in ``b``, a hole lies in ``a`` wholly or not at all: one inner point decides.
+    holes = f"slice({b}.rings, 2, greatest(size({b}.rings) - 1, 0))"
+    hole_in_a = f"exists({holes}, h -> {_let(_inner_point('h'), 'hp', 'coalesce(' + _locate('hp.x', 'hp.y', 'g.a') + ' = 1, false)')})"
     judged = (
         f"CASE WHEN {a}.type = 'LineString' AND {b}.type = 'Polygon' THEN {covered} AND {reaches} "
         f"WHEN {a}.type = 'LineString' THEN {on_line} "

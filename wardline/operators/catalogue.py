@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import fnmatch
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.globs import glob_regex
+
 # Accepted back ends, introspection defaults, medallion levels in match order.
 BACKEND_TYPES = ("postgres", "s3", "fs", "quantumleap", "context_broker")
 DEFAULT_NAMESPACE = "default"
@@ -171,8 +172,7 @@ def matches_globs(column: Column, patterns: Sequence[str]) -> Column:
     """Case-sensitive match against any shell pattern of a short, caller-typed list."""
     hit = F.lit(False)
     for pattern in patterns:
-        body = fnmatch.translate(pattern)
-        hit = hit | column.rlike(r"\A" + body.replace(r"\Z", r"\z"))
+        hit = hit | F.rlike(column, glob_regex(F.lit(pattern)))
     return hit
 
 

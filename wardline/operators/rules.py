@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.functions.globs import glob_regex
 from wardline.operators.catalogue import OBJECT_FORMAT, clean_id, physical_table
 
 TEXTS = "array<string>"
@@ -17,15 +18,6 @@ TEXTS = "array<string>"
 # --- glob matching ------------------------------------------------------------------
 
 
-def glob_regex(pattern: Column) -> Column:
-    """Regular expression of a shell pattern (``*``, ``?``, ``[...]``, ``[!...]``), anchored."""
-    escaped = F.regexp_replace(pattern, r"([.\\+(){}|^$])", r"\\$1")
-    closed = F.when(pattern.contains("]"), escaped).otherwise(F.replace(escaped, F.lit("["), F.lit(r"\[")))
-    negated = F.replace(closed, F.lit("[!"), F.lit("[^"))
-    body = F.replace(F.replace(negated, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-    return F.concat(F.lit(r"(?s)\A"), body, F.lit(r"\z"))
-
-
 def glob_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """``(name, pattern)`` for every name matched by a pattern of a table, without a nested-loop join.
 

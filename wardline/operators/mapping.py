@@ -115,9 +115,10 @@ def vocabulary_documents(catalogue: DataFrame, prefixes: DataFrame) -> DataFrame
     conforms = F.nullif(F.col("tags.conformsTo"), F.lit(""))
     mapped = catalogue.filter(F.col("ontology_mapping").isNotNull())
     used = vocabulary_prefixes(mapped, prefixes, terms)
-    dct = prefixes.filter(F.col("prefix") == "dct")
-    for_dct = mapped.filter(conforms.isNotNull()).select("dataset_id", F.lit("dct").alias("prefix"))
-    for_dct = for_dct.join(dct, "prefix", "left").select("dataset_id", "prefix", "namespace")
+    dct = prefixes.filter(F.col("prefix") == "dct").agg(F.max("namespace")).scalar()
+    for_dct = mapped.filter(conforms.isNotNull()).select(
+        "dataset_id", F.lit("dct").alias("prefix"), dct.alias("namespace")
+    )
     declared = (
         used.unionByName(for_dct)
         .distinct()

@@ -321,8 +321,8 @@ def infer_medallion(t: Tables) -> DataFrame:
     tb.with_cat(
         """SELECT dataset_id, handler, args FROM (
              SELECT dataset_id, 'table_pointer' AS handler, 'column=o_custkey,pointer_key_column=c_custkey,pointer_table=' || source AS args FROM cat WHERE lang = 'fr'
-             UNION ALL SELECT dataset_id, 'http_in_list', 'column=device_id,list_table=' || source FROM cat WHERE lang = 'fr' AND doc_id <> 0
-             UNION ALL SELECT dataset_id, 'direct_user_match', 'column=user_id' FROM cat WHERE doc_id = 1)"""
+             UNION ALL SELECT dataset_id, 'http_in_list', 'column=device_id,list_table=' || source FROM cat WHERE lang = 'fr' AND dataset_id <> 'datasets.ds_fr_gold.t_0'
+             UNION ALL SELECT dataset_id, 'direct_user_match', 'column=user_id' FROM cat WHERE dataset_id = 'datasets.ds_en_bronze.t_1')"""
     ),
 )
 def row_filter_edit(t: Tables) -> DataFrame:

@@ -81,28 +81,28 @@ def validate(entries: DataFrame, strict: bool = False) -> DataFrame:
     return checked.filter(fit).drop("errors")
 
 
-def _with_table_check(entries: DataFrame, tables: DataFrame) -> DataFrame:
-    """Drop relational entries that name a table which does not exist."""
+def _flag_fit(entries: DataFrame, tables: DataFrame | None) -> DataFrame:
+    """Add ``__fit``: false for relational entries that name a table which does not exist."""
+    if tables is None:
+        return entries.withColumn("__fit", F.lit(True))
     known = tables.select(F.col("table_name").alias("__table")).distinct()
     table = F.when(F.col("backend_type") == "postgres", F.col("backend_config.table"))
     marked = entries.withColumn("__want", table).join(known, F.col("__want") == F.col("__table"), "left")
-    return marked.filter(F.col("__want").isNull() | F.col("__table").isNotNull()).drop("__want", "__table")
+    fit = F.col("__want").isNull() | F.col("__table").isNotNull()
+    return marked.withColumn("__fit", fit).drop("__want", "__table")
 
 
 def plan_import(current: DataFrame, incoming: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Dry run: ``(dataset_id, action)`` with action create, update, skip or keep."""
-    accepted = incoming if tables is None else _with_table_check(incoming, tables)
     now = current.select("dataset_id", F.lit(True).alias("has"))
-    new = incoming.select("dataset_id", F.lit(True).alias("wanted"))
-    fit = accepted.select("dataset_id", F.lit(True).alias("fit"))
-    merged = now.join(new, "dataset_id", "full").join(fit, "dataset_id", "left")
+    new = _flag_fit(incoming.select("dataset_id", "backend_type", "backend_config"), tables).select("dataset_id", "__fit")
     action = (
-        F.when(F.col("wanted").isNull(), "keep")
-        .when(F.col("fit").isNull(), "skip")
+        F.when(F.col("__fit").isNull(), "keep")
+        .when(~F.col("__fit"), "skip")
         .when(F.col("has").isNull(), "create")
         .otherwise("update")
     )
-    return merged.select("dataset_id", action.alias("action"))
+    return now.join(new, "dataset_id", "full").select("dataset_id", action.alias("action"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def upsert(current: DataFrame, incoming: DataFrame, tables: DataFrame | None = N
 
     Adds ``import_action`` (``created``, ``updated`` or ``kept``); incoming ids must be unique.
     """
-    accepted = incoming if tables is None else _with_table_check(incoming, tables)
+    accepted = _flag_fit(incoming, tables).filter("__fit")
     columns = current.columns
     left = current.select(F.col("dataset_id").alias("__old"), F.struct(*columns).alias("__a"))
     right = accepted.select(F.col("dataset_id").alias("__new"), F.struct(*columns).alias("__b"))

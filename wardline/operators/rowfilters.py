@@ -170,7 +170,7 @@ def in_list(ctx: FilterContext) -> FilterPlan:
         answers = answers.filter(F.col(by_subject) == F.lit(ctx.subject.sub).cast(answers.schema[by_subject].dataType))
     cap = int(ctx.args.get("max_items") or DEFAULT_MAX_ITEMS)
     items = list_items(answers, ctx.args.get("list_column") or "payload", ctx.args.get("response_path") or "$")
-    keys = items.orderBy("position").limit(cap).select("item")
+    keys = items.orderBy("position", "item").limit(cap).select("item")
     empty_denies = str(ctx.args.get("empty_means_deny", "true")).lower() not in ("false", "0", "")
     return allow_list(column, keys, empty_denies)
 

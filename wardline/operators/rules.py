@@ -19,14 +19,14 @@ TEXTS = "array<string>"
 
 
 def glob_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """``(name, pattern)`` for every name matched by a pattern of a table, without a nested-loop join.
+    """``(name, pattern)`` for every row of ``names`` and every pattern of a table that matches it.
 
     Literal patterns meet the names in an equi join. For the others, the text before the
     first wildcard must start the name: names are listed under those of their prefixes whose
     length occurs among the wildcard patterns and meet the patterns in an equi join on that
     prefix; only these pairs run the regular expression.
     """
-    listed = names.select(name).distinct()
+    listed = names.select(name)
     pats = (
         patterns.select(F.col(pattern).alias("pattern"))
         .distinct()

@@ -70,15 +70,16 @@ def _not_select(words: Column) -> Column:
 
 
 def _called(words: Column) -> Column:
-    names = F.array_distinct(F.regexp_extract_all(words, F.lit(_CALL), F.lit(1)))
-    return F.array_sort(F.array_except(names, F.array(*[F.lit(w) for w in CLAUSE_WORDS])))
+    names = F.regexp_extract_all(words, F.lit(_CALL), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda w: ~w.isin(CLAUSE_WORDS))))
 
 
 def _unknown(words: Column) -> Column:
-    known = F.array(*[F.lit(w) for w in CLAUSE_WORDS + ALLOWED_FUNCTIONS + ALLOWED_CONSTRUCTS])
+    # isin() over constants is one hash set for the whole query, unlike array_except().
+    known = CLAUSE_WORDS + ALLOWED_FUNCTIONS + ALLOWED_CONSTRUCTS
+    calls = F.filter(F.regexp_extract_all(words, F.lit(_CALL), F.lit(1)), lambda w: ~w.isin(known))
     named = F.regexp_extract_all(words, F.lit(_CTE_WITH_COLUMNS), F.lit(1))
-    calls = F.regexp_extract_all(words, F.lit(_CALL), F.lit(1))
-    return F.array_sort(F.array_except(F.array_except(calls, known), named))
+    return F.array_sort(F.array_except(calls, named))
 
 
 def _tables(words: Column) -> Column:

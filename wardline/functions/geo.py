@@ -12,6 +12,7 @@ function of the same name (``pg_st_setsrid`` for ``st_setsrid``).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -103,34 +104,38 @@ def _overlap(a: str, b: str) -> str:
 # --- SQL text of the predicates over s.a and s.b ------------------------------------
 
 
-def _point_meets(point: str, other: str) -> str:
+def _point_meets(point: str, other: str, edges: str) -> str:
     area = f"{_locate('p.x', 'p.y', 'es')} > 0"
     body = f"CASE WHEN {other}.type = 'Polygon' THEN {area} ELSE {_on_boundary('p.x', 'p.y', 'es')} END"
-    return _let(_first(point), "p", _let(_edges(f"{other}.rings"), "es", body))
+    return _let(_first(point), "p", _let(edges, "es", body))
 
 
-def _intersects_sql(a: str, b: str) -> str:
+def _both(ea: str, eb: str) -> str:
+    return f"named_struct('a', {ea}, 'b', {eb})"
+
+
+def _intersects_sql(a: str, b: str, ea: str, eb: str) -> str:
     general = _let(
-        f"named_struct('a', {_edges(f'{a}.rings')}, 'b', {_edges(f'{b}.rings')})",
+        _both(ea, eb),
         "g",
         f"exists(g.a, e -> exists(g.b, f -> {_meet('e', 'f')}))"
         f" OR ({b}.type = 'Polygon' AND {_locate(f'{_first(a)}.x', f'{_first(a)}.y', 'g.b')} > 0)"
         f" OR ({a}.type = 'Polygon' AND {_locate(f'{_first(b)}.x', f'{_first(b)}.y', 'g.a')} > 0)",
     )
     return (
-        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' THEN {_point_meets(a, b)} "
-        f"WHEN {b}.type = 'Point' THEN {_point_meets(b, a)} WHEN {_overlap(a, b)} THEN {general} ELSE false END"
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' THEN {_point_meets(a, b, eb)} "
+        f"WHEN {b}.type = 'Point' THEN {_point_meets(b, a, ea)} WHEN {_overlap(a, b)} THEN {general} ELSE false END"
     )
 
 
-def _point_within(a: str, b: str) -> str:
+def _point_within(a: str, b: str, eb: str) -> str:
     last = f"element_at(get({b}.rings, 0), -1)"
     same = lambda q, r: f"({q}.x = {r}.x AND {q}.y = {r}.y)"
     is_end = f"(NOT {same(_first(b), last)} AND ({same('p', _first(b))} OR {same('p', last)}))"
-    area = _let(_edges(f"{b}.rings"), "es", f"{_locate('p.x', 'p.y', 'es')} = 1")
+    area = _let(eb, "es", f"{_locate('p.x', 'p.y', 'es')} = 1")
     body = (
         f"CASE WHEN {b}.type = 'Point' THEN {same('p', _first(b))} "
-        f"WHEN {b}.type = 'LineString' THEN NOT {is_end} AND {_on_boundary('p.x', 'p.y', _edges(f'{b}.rings'))} ELSE {area} END"
+        f"WHEN {b}.type = 'LineString' THEN NOT {is_end} AND {_on_boundary('p.x', 'p.y', eb)} ELSE {area} END"
     )
     return _let(_first(a), "p", body)
 
@@ -166,7 +171,7 @@ def _inner_point(ring: str) -> str:
     return _let(_let(heights, "hs", "(get(hs, 0) + get(hs, 1)) / 2"), "iy", at)
 
 
-def _pieces_within(a: str, b: str) -> str:
+def _pieces_within(a: str, b: str, ea: str, eb: str) -> str:
     """Lines and polygons: every piece of ``a`` between crossings with ``b`` lies in ``b``."""
     covered = f"forall(mid, q -> {_locate('q.x', 'q.y', 'g.b')} > 0)"
     reaches = f"exists(mid, q -> {_locate('q.x', 'q.y', 'g.b')} = 1)"
@@ -180,15 +185,13 @@ def _pieces_within(a: str, b: str) -> str:
         f"WHEN {b}.type = 'Polygon' THEN {covered} AND NOT {hole_in_a} ELSE false END"
     )
     middles = f"flatten(transform(g.a, e -> {_piece_middles('e', 'g.b')}))"
-    return _let(
-        f"named_struct('a', {_edges(f'{a}.rings')}, 'b', {_edges(f'{b}.rings')})", "g", _let(middles, "mid", judged)
-    )
+    return _let(_both(ea, eb), "g", _let(middles, "mid", judged))
 
 
-def _within_sql(a: str, b: str) -> str:
+def _within_sql(a: str, b: str, ea: str, eb: str) -> str:
     return (
-        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' THEN {_point_within(a, b)} "
-        f"WHEN {b}.type = 'Point' THEN false WHEN {_overlap(a, b)} THEN {_pieces_within(a, b)} ELSE false END"
+        f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' THEN {_point_within(a, b, eb)} "
+        f"WHEN {b}.type = 'Point' THEN false WHEN {_overlap(a, b)} THEN {_pieces_within(a, b, ea, eb)} ELSE false END"
     )
 
 
@@ -201,13 +204,13 @@ def _segment_distance2(px: str, py: str, e: str) -> str:
     return _let(position, "u", square)
 
 
-def _point_distance(point: str, other: str) -> str:
+def _point_distance(point: str, other: str, edges: str) -> str:
     nearest = f"sqrt(array_min(transform(es, e -> {_segment_distance2('p.x', 'p.y', 'e')})))"
     body = f"CASE WHEN {other}.type = 'Polygon' AND {_locate('p.x', 'p.y', 'es')} > 0 THEN 0D ELSE {nearest} END"
-    return _let(_first(point), "p", _let(_edges(f"{other}.rings"), "es", body))
+    return _let(_first(point), "p", _let(edges, "es", body))
 
 
-def _distance_sql(a: str, b: str) -> str:
+def _distance_sql(a: str, b: str, ea: str, eb: str) -> str:
     pair = ", ".join(
         [
             _segment_distance2("f.ax", "f.ay", "e"),
@@ -217,15 +220,15 @@ def _distance_sql(a: str, b: str) -> str:
         ]
     )
     general = _let(
-        f"named_struct('a', {_edges(f'{a}.rings')}, 'b', {_edges(f'{b}.rings')})",
+        _both(ea, eb),
         "g",
         f"sqrt(array_min(transform(g.a, e -> array_min(transform(g.b, f -> least({pair}))))))",
     )
     points = f"sqrt(pow({_first(a)}.x - {_first(b)}.x, 2) + pow({_first(a)}.y - {_first(b)}.y, 2))"
     return (
         f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN {a}.type = 'Point' AND {b}.type = 'Point' THEN {points} "
-        f"WHEN {a}.type = 'Point' THEN {_point_distance(a, b)} WHEN {b}.type = 'Point' THEN {_point_distance(b, a)} "
-        f"WHEN {_intersects_sql(a, b)} THEN 0D ELSE {general} END"
+        f"WHEN {a}.type = 'Point' THEN {_point_distance(a, b, eb)} WHEN {b}.type = 'Point' THEN {_point_distance(b, a, ea)} "
+        f"WHEN {_intersects_sql(a, b, ea, eb)} THEN 0D ELSE {general} END"
     )
 
 
@@ -275,6 +278,14 @@ def _bind(text: str, **columns: Column) -> Column:
     return F.get(F.call_function("transform", bound, F.expr(f"s -> {text}")), F.lit(0))
 
 
+def _bind_pair(sql: Callable[[str, str, str, str], str], a: Column, b: Column) -> Column:
+    """Predicate over two geometries; the segments of a polygon constant are constants too."""
+    sides = {"a": a, "b": b}
+    segments = {f"e{k}": g.__dict__["_segments"] for k, g in sides.items() if "_segments" in g.__dict__}
+    text = lambda k: f"s.e{k}" if f"e{k}" in segments else _edges(f"s.{k}.rings")
+    return _bind(sql("s.a", "s.b", text("a"), text("b")), **sides, **segments)
+
+
 def _vertex(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -296,7 +307,11 @@ def st_makebox(xmin: Column, ymin: Column, xmax: Column, ymax: Column, srid: int
 def polygon(rings: list[list[tuple[float, float]]], srid: int = WGS84) -> Column:
     """Polygon constant from closed rings of ``(x, y)`` pairs; the optimizer folds it to a literal."""
     listed = [F.array(*[_vertex(F.lit(float(x)), F.lit(float(y))) for x, y in ring]) for ring in rings]
-    return _geometry("Polygon", srid, F.array(*listed))
+    constant = _geometry("Polygon", srid, F.array(*listed))
+    ends = [(*p, *q) for ring in rings for p, q in zip(ring, ring[1:])]
+    named = [F.struct(*[F.lit(float(v)).alias(k) for v, k in zip(e, ("ax", "ay", "bx", "by"))]) for e in ends]
+    constant.__dict__["_segments"] = F.array(*named)
+    return constant
 
 
 def st_geomfromgeojson(text: Column, srid: int = WGS84) -> Column:
@@ -342,12 +357,12 @@ def st_extent(geom: Column) -> Column:
 
 def st_intersects(a: Column, b: Column) -> Column:
     """The geometries share at least one point; touching boundaries count."""
-    return _bind(_intersects_sql("s.a", "s.b"), a=a, b=b)
+    return _bind_pair(_intersects_sql, a, b)
 
 
 def st_within(a: Column, b: Column) -> Column:
     """``a`` lies in ``b`` and their interiors meet; lying only on the boundary does not count."""
-    return _bind(_within_sql("s.a", "s.b"), a=a, b=b)
+    return _bind_pair(_within_sql, a, b)
 
 
 def st_contains(a: Column, b: Column) -> Column:
@@ -356,7 +371,7 @@ def st_contains(a: Column, b: Column) -> Column:
 
 def st_distance(a: Column, b: Column) -> Column:
     """Planar distance; zero when the geometries intersect."""
-    return _bind(_distance_sql("s.a", "s.b"), a=a, b=b)
+    return _bind_pair(_distance_sql, a, b)
 
 
 def st_transform(geom: Column, srid: int) -> Column:
@@ -374,6 +389,7 @@ def register(spark: SparkSession) -> None:
     g, two = f"g {GEOMETRY_TYPE}", f"a {GEOMETRY_TYPE}, b {GEOMETRY_TYPE}"
     vertex = "named_struct('x', x, 'y', y)"
     point = f"named_struct('type', 'Point', 'srid', 0, 'rings', array(array({vertex})))"
+    ea, eb = _edges("a.rings"), _edges("b.rings")
     definitions = {
         "st_point": ("x double, y double", GEOMETRY_TYPE, f"CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN {point} END"),
         # Spark keeps ``st_setsrid`` for its own geometry type, so the SQL name carries a prefix.
@@ -388,10 +404,10 @@ def register(spark: SparkSession) -> None:
         "st_ymin": (g, "double", _bound("g", "y", "array_min")),
         "st_xmax": (g, "double", _bound("g", "x", "array_max")),
         "st_ymax": (g, "double", _bound("g", "y", "array_max")),
-        "st_intersects": (two, "boolean", _intersects_sql("a", "b")),
-        "st_within": (two, "boolean", _within_sql("a", "b")),
-        "st_contains": (two, "boolean", _within_sql("b", "a")),
-        "st_distance": (two, "double", _distance_sql("a", "b")),
+        "st_intersects": (two, "boolean", _intersects_sql("a", "b", ea, eb)),
+        "st_within": (two, "boolean", _within_sql("a", "b", ea, eb)),
+        "st_contains": (two, "boolean", _within_sql("b", "a", eb, ea)),
+        "st_distance": (two, "double", _distance_sql("a", "b", ea, eb)),
         "st_transform": (f"{g}, srid int", GEOMETRY_TYPE, _transform_sql("g", "srid")),
     }
     for name, (arguments, returns, body) in definitions.items():

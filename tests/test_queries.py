@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference, duck
+from wardline.plans import catalog_of_queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog_of_queries()
 
 
 @pytest.fixture(scope="module")

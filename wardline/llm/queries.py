@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import mixing
+from wardline.llm import mixing, simhash
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op10_mixing": op10_mixing,
 }
 

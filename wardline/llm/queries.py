@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import mixing, simhash
+from wardline.llm import chat, hamming, mixing, quality, simhash
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,13 +20,32 @@ def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_hamming_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return hamming.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, QueryFn] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op8_hamming_top_k": op8_hamming_top_k,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.ORACLE,
+    "op8_hamming_top_k": hamming.ORACLE,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, hamming, mixing, quality, simhash
+from wardline.llm import chat, hamming, langid, mixing, quality, simhash
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language_of_documents(table(spark, folder, "documents"))
+
+
 def op8_hamming_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return hamming.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -41,6 +45,7 @@ QUERIES: dict[str, QueryFn] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
+    "op7_language_id": op7_language_id,
     "op8_hamming_top_k": op8_hamming_top_k,
     "op10_mixing": op10_mixing,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, hamming, langid, mixing, quality, simhash
+from wardline.llm import chat, hamming, langid, mixing, quality, simhash, substrings
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op8_hamming_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return hamming.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.span_rows(table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, QueryFn] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_hamming_top_k": op8_hamming_top_k,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, decontam, hamming, langid, mixing, quality, simhash, substrings
+from wardline.llm import chat, decontam, hamming, langid, mixing, quality, simhash, substrings, warc
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, QueryFn] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_hamming_top_k": op8_hamming_top_k,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, decontam, hamming, langid, mixing, quality, simhash, substrings, warc
+from wardline.llm import chat, decontam, hamming, langid, lm, mixing, quality, simhash, substrings, warc
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(table(spark, folder, "conversations"))
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.document_scores(table(spark, folder, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -56,6 +60,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,

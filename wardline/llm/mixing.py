@@ -163,3 +163,62 @@ def mix(
     touched = F.sequence(F.floor(F.col("from") / block).cast("bigint"), F.floor((F.col("to") - 1) / block).cast("bigint"))
     taken = F.when(F.col("size") > 0, F.aggregate(touched, F.lit(0).cast("bigint"), held)).otherwise(F.lit(0).cast("bigint"))
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+ORACLE = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           md5(concat_ws(':', 'mix-1', CAST(doc_id AS VARCHAR))) AS place FROM documents),
+docs AS (SELECT *, CAST('0x' || substr(place, 1, 3) AS INTEGER) AS bucket FROM sized),
+by_bucket AS (SELECT source, bucket, CAST(sum(size) AS BIGINT) AS bucket_size FROM docs GROUP BY ALL),
+by_source AS (
+    SELECT source, CAST(sum(bucket_size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
+    FROM by_bucket GROUP BY source),
+rooms AS (SELECT *, nth % 3 + 1 AS weight, 3 * source_size AS most, 3 * source_size / (nth % 3 + 1) AS room FROM by_source),
+levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY room, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY room, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+           CAST(sum(source_size) OVER () AS BIGINT) AS total FROM rooms),
+filled AS (SELECT *, max(CASE WHEN level < room THEN level END) OVER () AS fill FROM levels),
+targets AS (
+    SELECT source, nth, source_size, CAST(floor(total / 32 + 0.5) AS BIGINT) AS seats,
+           CASE WHEN fill IS NULL OR room <= fill THEN CAST(most AS DOUBLE) ELSE weight * fill END AS target FROM filled),
+offers AS (SELECT nth, seats, target / (2 * n + 1) AS quotient FROM (SELECT *, unnest(range(seats)) AS n FROM targets) WHERE target > 0),
+quotas AS (
+    SELECT nth, count(*) AS won FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, nth) AS rn FROM offers) WHERE rn <= seats
+    GROUP BY nth),
+plan AS (
+    SELECT source, t.nth, source_size, target, least(coalesce(won, 0), 3 * ((source_size + 31) // 32)) AS quota
+    FROM targets t LEFT JOIN quotas q USING (nth)),
+starts AS (
+    SELECT b.source, bucket, nth, source_size, target, quota, bucket_size,
+           CAST(coalesce(sum(bucket_size) OVER (PARTITION BY nth ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM by_bucket b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source),
+shards AS (SELECT *, (start + 31) // 32 AS j0, (start + bucket_size + 31) // 32 - (start + 31) // 32 AS n FROM starts),
+shard_offers AS (SELECT nth, bucket, quota, n / (2 * k + 1) AS quotient FROM (SELECT *, unnest(range(3 * n + 1)) AS k FROM shards WHERE n > 0)),
+shard_quotas AS (
+    SELECT nth, bucket, count(*) AS q
+    FROM (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY quotient DESC, bucket) AS rn FROM shard_offers) WHERE rn <= quota
+    GROUP BY nth, bucket),
+owned AS (
+    SELECT s.*, CASE WHEN n > 0 THEN struct_pack(j0 := j0, n := n, q := coalesce(q, 0),
+               shift := CAST('0x' || substr(md5(concat_ws(':', 'mix-1', CAST(nth AS VARCHAR), CAST(bucket AS VARCHAR))), 1, 7) AS BIGINT)) END AS own
+    FROM shards s LEFT JOIN shard_quotas USING (nth, bucket)),
+ready AS (
+    SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY nth ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM owned),
+placed AS (
+    SELECT d.doc_id, d.size, d.place, r.*, r.start + CAST(coalesce(sum(d.size) OVER (
+               PARTITION BY r.nth, d.bucket ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+    FROM docs d JOIN ready r ON d.source IS NOT DISTINCT FROM r.source AND d.bucket = r.bucket),
+pieces AS (SELECT *, unnest(range(first // 32, (first + size + 31) // 32)) AS j FROM placed WHERE size > 0),
+held AS (
+    SELECT *, least(first + size, (j + 1) * 32) - greatest(first, j * 32) AS width, CASE WHEN own IS NULL OR j < own.j0 THEN before ELSE own END AS s
+    FROM pieces),
+taken AS (
+    SELECT nth, bucket, place, doc_id, first,
+           sum(width * (s.q // s.n + CAST((2147483647 * (j - s.j0) + s.shift) % s.n < s.q % s.n AS BIGINT))) AS taken
+    FROM held GROUP BY ALL)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken
+FROM placed p LEFT JOIN taken t ON p.size > 0 AND p.nth = t.nth AND p.bucket = t.bucket AND p.place = t.place AND p.first = t.first
+"""

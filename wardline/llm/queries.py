@@ -72,5 +72,7 @@ QUERIES: dict[str, QueryFn] = {
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op8_hamming_top_k": hamming.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }

@@ -276,3 +276,19 @@ def round_trip(pages: DataFrame, *, page_id: str = "page_id", path: str | None =
     full = recs.filter("record_type = 'response'").select(F.col("record").alias("to"), "payload_bytes", "payload_digest").distinct()
     again = recs.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(full, "to")
     return own.union(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+ORACLE = """
+WITH full_payloads AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS digits FROM pages),
+digests AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + ((CAST('0x' || substr(digits, CAST(5 * (j // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (j % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest
+    FROM full_payloads),
+groups AS (SELECT payload_digest, max(page_id) AS first FROM digests GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM digests JOIN groups USING (payload_digest)
+"""

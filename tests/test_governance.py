@@ -55,7 +55,7 @@ def opened(s, ref, subject, agreement=None):
 
 
 POINTER = ("table_pointer", {"column": "device", "pointer_table": "pointer", "pointer_key_column": "device"})
-ASSETS = ("asset_registry", {"column": "device", "assets_table": "assets"})
+ASSETS = ("rec_registry", {"column": "device", "assets_table": "assets"})
 LISTED = ("http_in_list", {"column": "device", "list_table": "lists", "response_path": "data.items", "list_subject_column": "user_id"})
 
 
@@ -81,10 +81,14 @@ def test_row_filters(spark, tables, filters, subject, expected):
     assert opened(s, "ds.lake.readings", subject) == expected
 
 
-def test_list_cap_and_empty_means_all(spark, tables):
+def test_list_bound_and_empty_means_all(spark, tables):
     handler, args = LISTED
-    capped = session(spark, tables, entry("ds.a.readings", filters=[(handler, {**args, "max_items": "1"})]))
-    assert opened(capped, "a.readings", USER) == [1]
+    bounded = session(spark, tables, entry("ds.a.readings", filters=[(handler, {**args, "max_items": "1"})]))
+    with pytest.raises(Exception, match="more than 1 items"):
+        opened(bounded, "a.readings", USER)
+    assert opened(bounded, "a.readings", Subject("u2", "user", ("viewers",))) == []
+    wide = session(spark, tables, entry("ds.a.readings", filters=[(handler, {**args, "max_items": "50"})]))
+    assert opened(wide, "a.readings", USER) == [1, 3]
     everyone = session(spark, tables, entry("ds.a.readings", filters=[(handler, {**args, "empty_means_deny": "false"})]))
     assert opened(everyone, "a.readings", Subject("u2", "user", ("viewers",))) == [1, 2, 3, 4]
     assert opened(everyone, "a.readings", USER) == [1, 3]
@@ -170,13 +174,21 @@ def test_agreements(spark, tables):
     direct = agreement("direct_user_match", ["u2", "u7"], column="owner")
     assert opened(s, "a.readings", service, direct) == [2]
     # Delegation is decided before the service bypass.
-    members = agreement("asset_registry", ["u2"], column="device", assets_table="assets")
+    members = agreement("rec_registry", ["u2"], column="device", assets_table="assets")
     assert opened(s, "a.readings", service, members) == [2, 3]
-    none = agreement("asset_registry", ["u3"], column="device", assets_table="assets")
+    none = agreement("rec_registry", ["u3"], column="device", assets_table="assets")
     assert opened(s, "a.readings", service, none) == []
     for handler, args in (POINTER, LISTED):
-        with pytest.raises(rls.DelegationNotSupported):
-            s.open(["a.readings"], service, agreement(handler, ["u1"], **args))
+        for people in (["u1"], []):
+            assert refused(s, ["a.readings"], service, agreement(handler, people, **args)) == (500, ["a.readings"])
+    # No principals: no rows, be it on the identity of a service, an admin or a listed user.
+    for people in ([], None, spark.createDataFrame([], "p string")):
+        for who in (service, USER, Subject("root", "user", ("admins",))):
+            assert opened(s, "a.readings", who, agreement("direct_user_match", people, column="owner")) == []
+            assert opened(s, "a.readings", who, agreement("rec_registry", people, column="device", assets_table="assets")) == []
+    crowd = spark.range(100_000).selectExpr("concat('x', id) AS p").union(spark.createDataFrame([("u2",)], "p string"))
+    assert opened(s, "a.readings", service, agreement("direct_user_match", crowd, column="owner")) == [2]
+    assert opened(s, "a.readings", service, agreement("rec_registry", crowd, column="device", assets_table="assets")) == [2, 3]
     page = s.open(["a.readings"], service, direct)["a.readings"].limit(10)
     record = s.disclosures(["a.readings"], direct, page).first()
     assert (record.dataset_id, record.row_count, record.authorized_subject_ids) == ("ds.a.readings", 1, ["u2", "u7"])
@@ -199,12 +211,33 @@ def test_registry(spark, tables):
         registry.register("table_pointer", rls.table_pointer)
     s = session(spark, tables, entry("ds.a.readings", filters=[("evens", {})]), registry=registry)
     assert opened(s, "a.readings", USER) == [2, 4]
-    with pytest.raises(KeyError):
+    with pytest.raises(rls.UnknownHandler):
         registry.resolve("absent", FilterContext(spark, USER, {}, lambda n: None))
     with pytest.raises(ValueError):
         registry.resolve("direct_user_match", FilterContext(spark, USER, {}, lambda n: None))
 
 
+def test_filters_that_cannot_be_had_refuse_the_request(spark, tables):
+    handler, args = LISTED
+    unnamed = {k: v for k, v in args.items() if k != "list_subject_column"}
+    for spec in (("absent", {}), ("direct_user_match", {}), (handler, unnamed)):
+        assert refused(session(spark, tables, entry("ds.a.readings", filters=[spec])), ["a.readings"], USER) == (500, ["a.readings"])
+    shared = session(spark, tables, entry("ds.a.readings", filters=[(handler, {**unnamed, "list_shared": "true"})]))
+    assert set(opened(shared, "a.readings", USER)) >= {1, 2, 3}
+
+
+def test_batch_and_session_give_the_same_status(spark):
+    rows = [
+        (1, None, "unknown_dataset", 400, False), (1, "b", "denied", 403, False),
+        (2, "a", "login_required", 401, False), (2, "b", "not_offered", 403, False), (2, "c", "allow", 200, True),
+        (3, "a", "allow", 200, True), (4, "z", "denied", 403, False), (4, "y", "invalid_level", 500, False),
+        (5, None, "unknown_dataset", 400, False), (5, None, "unknown_dataset", 400, False),
+    ]
+    log = spark.createDataFrame(rows, "request_id int, dataset_id string, verdict string, status int, allowed boolean")
+    got = {r.request_id: (r.status, r.n_refused, r.allowed) for r in access.judge_requests(log).collect()}
+    assert got == {1: (400, 2, False), 2: (403, 2, False), 3: (200, 0, True), 4: (500, 2, False), 5: (400, 2, False)}
+
+
 def test_entitled_rows_are_the_union_over_subjects(spark, tables):
     subjects = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "s string")
     grants = rls.pointer_entitlements(subjects, tables["pointer"], "device", "user_id")

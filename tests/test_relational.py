@@ -33,15 +33,34 @@ def test_page(spark):
         rel.paginate(df, [], 2, 2)
 
 
-@pytest.mark.parametrize(("asked", "got"), [(0, 100), (-5, 100), (7, 7), (20_000, 10_000)])
-def test_limit_clamp(asked, got):
-    assert rel.clamp_limit(asked) == got
+@pytest.mark.parametrize(("asked", "got"), [(0, 100), (-5, 100), (7, 7), (10_000, 10_000)])
+def test_page_size(asked, got):
+    assert rel.page_size(asked) == got
+
+
+def test_pages_above_the_maximum_are_refused(spark):
+    with pytest.raises(ValueError):
+        rel.page_size(20_000)
+    assert rel.paginate(spark.range(20_000), [F.col("id").asc()], 15_000, maximum=50_000).count() == 15_000
+
+
+def test_pages_by_key_join_up(spark):
+    df = spark.createDataFrame([(i % 4, i) for i in range(23)], "a int, b int")
+    page, got = rel.paginate(df, [F.col("a"), F.col("b")], 5).collect(), []
+    while page:
+        got += page
+        page = rel.page_after(df, ["a", "b"], list(page[-1]), 5).collect()
+    assert got == sorted(df.collect())
+    with pytest.raises(ValueError):
+        rel.page_after(df, ["a"], [])
 
 
 def test_sample_bounds(spark):
     df = spark.range(1500)
     assert rel.sample_rows(df, [F.col("id").asc()]).count() == 100
-    assert rel.sample_rows(df, [F.col("id").asc()], 5000).count() == 1000
+    assert rel.sample_rows(df, [F.col("id").asc()], 1000).count() == 1000
+    with pytest.raises(ValueError):
+        rel.sample_rows(df, [F.col("id").asc()], 5000)
     assert rel.sample_rows(df, [F.col("id").asc()], -1).count() == 0
 
 

@@ -118,14 +118,19 @@ def access_decisions(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def judge_requests(decisions: DataFrame, request: str = "request_id") -> DataFrame:
-    """One row per request: it passes only if every referenced dataset passes."""
+    """One row per request: it passes only if every referenced dataset passes.
+
+    The status is that of the refusal which ``GovernedSession`` reports: an unknown dataset first, then one that isn't
+    offered, then the first by id. Every refused reference counts, resolved or not.
+    """
     refused = F.when(~F.col("allowed"), F.col("dataset_id"))
+    rank = F.struct(F.col("status") != 400, F.col("verdict") != "not_offered", "dataset_id")
     return decisions.groupBy(request).agg(
         F.bool_and("allowed").alias("allowed"),
         F.count(F.lit(1)).alias("n_datasets"),
-        F.count(refused).alias("n_refused"),
+        F.count_if(~F.col("allowed")).alias("n_refused"),
         F.min(refused).alias("first_refused"),
-        F.max("status").alias("status"),
+        F.coalesce(F.min_by("status", F.when(~F.col("allowed"), rank)), F.lit(200)).alias("status"),
     )
 
 

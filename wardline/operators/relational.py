@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,15 +16,39 @@ DEFAULT_SAMPLE = 100
 MAX_SAMPLE = 1000
 
 
-def clamp_limit(limit: int) -> int:
-    return DEFAULT_LIMIT if limit <= 0 else min(limit, MAX_LIMIT)
+def page_size(limit: int, maximum: int = MAX_LIMIT) -> int:
+    """The asked size, or the default for none; above ``maximum`` is refused, as a shorter page would look complete."""
+    if limit > maximum:
+        raise ValueError(f"a page holds at most {maximum} rows, not {limit}")
+    return limit if limit > 0 else DEFAULT_LIMIT
 
 
-def paginate(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
-    """One page. ``order`` must end in a unique key, otherwise pages are not stable."""
+def paginate(
+    df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, offset: int = 0, maximum: int = MAX_LIMIT
+) -> DataFrame:
+    """One page. ``order`` must end in a unique key, otherwise pages are not stable.
+
+    Rows up to the end of the page pass one task; for deep pages use ``page_after``.
+    """
     if not order:
         raise ValueError("paging needs an order")
-    return df.orderBy(*order).offset(max(offset, 0)).limit(clamp_limit(limit))
+    return df.orderBy(*order).offset(max(offset, 0)).limit(page_size(limit, maximum))
+
+
+def page_after(
+    df: DataFrame, keys: Sequence[str], last: Sequence[Any], limit: int = DEFAULT_LIMIT, maximum: int = MAX_LIMIT
+) -> DataFrame:
+    """The page after the row whose ``keys`` are ``last``, ascending: no row before it is sorted or carried along.
+
+    ``keys`` are not null and end in a unique one.
+    """
+    if not keys or len(keys) != len(last):
+        raise ValueError("a page needs keys and a value for each")
+    after = F.lit(False)
+    for name, value in reversed(list(zip(keys, last))):
+        after = (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & after)
+    first = F.col(keys[0]) >= F.lit(last[0])  # this part reaches the scan
+    return df.filter(first & after).orderBy(*keys).limit(page_size(limit, maximum))
 
 
 def total_count(df: DataFrame) -> DataFrame:
@@ -36,7 +61,7 @@ def page_metrics(page: DataFrame, whole: DataFrame | None, limit: int, offset: i
     total = F.lit(None).cast("bigint") if whole is None else total_count(whole).scalar()
     return page.agg(F.count(F.lit(1)).alias("count")).select(
         F.lit(max(offset, 0)).alias("offset"),
-        F.lit(clamp_limit(limit)).alias("limit"),
+        F.lit(page_size(limit)).alias("limit"),
         "count",
         total.alias("total"),
     )
@@ -45,9 +70,11 @@ def page_metrics(page: DataFrame, whole: DataFrame | None, limit: int, offset: i
 def sample_rows(
     df: DataFrame, order: Sequence[Column], limit: int | None = None, maximum: int = MAX_SAMPLE
 ) -> DataFrame:
-    """Bounded, repeatable sample in key order."""
-    wanted = DEFAULT_SAMPLE if limit is None else limit
-    return df.orderBy(*order).limit(max(0, min(wanted, maximum)))
+    """Bounded, repeatable sample in key order; more than ``maximum`` rows are refused."""
+    wanted = DEFAULT_SAMPLE if limit is None else max(0, limit)
+    if wanted > maximum:
+        raise ValueError(f"a sample holds at most {maximum} rows, not {wanted}")
+    return df.orderBy(*order).limit(wanted)
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

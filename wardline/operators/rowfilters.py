@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.functions.access import ADMIN_GROUP
 
-DEFAULT_MAX_ITEMS = 2000  # fixed value: allow-list cap when the spec states none
 DEFAULT_PLAN_TTL = 300  # fixed value: plan lifetime in seconds
 
 
@@ -67,6 +66,10 @@ class DelegationNotSupported(ValueError):
     """The handler only knows the caller's own rows."""
 
 
+class UnknownHandler(ValueError):
+    """A spec names a handler that isn't registered."""
+
+
 def deny() -> FilterPlan:
     return FilterPlan(lambda df: df.filter(F.lit(False)), meta={"kind": "deny"})
 
@@ -158,21 +161,31 @@ def list_items(payload: DataFrame, json_column: str, path: str = "$") -> DataFra
 def in_list(ctx: FilterContext) -> FilterPlan:
     """``column IN (list)`` from the answer of an external list service, stored as a table.
 
-    ``list_table`` holds the answers (JSON text in ``list_column``, optionally one row per
-    subject in ``list_subject_column``). ``max_items`` is the documented bound of the list.
+    ``list_table`` holds the answers (JSON text in ``list_column``), one row per subject named in
+    ``list_subject_column``; a spec whose list is the same for everybody says so with
+    ``list_shared = true``. The whole list counts. If ``max_items`` is stated, a longer list fails
+    the request.
     """
     if ctx.principals is not None:
         raise DelegationNotSupported("http_in_list does not support delegated principals")
     column, name = ctx.require("column"), ctx.require("list_table")
     answers = ctx.table(name)
     by_subject = ctx.args.get("list_subject_column")
+    if not by_subject and str(ctx.args.get("list_shared", "")).lower() != "true":
+        raise ValueError("row filter needs args.list_subject_column, or list_shared = true")
     if by_subject:
         answers = answers.filter(F.col(by_subject) == F.lit(ctx.subject.sub).cast(answers.schema[by_subject].dataType))
-    cap = int(ctx.args.get("max_items") or DEFAULT_MAX_ITEMS)
     items = list_items(answers, ctx.args.get("list_column") or "payload", ctx.args.get("response_path") or "$")
-    keys = items.orderBy("position", "item").limit(cap).select("item")
+    keys = items.select("item")
     empty_denies = str(ctx.args.get("empty_means_deny", "true")).lower() not in ("false", "0", "")
-    return allow_list(column, keys, empty_denies)
+    plan = allow_list(column, keys, empty_denies)
+    if not ctx.args.get("max_items"):
+        return plan
+    most = int(ctx.args["max_items"])
+    n = F.count(F.lit(1))
+    too_long = F.raise_error(F.lit(f"list of {name} has more than {most} items"))
+    fits = F.when(n > most, too_long.cast("boolean")).otherwise((n > 0) | F.lit(not empty_denies))
+    return FilterPlan(plan.apply, gate=keys.agg(fits.alias("fits")))
 
 
 def allow_list(column: str, keys: DataFrame, empty_means_deny: bool = True) -> FilterPlan:
@@ -189,11 +202,8 @@ def allow_list(column: str, keys: DataFrame, empty_means_deny: bool = True) -> F
 
 
 def asset_registry(ctx: FilterContext) -> FilterPlan:
-    """Rows of the devices that belong to the caller, or to the delegated members.
-
-    Delegation is decided before the service bypass: a delegated request always arrives on
-    a service identity and must not see the whole table.
-    """
+    """Rows of the devices that belong to the caller, or to the delegated members; a service that asks for itself
+    sees all rows."""
     column = ctx.require("column")
     if ctx.principals is not None:
         devices = member_devices(_assets(ctx), ctx.principals).select("sensor_id")
@@ -232,7 +242,7 @@ class RowFilterRegistry:
             "direct_user_match": direct_user_match,
             "table_pointer": table_pointer,
             "http_in_list": in_list,
-            "asset_registry": asset_registry,
+            "rec_registry": asset_registry,  # fixed value: the name in stored specs
         }
 
     def register(self, name: str, handler: Handler) -> None:
@@ -245,7 +255,7 @@ class RowFilterRegistry:
 
     def resolve(self, name: str, ctx: FilterContext) -> FilterPlan:
         if name not in self._handlers:
-            raise KeyError(f"unknown row filter handler {name!r}")
+            raise UnknownHandler(f"unknown row filter handler {name!r}")
         return self._handlers[name](ctx)
 
 
@@ -267,12 +277,14 @@ def apply_gates(df: DataFrame, plans: Sequence[FilterPlan]) -> DataFrame:
 # --- plan lifetime and identity -----------------------------------------------------
 
 
-def plan_ttl(now: Column, expires: Column, override: Column, default: int = DEFAULT_PLAN_TTL) -> Column:
-    """Seconds a resolved plan may live: the control plane's value, else token rest, else the default."""
+def plan_ttl(
+    now: Column, expires: Column, override: Column, default: int = DEFAULT_PLAN_TTL, maximum: int = DEFAULT_PLAN_TTL
+) -> Column:
+    """Seconds a resolved plan may live: the control plane's value, else token rest, else the default; at most ``maximum``."""
     # greatest() skips nulls, so a token without expiry must stay null here.
     rest = F.when(expires.isNotNull(), F.greatest(F.lit(0), expires - now))
     wanted = F.coalesce(override, rest, F.lit(default))
-    return F.greatest(F.lit(0), F.least(wanted, F.lit(default)))
+    return F.greatest(F.lit(0), F.least(wanted, F.lit(maximum)))
 
 
 def plan_key(handler: Column, table: Column, sub: Column, principals: Column, args: Column) -> Column:
@@ -302,7 +314,10 @@ def pointer_entitlements(subjects: DataFrame, pointer: DataFrame, key: str, subj
 
 
 def visible_rows(data: DataFrame, key: str, entitlements: DataFrame) -> DataFrame:
-    """Every row with each subject that may see it: ``(subject, …row)``."""
+    """Every row with each subject that may see it: ``(subject, …row)``.
+
+    A row comes once for each of its subjects, so the result may be many times the data; ``visible_totals`` avoids that.
+    """
     return data.join(entitlements, data[key] == entitlements["key"]).drop(entitlements["key"])
 
 

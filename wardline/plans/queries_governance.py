@@ -39,11 +39,11 @@ def sales_session(t: Tables, registry: RowFilterRegistry | None = None) -> Gover
     """Governed session over the sales tables; the filters follow the roles of the tables."""
     pointer = {"column": "o_custkey", "pointer_table": "sales.pointer", "pointer_key_column": "c_custkey", "pointer_subject_column": "owner"}
     assets = {"column": "l_suppkey", "assets_table": "sales.assets"}
-    listed = {"column": "c_custkey", "list_table": "sales.lists", "response_path": "data.items"}
+    listed = {"column": "c_custkey", "list_table": "sales.lists", "response_path": "data.items", "list_shared": "true"}
     entries = [
         _entry("orders", "internal", [("table_pointer", pointer)], offered=True),
         _entry("events", "internal", [("direct_user_match", {"column": "user_id"})], offered=True),
-        _entry("lineitem", "internal", [("asset_registry", assets)], offered=True),
+        _entry("lineitem", "internal", [("rec_registry", assets)], offered=True),
         _entry("customer", "internal", [("http_in_list", listed)]),
         _entry("part", "open"),
         _entry("supplier", "restricted"),
@@ -109,16 +109,24 @@ def rls_direct_user(t: Tables) -> DataFrame:
 
 @query(
     "rls_direct_principals",
-    """SELECT event_id, user_id FROM events WHERE user_id IN
-         (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 250)""",
+    """SELECT event_id, user_id, 'consenting' AS principals FROM events WHERE user_id IN
+         (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 250)
+       UNION ALL SELECT event_id, user_id, 'none' FROM events WHERE FALSE""",
 )
 def rls_direct_principals(t: Tables) -> DataFrame:
     consenting = t.events.filter((F.col("event_type") == "purchase") & (F.col("value") > 250)).select(
         F.col("user_id").cast("string").alias("principal")
     )
     service = Subject("svc", "service", scopes=("dataset.query",))
-    ctx = FilterContext(t.spark, service, {"column": "user_id"}, lambda name: t.events, consenting)
-    return rls.direct_user_match(ctx).apply(t.events).select("event_id", "user_id")
+    session = sales_session(t)
+
+    def served(label: str, principals: DataFrame) -> DataFrame:
+        stated = {"handler": "direct_user_match", "args": {"column": "user_id"}, "principals": principals}
+        agreement = Agreement("ag-1", "did:web:consumer", {"datasets.sales.events": stated})
+        rows = session.open(["sales.events"], service, agreement)["sales.events"]
+        return rows.select("event_id", "user_id", F.lit(label).alias("principals"))
+
+    return served("consenting", consenting).unionByName(served("none", consenting.filter(F.lit(False))))
 
 
 @query(
@@ -135,7 +143,7 @@ def rls_table_pointer(t: Tables) -> DataFrame:
 
 @query(
     "rls_allow_list",
-    """WITH keys AS (SELECT p_partkey FROM part WHERE p_size <= 25 ORDER BY p_partkey LIMIT 2000)
+    """WITH keys AS (SELECT p_partkey FROM part WHERE p_size <= 25)
        SELECT l_orderkey, l_linenumber, l_partkey, 'deny if empty' AS mode FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM keys)
        UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'all if empty' FROM lineitem""",
 )
@@ -147,10 +155,9 @@ def rls_allow_list(t: Tables) -> DataFrame:
         ).alias("payload"),
     )
     items = rls.list_items(answers, "payload", "data.items").select(F.col("item").cast("bigint").alias("item"))
-    capped = items.orderBy("item").limit(rls.DEFAULT_MAX_ITEMS)
     nothing = rls.list_items(answers, "payload", "data.absent").select("item")
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    listed = rls.allow_list("l_partkey", capped).apply(lines).withColumn("mode", F.lit("deny if empty"))
+    listed = rls.allow_list("l_partkey", items).apply(lines).withColumn("mode", F.lit("deny if empty"))
     everything = rls.allow_list("l_partkey", nothing, empty_means_deny=False).apply(lines)
     return listed.unionByName(everything.withColumn("mode", F.lit("all if empty")))
 
@@ -176,7 +183,7 @@ def rls_asset_members(t: Tables) -> DataFrame:
         "did:web:consumer",
         {
             "datasets.sales.lineitem": {
-                "handler": "asset_registry",
+                "handler": "rec_registry",
                 "args": {"column": "l_suppkey", "assets_table": "sales.assets"},
                 "principals": members,
             }
@@ -333,7 +340,9 @@ def dataspace_gate(t: Tables) -> DataFrame:
     "join_judged_whole",
     tb.with_requests(
         """SELECT request_id, bool_and(allowed) AS allowed, count(*) AS n_datasets, count(*) FILTER (WHERE NOT allowed) AS n_refused,
-                  min(dataset_id) FILTER (WHERE NOT allowed) AS first_refused, max(status) AS status FROM decided GROUP BY 1"""
+                  min(dataset_id) FILTER (WHERE NOT allowed) AS first_refused,
+                  coalesce(first(status ORDER BY status <> 400, verdict <> 'not_offered', dataset_id) FILTER (WHERE NOT allowed), 200) AS status
+           FROM decided GROUP BY 1"""
     ),
 )
 def join_judged_whole(t: Tables) -> DataFrame:
@@ -539,14 +548,12 @@ def audit_disclosure(t: Tables) -> DataFrame:
 
 @query(
     "audit_page",
-    """SELECT 'datasets.sales.orders' AS dataset_id, 'ag-2' AS agreement_id, least(count(*), 10000) AS row_count FROM orders
+    """SELECT 'datasets.sales.orders' AS dataset_id, 'ag-2' AS agreement_id, count(*) AS row_count FROM orders
        WHERE o_totalprice > 250000""",
 )
 def audit_page(t: Tables) -> DataFrame:
-    from wardline.operators.relational import paginate
-
     agreement = Agreement("ag-2", "did:web:consumer", {})
     session = sales_session(t)
     orders = session.open(["sales.orders"], Subject("svc", "service"), agreement)["sales.orders"]
-    page = paginate(orders.filter(F.col("o_totalprice") > 250000), [F.col("o_orderkey").asc()], 10_000)
-    return session.disclosures(["sales.orders"], agreement, page).select("dataset_id", "agreement_id", "row_count")
+    served = orders.filter(F.col("o_totalprice") > 250000)
+    return session.disclosures(["sales.orders"], agreement, served).select("dataset_id", "agreement_id", "row_count")

@@ -543,6 +543,15 @@ def paginate(t: Tables) -> DataFrame:
     return rel.paginate(rows, [pg.asc("o_orderdate"), pg.asc("o_orderkey")], 250, 1000)
 
 
+@query(
+    "page_after",
+    """SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, o_orderkey) > (250000.0, 77)
+       ORDER BY o_totalprice, o_orderkey LIMIT 200""",
+)
+def page_after(t: Tables) -> DataFrame:
+    return rel.page_after(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], [250000.0, 77], 200)
+
+
 @query(
     "page_metrics",
     """SELECT 1000 AS "offset", 10000 AS "limit", least(greatest(count(*) - 1000, 0), 10000) AS count, count(*) AS total
@@ -550,8 +559,8 @@ def paginate(t: Tables) -> DataFrame:
 )
 def page_metrics(t: Tables) -> DataFrame:
     whole = t.orders.filter(F.col("o_orderstatus") == "F")
-    page = rel.paginate(whole, [pg.asc("o_orderkey")], 50_000, 1000)
-    return rel.page_metrics(page, whole, 50_000, 1000)
+    page = rel.paginate(whole, [pg.asc("o_orderkey")], 10_000, 1000)
+    return rel.page_metrics(page, whole, 10_000, 1000)
 
 
 @query(
@@ -573,4 +582,4 @@ def top_k(t: Tables) -> DataFrame:
 
 @query("sample_rows", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 1000")
 def sample_rows(t: Tables) -> DataFrame:
-    return rel.sample_rows(t.events.select("event_id", "event_type", "value"), [pg.asc("event_id")], 5000)
+    return rel.sample_rows(t.events.select("event_id", "event_type", "value"), [pg.asc("event_id")], 1000)

@@ -14,6 +14,7 @@ from wardline.operators.rowfilters import (
     FilterPlan,
     RowFilterRegistry,
     Subject,
+    UnknownHandler,
     apply_gates,
     apply_plans,
     specs_column,
@@ -34,7 +35,8 @@ class Agreement:
     """A dataspace request: who consumes under which agreement, and the filters it states.
 
     ``filters`` maps dataset id to ``{"handler", "args", "principals"}``; datasets without an
-    entry are unfiltered.
+    entry are unfiltered. ``principals`` is a list of ids or a DataFrame of one string column;
+    an entry always serves the rows of its principals only, so none of them means no rows.
     """
 
     def __init__(
@@ -101,7 +103,7 @@ class GovernedSession:
                 agreement.consumer_id,
                 agreement.agreement_id,
                 agreement.transfer_id,
-                (agreement.filters.get(r["dataset_id"]) or {}).get("principals"),
+                self._named((agreement.filters.get(r["dataset_id"]) or {}).get("principals")),
             )
             for r in self._resolved(refs, self._candidates(refs)).select("dataset_id").collect()
         ]
@@ -113,6 +115,13 @@ class GovernedSession:
 
     # --- internals ------------------------------------------------------------------
 
+    @staticmethod
+    def _named(principals: Any) -> list[str] | None:
+        """The people a disclosure record names: they are part of one audit row."""
+        if isinstance(principals, DataFrame):
+            return [r[0] for r in principals.collect()]
+        return principals
+
     def _candidates(self, refs: Sequence[str]) -> DataFrame:
         """Catalogue rows the refs can mean; the filter reaches the catalogue's scan."""
         two_part = F.substring_index("dataset_id", ".", -2)
@@ -157,15 +166,25 @@ class GovernedSession:
             stated = agreement.filters.get(entry["dataset_id"])
             if stated is None:
                 return []
-            people = stated.get("principals") or []
-            principals = self.spark.createDataFrame([(p,) for p in people], "principal string") if people else None
-            ctx = FilterContext(self.spark, subject, stated.get("args") or {}, self.source.table, principals)
-            return [self.registry.resolve(stated["handler"], ctx)]
+            people = stated.get("principals")
+            if not isinstance(people, DataFrame):
+                people = self.spark.createDataFrame([(p,) for p in people or []], "principal string")
+            ctx = FilterContext(self.spark, subject, stated.get("args") or {}, self.source.table, people)
+            return [self._resolve(ref, stated["handler"], ctx)]
         if not entry["specs"] or subject.is_admin:
             return []
         if subject.type == "anonymous":
             raise AccessRefused(401, "row filtering requires authentication", [ref])
         return [
-            self.registry.resolve(handler, FilterContext(self.spark, subject, args, self.source.table))
+            self._resolve(ref, handler, FilterContext(self.spark, subject, args, self.source.table))
             for handler, args in entry["specs"]
         ]
+
+    def _resolve(self, ref: str, handler: str | None, ctx: FilterContext) -> FilterPlan:
+        """The plan of a spec; one that can't be had refuses the request, never opens the data."""
+        try:
+            return self.registry.resolve(handler or "", ctx)
+        except UnknownHandler as unknown:
+            raise AccessRefused(500, str(unknown), [ref]) from unknown
+        except Exception as failed:
+            raise AccessRefused(500, f"row filter handler {handler!r} failed", [ref]) from failed

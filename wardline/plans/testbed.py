@@ -218,7 +218,7 @@ def requests(t: Tables, cat: DataFrame | None = None) -> DataFrame:
     named = log.join(cat.select("doc_id", "dataset_id"), "doc_id", "left")
     unknown = F.concat(F.lit("datasets.unknown.t_"), F.col("doc_id"))
     return named.withColumn(
-        "dataset_id", F.when((F.col("action") == "delete") & (F.col("value") < 20), unknown).otherwise(F.col("dataset_id"))
+        "dataset_id", F.when((F.col("action") == "delete") & (F.col("value") < 20) & (F.col("doc_id") % 2 == 0), unknown).otherwise(F.col("dataset_id"))
     )
 
 
@@ -232,7 +232,7 @@ req0 AS (
          value < 10 AS under_agreement, d.doc_id
   FROM ev, LATERAL (SELECT k AS doc_id UNION SELECT user_id) d),
 req AS (
-  SELECT r.*, CASE WHEN r.action = 'delete' AND r.value < 20 THEN 'datasets.unknown.t_' || CAST(r.doc_id AS VARCHAR) ELSE c.dataset_id END AS dataset_id,
+  SELECT r.*, CASE WHEN r.action = 'delete' AND r.value < 20 AND r.doc_id % 2 = 0 THEN 'datasets.unknown.t_' || CAST(r.doc_id AS VARCHAR) ELSE c.dataset_id END AS dataset_id,
          r.user_id % 4 = 0 AS is_admin, r.user_id % 4 = 1 AS is_manager, r.user_id % 4 IN (0, 2) AS is_viewer,
          CASE r.action WHEN 'write' THEN 'dataset.write' WHEN 'delete' THEN 'dataset.admin' ELSE 'dataset.query' END AS want
   FROM req0 r LEFT JOIN cat c ON r.doc_id = c.doc_id),

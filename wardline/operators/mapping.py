@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Namespaces of public vocabularies.
 PREFIXES = {
@@ -199,6 +199,25 @@ def subject_column(df: DataFrame, spec: Mapping[str, Any], context: Mapping[str,
     return template_column(spec["id_template"], df.columns, context or {})
 
 
+def mapped_fields(
+    df: DataFrame, fields: Sequence[Mapping[str, Any]], parent: Column | None = None, kind: Any = None
+) -> list[tuple[Mapping[str, Any], Column | None]]:
+    """Every field with its column, nested ones at any depth; no column if the table has none of that name.
+
+    A nested source is a member of its parent's struct, else a column of the table.
+    """
+    found: list[tuple[Mapping[str, Any], Column | None]] = []
+    for item in fields:
+        source, column, own = item.get("source"), None, None
+        if source and isinstance(kind, T.StructType) and source in kind.fieldNames():
+            column, own = parent[source], kind[source].dataType
+        elif source and source in df.columns:
+            column, own = F.col(source), df.schema[source].dataType
+        found.append((item, column))
+        found += mapped_fields(df, item.get("nested_fields") or [], column, own)
+    return found
+
+
 def _statements(
     df: DataFrame, spec: Mapping[str, Any], context: Mapping[str, str], prefixes: Mapping[str, str]
 ) -> list[Column]:
@@ -208,15 +227,17 @@ def _statements(
         )
 
     found = [statement(RDF_TYPE, F.lit(expand(spec["target_type"], prefixes)), "iri", None)]
-    for field in spec.get("fields") or []:
+    for field, column in mapped_fields(df, spec.get("fields") or []):
+        if not field.get("target"):
+            continue  # only holds nested fields
         target, kind = expand(field["target"], prefixes), field.get("kind") or "literal"
         datatype = expand(field["datatype"], prefixes) if field.get("datatype") else None
         if kind == "constant":
             value = template_column(field["value"], df.columns, context)
             is_iri = "://" in field["value"]
             found.append(F.when(value.isNotNull(), statement(target, value, "iri" if is_iri else "literal", datatype)))
-        elif field.get("source") in df.columns:
-            value = F.col(field["source"]).cast("string")
+        elif column is not None:
+            value = column.cast("string")
             plain = kind if kind == "iri" else "literal"
             found.append(F.when(value.isNotNull(), statement(target, value, plain, None if kind == "iri" else datatype)))
     return found

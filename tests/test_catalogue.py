@@ -310,3 +310,55 @@ def test_table_source(spark, tmp_path):
     assert source.table("session_view").count() == 4
     assert "session_view" in {r.table_name for r in intro.list_tables(spark).collect()}
     assert "session_view" not in {r.table_name for r in intro.list_tables(spark, include_views=False).collect()}
+
+
+def test_a_pattern_stated_twice_counts_once_and_overrides_win(spark):
+    schema = "pattern string, overlay map<string,string>"
+    base = spark.createDataFrame([("a.*", {"level": "open", "dcat.x": "1", "title": "t"}), ("b.*", {"level": "open"})], schema)
+    override = spark.createDataFrame([("a.*", {"level": None, "dcat": None}), ("c.*", {"level": "secret"})], schema)
+    layered = {r.pattern: r.overlay for r in rules.layer_rules(base, override).collect()}
+    assert layered == {"a.*": {"level": None, "dcat": None, "title": "t"}, "b.*": {"level": "open"}, "c.*": {"level": "secret"}}
+    names = spark.createDataFrame([("a.one",), ("z",)], "dataset_name string")
+    twice = base.union(base).union(override)
+    assert sorted(r.dataset_name for r in rules.resolve_rules(names, twice).collect()) == ["a.one", "z"]
+
+
+def test_upsert_with_repeated_ids_and_plan_with_deletes(spark):
+    def entries(*rows):
+        made = [{"dataset_id": i, "title": t, "backend_type": "postgres", "backend_config": {"table": table}} for i, t, table in rows]
+        return spark.createDataFrame(made, CATALOGUE)
+
+    current = entries(("a", "old", "t1"), ("b", "old", "gone"), ("c", "old", "t1"))
+    incoming = entries(("a", "new", "t1"), ("a", "new", "t1"), ("d", "new", "t1"), ("e", "new", "gone"))
+    tables = spark.createDataFrame([("t1",)], "table_name string")
+    after = sorted((r.dataset_id, r.title, r.import_action) for r in ops.upsert(current, incoming, tables).collect())
+    assert after == [("a", "new", "updated"), ("b", "old", "kept"), ("c", "old", "kept"), ("d", "new", "created")]
+    plan = {r.dataset_id: r.action for r in ops.plan_import(current, incoming, tables, remove_stale=True).collect()}
+    assert plan == {"a": "update", "b": "delete", "c": "keep", "d": "create", "e": "skip"}
+    assert ops.plan_import(current, incoming, tables).filter("action = 'delete'").count() == 0
+
+
+def test_documents_in_the_order_given_and_malformed_ones(spark, tmp_path):
+    first, second = tmp_path / "z.json", tmp_path / "a.json"
+    first.write_text('{"dataset_id": "x", "title": "first", "backend_type": "s3"}\n{broken\n{broken too\n')
+    second.write_text('{"dataset_id": "x", "title": "second", "backend_type": "s3"}\n')
+    for given, title in (([str(first), str(second)], "second"), ([str(second), str(first)], "first")):
+        loaded = docs.load_catalogue(spark, given)
+        assert [r.title for r in loaded.filter("dataset_id = 'x'").collect()] == [title]
+        assert ops.validation_errors(loaded).filter("size(errors) > 0").count() == 2
+    assert sorted(r.text for r in docs.malformed(spark, [str(first), str(second)]).collect()) == ["{broken", "{broken too"]
+
+
+def test_sink_leaves_what_is_there(spark, tmp_path):
+    entries = spark.createDataFrame([{"dataset_id": str(i)} for i in range(30)], CATALOGUE).withColumn("app", F.lit("one"))
+    path = str(tmp_path / "out")
+    docs.write_catalogue(entries, path, group="app", records_per_file=10)
+    assert len(list((tmp_path / "out" / "app=one").glob("part-*"))) >= 3
+    with pytest.raises(Exception, match="exists"):
+        docs.write_catalogue(entries, path, group="app")
+    assert spark.read.json(path).count() == 30
+
+
+def test_members_called_like_a_geometry_are_none(spark):
+    df = spark.sql("SELECT named_struct('viewpoint', 1) AS s, 'x' AS point_of_sale")
+    assert not any(r.is_geospatial for r in intro.describe_columns(df, "s", "t").collect())

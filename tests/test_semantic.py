@@ -244,3 +244,23 @@ def test_screening(spark):
         text, reasons, tables = TEXTS[r.i]
         assert (sorted(r.reasons), r.tables, r.accepted) == (sorted(reasons), tables, not reasons), text
     assert {r.rule: r.queries for r in screening.rule_totals(screening.screen(df)).collect()}["statement"] == 3
+
+
+@pytest.mark.parametrize(
+    ("where", "verdict"),
+    [
+        ("1 = 1 AND (a = 2 OR b = 3)", "warn"),
+        ("(a = 2 OR b = 3) AND 'x' = 'x'", "warn"),
+        ("a = 2 OR 1 = 1", "reject"),
+        ("a = 2 AND (b = 3 OR 1 = 1)", "reject"),
+        ("lower(a) = lower(a) OR b = 1", "reject"),
+        ("lower(a) = lower(b) OR b = 1", "none"),
+        ("lower(a) = lower(a)", "warn"),
+        ("a = 2 OR b = 3", "none"),
+    ],
+)
+def test_tautology_needs_an_or_on_its_own_level(spark, where, verdict):
+    log = spark.createDataFrame([(f"SELECT a FROM solar WHERE {where}",)], "sql string")
+    r = screening.screen(log).first()
+    got = "reject" if "tautology" in r.reasons else "warn" if "tautology" in r.warnings else "none"
+    assert got == verdict

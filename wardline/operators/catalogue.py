@@ -92,8 +92,14 @@ def _flag_fit(entries: DataFrame, tables: DataFrame | None) -> DataFrame:
     return marked.withColumn("__fit", fit).drop("__want", "__table")
 
 
-def plan_import(current: DataFrame, incoming: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """Dry run: ``(dataset_id, action)`` with action create, update, skip or keep."""
+def plan_import(
+    current: DataFrame, incoming: DataFrame, tables: DataFrame | None = None, remove_stale: bool = False
+) -> DataFrame:
+    """Dry run: ``(dataset_id, action)`` with action create, update, skip or keep.
+
+    With ``remove_stale``, entries that aren't in the import and whose table is gone get the action delete, as
+    ``cleanup`` after the import would do.
+    """
     now = current.select("dataset_id", F.lit(True).alias("has"))
     new = _flag_fit(incoming.select("dataset_id", "backend_type", "backend_config"), tables).select("dataset_id", "__fit")
     action = (
@@ -102,24 +108,29 @@ def plan_import(current: DataFrame, incoming: DataFrame, tables: DataFrame | Non
         .when(F.col("has").isNull(), "create")
         .otherwise("update")
     )
-    return now.join(new, "dataset_id", "full").select("dataset_id", action.alias("action"))
+    planned = now.join(new.dropDuplicates(["dataset_id"]), "dataset_id", "full").select("dataset_id", action.alias("action"))
+    if not remove_stale or tables is None:
+        return planned
+    stale = stale_entries(current, tables).select("dataset_id", F.lit(True).alias("__stale"))
+    gone = (F.col("action") == "keep") & F.col("__stale").isNotNull()
+    return planned.join(stale, "dataset_id", "left").select("dataset_id", F.when(gone, "delete").otherwise(F.col("action")).alias("action"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """The catalogue after import: incoming entries overwrite by id, entries without their table are skipped.
 
-    Adds ``import_action`` (``created``, ``updated`` or ``kept``); incoming ids must be unique.
+    Adds ``import_action`` (``created``, ``updated`` or ``kept``). Of incoming entries with the same id one is taken;
+    ``last_wins`` in ``sources.documents`` decides by order. Only ids meet the other side, never whole entries.
     """
-    accepted = _flag_fit(incoming, tables).filter("__fit")
     columns = current.columns
-    left = current.select(F.col("dataset_id").alias("__old"), F.struct(*columns).alias("__a"))
-    right = accepted.select(F.col("dataset_id").alias("__new"), F.struct(*columns).alias("__b"))
-    both = left.join(right, F.col("__old") == F.col("__new"), "full")
-    taken = F.when(F.col("__new").isNotNull(), F.col("__b")).otherwise(F.col("__a"))
-    action = (
-        F.when(F.col("__new").isNull(), "kept").when(F.col("__old").isNull(), "created").otherwise("updated")
+    accepted = _flag_fit(incoming, tables).filter("__fit").select(*columns).dropDuplicates(["dataset_id"])
+    known = current.select(F.col("dataset_id").alias("__old")).distinct()
+    taken = accepted.join(known, F.col("dataset_id") == F.col("__old"), "left")
+    action = F.when(F.col("__old").isNull(), "created").otherwise("updated")
+    kept = current.join(accepted.select("dataset_id"), "dataset_id", "left_anti")
+    return taken.select(*columns, action.alias("import_action")).unionByName(
+        kept.select(*columns, F.lit("kept").alias("import_action"))
     )
-    return both.select(taken.alias("__e"), action.alias("import_action")).select("__e.*", "import_action")
 
 
 def import_counts(upserted: DataFrame) -> DataFrame:

@@ -49,8 +49,10 @@ def resolve_rules(datasets: DataFrame, rules: DataFrame, name: str = "dataset_na
     """Rule of every dataset: exact pattern, else the longest matching glob, else none.
 
     ``rules`` has ``pattern`` and ``overlay``; the result adds both (NULL when only the
-    defaults apply).
+    defaults apply). A pattern stated more than once counts once; use ``layer_rules`` to say
+    which statement wins.
     """
+    rules = rules.groupBy("pattern").agg(F.max_by("overlay", F.to_json("overlay")).alias("overlay"))
     met = glob_matches(datasets, name, rules, "pattern")
     rank = F.struct(
         (F.col("pattern") == F.col(name)).alias("exact"), F.length("pattern").alias("n"), F.col("pattern").alias("p")
@@ -78,6 +80,16 @@ def overlay(defaults: Column, stated: Column) -> Column:
     return F.map_concat(inherited, top)
 
 
+def layer_rules(base: DataFrame, override: DataFrame) -> DataFrame:
+    """The deployer's rules over the base rules, ``(pattern, overlay)`` with one row per pattern.
+
+    What an override states wins, nulls included; what it is silent about stays as in the base.
+    """
+    below = base.groupBy("pattern").agg(F.max_by("overlay", F.to_json("overlay")).alias("below"))
+    above = override.groupBy("pattern").agg(F.max_by("overlay", F.to_json("overlay")).alias("above"))
+    return below.join(above, "pattern", "full").select("pattern", overlay(F.col("below"), F.col("above")).alias("overlay"))
+
+
 def stated_map(rows: DataFrame, *by: str) -> DataFrame:
     """Rule rows ``(…by, path, value)`` -> one ``overlay`` map per group; one row per path."""
     return rows.groupBy(*by).agg(

@@ -7,26 +7,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Callable functions, aggregate and date constructs, and words that may precede "(".
+# Callable functions, aggregate and date constructs, words that may precede "(", verbs that write.
 ALLOWED_FUNCTIONS = (
-    "st_intersects st_within st_contains st_transform st_distance st_setsrid st_geomfromgeojson st_point "
-    "st_xmin st_ymin st_xmax st_ymax st_extent "
-    "lower upper length trim ltrim rtrim substring replace "
-    "abs round ceil floor coalesce nullif "
-    "current_date current_timestamp date date_trunc extract now"
-).split()
-ALLOWED_CONSTRUCTS = "max min avg sum count array_agg cast date_add date_sub".split()
+    "st_intersects", "st_within", "st_contains", "st_transform", "st_distance", "st_setsrid",
+    "st_geomfromgeojson", "st_point", "st_xmin", "st_ymin", "st_xmax", "st_ymax", "st_extent",
+    "lower", "upper", "length", "trim", "ltrim", "rtrim", "substring", "replace", "abs", "round",
+    "ceil", "floor", "coalesce", "nullif", "current_date", "current_timestamp", "date",
+    "date_trunc", "extract", "now",
+)
+ALLOWED_CONSTRUCTS = (
+    "max", "min", "avg", "sum", "count", "array_agg", "cast", "date_add", "date_sub",
+)
 CLAUSE_WORDS = (
-    "select from where and or not in as on using join by having distinct filter with between is then union "
-    "intersect except all exists over values varchar numeric decimal char order group limit offset interval"
-).split()
-WRITE_VERBS = "insert update delete merge create drop alter truncate grant revoke copy call exec execute do vacuum".split()
+    "select", "from", "where", "and", "or", "not", "in", "as", "on", "using", "join", "by",
+    "having", "distinct", "filter", "with", "between", "is", "then", "union", "intersect", "except",
+    "all", "exists", "over", "values", "varchar", "numeric", "decimal", "char", "order", "group",
+    "limit", "offset", "interval",
+)
+WRITE_VERBS = (
+    "insert", "update", "delete", "merge", "create", "drop", "alter", "truncate", "grant", "revoke",
+    "copy", "call", "exec", "execute", "do", "vacuum",
+)
 
 
 _STACKED = r";\s*\S"
 _COMMENT = r"--|/\*"
 _OR = r"\bor\b"
-_TAUTOLOGY = r"(?<![\w.'])('[^']*'|[\w.]+)\s*=\s*\1(?![\w.'])"
+_TAUTOLOGY = r"(?<![\w.'])('[^']*'|[\w.]+\([^()]*\)|[\w.]+)\s*=\s*\1(?![\w.'(])"
+_GROUP = r"\([^()]*\)"
 _TOP_LIMIT = r"\b(limit|offset)\s+\S+\s*$"
 _SET_OPERATION = r"\b(union|intersect|except)\b"
 _EXISTS = r"\bexists\s*\("
@@ -45,8 +53,8 @@ def _text(sql: Column) -> Column:
 
 
 def trimmed(sql: Column) -> Column:
-    """Text without surrounding blanks and one run of trailing semicolons."""
-    return F.trim(F.regexp_replace(_text(sql), r"^\s+|\s*;*\s*$", ""))
+    """Text without surrounding blanks and trailing semicolons."""
+    return F.rtrim(F.ltrim(_text(sql), F.lit(" \t\r\n")), F.lit(" \t\r\n;"))
 
 
 def blanked(text: Column) -> Column:
@@ -65,19 +73,30 @@ def _tautology(text: Column) -> Column:
     return F.lower(text).rlike(_TAUTOLOGY)
 
 
+def _or_beside_tautology(text: Column) -> Column:
+    """Whether an OR stands on the bracket level of an equality of equals: at the top, or in an innermost bracket."""
+    low = F.lower(text)
+    top = low
+    for _ in range(4):  # what is in brackets goes; calls are kept as long as they are compared
+        top = F.regexp_replace(top, r"(?<![\w])" + _GROUP, "x")
+    both = lambda c: c.rlike(_TAUTOLOGY) & c.rlike(_OR)
+    inner = F.regexp_extract_all(F.regexp_replace(low, r"(?<=\w)" + _GROUP, ""), F.lit(_GROUP), F.lit(0))
+    return both(top) | F.exists(inner, both)
+
+
 def _not_select(words: Column) -> Column:
     return ~words.rlike(_SELECT) | words.rlike(_WRITE)
 
 
 def _called(words: Column) -> Column:
     names = F.regexp_extract_all(words, F.lit(_CALL), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(names, lambda w: ~w.isin(CLAUSE_WORDS))))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda w: ~w.isin(*CLAUSE_WORDS))))
 
 
 def _unknown(words: Column) -> Column:
     # isin() over constants is one hash set for the whole query, unlike array_except().
     known = CLAUSE_WORDS + ALLOWED_FUNCTIONS + ALLOWED_CONSTRUCTS
-    calls = F.filter(F.regexp_extract_all(words, F.lit(_CALL), F.lit(1)), lambda w: ~w.isin(known))
+    calls = F.filter(F.regexp_extract_all(words, F.lit(_CALL), F.lit(1)), lambda w: ~w.isin(*known))
     named = F.regexp_extract_all(words, F.lit(_CTE_WITH_COLUMNS), F.lit(1))
     return F.array_sort(F.array_except(calls, named))
 
@@ -152,7 +171,10 @@ def screen(log: DataFrame, sql: str = "sql") -> DataFrame:
     prepared = log.withColumn("__trimmed", trimmed(c)).withColumn("__bare", blanked(text))
     judged = prepared.withColumns(
         {
-            "__severity": F.when(_tautology(text), F.when(words.rlike(_OR), "reject").otherwise("warn")),
+            "__severity": F.when(
+                text.contains("=") & _tautology(text),
+                F.when(words.rlike(_OR) & _or_beside_tautology(text), "reject").otherwise("warn"),
+            ),
             "tables": _tables(words),
         }
     )
@@ -160,7 +182,7 @@ def screen(log: DataFrame, sql: str = "sql") -> DataFrame:
     reasons = F.when(is_empty(c), F.array(F.lit("empty"))).otherwise(
         F.array_compact(
             F.array(
-                F.when(text.rlike(_STACKED), F.lit("stacking")),
+                F.when(text.contains(";") & text.rlike(_STACKED), F.lit("stacking")),
                 F.when(has_comment(c), F.lit("comments")),
                 F.when(_not_select(words), F.lit("statement")),
                 F.when(F.size(_unknown(words)) > 0, F.lit("functions")),

@@ -54,7 +54,7 @@ def _lineage_records(t: Tables) -> DataFrame:
         F.when(lang == "en", F.lit("2024-02-01T00:00:00Z")).alias("updatedAt"),
         F.lit("2024-03-01T00:00:00Z").alias("lastModifiedAt"),
         F.lit(None).cast("string").alias("lastLifecycleState"),
-        F.when(F.col("n_chars") >= 500, F.substring("text", 1, 40)).alias("description"),
+        F.when(F.col("n_chars") >= 500, F.col("text")).alias("description"),
         F.array(lang).alias("tags"),
         F.create_map(F.lit("governance"), governance, F.lit("schema"), F.lit("{}")).alias("facets"),
     )
@@ -199,13 +199,14 @@ def cat_upsert_counts(t: Tables) -> DataFrame:
     "cat_plan",
     tb.with_cat(
         _SIDES
-        + """SELECT coalesce(i.dataset_id, c.dataset_id) AS dataset_id, CASE WHEN i.dataset_id IS NULL THEN 'keep'
+        + """SELECT coalesce(i.dataset_id, c.dataset_id) AS dataset_id, CASE WHEN i.dataset_id IS NULL AND c.lang = 'en' AND (c.tbl IS NULL OR c.tbl NOT IN (SELECT tbl FROM tabs)) THEN 'delete'
+               WHEN i.dataset_id IS NULL THEN 'keep'
                WHEN i.dataset_id NOT IN (SELECT dataset_id FROM acc) THEN 'skip' WHEN c.dataset_id IS NULL THEN 'create' ELSE 'update' END AS action
              FROM cur c FULL JOIN inc i ON c.dataset_id = i.dataset_id"""
     ),
 )
 def cat_plan(t: Tables) -> DataFrame:
-    return cat_ops.plan_import(*_import_sides(t))
+    return cat_ops.plan_import(*_import_sides(t), remove_stale=True)
 
 
 def _validated(t: Tables) -> DataFrame:
@@ -445,7 +446,7 @@ def tables_to_entries(t: Tables) -> DataFrame:
     "lineage_to_entries",
     """SELECT 'set_' || CAST(doc_id AS VARCHAR) AS dataset_id,
               CASE WHEN lang = 'fr' THEN 'Jeu ' || CAST(doc_id AS VARCHAR) ELSE 'Set ' || CAST(doc_id AS VARCHAR) END AS title,
-              CASE WHEN n_chars >= 500 THEN substr(text, 1, 40) ELSE 'ds_' || lang || '.set_' || CAST(doc_id AS VARCHAR) END AS description,
+              CASE WHEN n_chars >= 500 THEN text ELSE 'ds_' || lang || '.set_' || CAST(doc_id AS VARCHAR) END AS description,
               CASE WHEN lang = 'es' THEN (CASE WHEN n_chars >= 2000 THEN 'classification:green,es' ELSE 'es' END)
                    WHEN lang = 'fr' THEN (CASE WHEN n_chars >= 2000 THEN 'classification:green,' ELSE '' END) || 'fr,owner:data-team,owner:' || source || ',' || source || ',zeta'
                    WHEN n_chars >= 2000 THEN 'classification:green,' || lang || ',owner:data-team,owner:' || source

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -11,8 +12,9 @@ from wardline.functions.geo import GEOMETRY_TYPE
 
 # Geospatial type names, system schemas, JSON Schema dialect.
 GEOSPATIAL_TYPES = (
-    "geography geometry point linestring polygon multipoint multilinestring multipolygon geometrycollection raster"
-).split()
+    "geography", "geometry", "point", "linestring", "polygon", "multipoint", "multilinestring",
+    "multipolygon", "geometrycollection", "raster",
+)
 SYSTEM_SCHEMAS = ("pg_catalog", "pg_toast", "information_schema")
 JSON_SCHEMA_DIALECT = "https://json-schema.org/draft/2020-12/schema"
 
@@ -54,7 +56,7 @@ def describe_columns(
     rows = []
     for i, f in enumerate(df.schema.fields):
         name = type_name(f.dataType)
-        geospatial = any(g in name.lower() for g in GEOSPATIAL_TYPES)
+        geospatial = re.split(r"\W", name.lower())[0] in GEOSPATIAL_TYPES  # the type itself, not names of members
         rows.append(
             (
                 schema_name,

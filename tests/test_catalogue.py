@@ -362,3 +362,19 @@ def test_sink_leaves_what_is_there(spark, tmp_path):
 def test_members_called_like_a_geometry_are_none(spark):
     df = spark.sql("SELECT named_struct('viewpoint', 1) AS s, 'x' AS point_of_sale")
     assert not any(r.is_geospatial for r in intro.describe_columns(df, "s", "t").collect())
+
+
+def test_producers_give_the_catalogue_schema(spark):
+    wanted = spark.createDataFrame([], CATALOGUE).dtypes
+    rule = {"row_filters": '[{"handler": "h", "args": {"column": "c"}}]', "medallion": "gold", "retention_days": "30", "consent_required": "true", "tags": '["a"]'}
+    df = overlaid(spark, {}, rule).select(F.lit("datasets.ds_gold.energy").alias("dataset_name"), F.col("r").alias("rule"))
+    mapped = df.withColumns({"ontology_path": F.lit("shared"), "ontology_mapping": F.lit('{"target_type": "sosa:Observation", "fields": [{"source": "a"}]}')})
+    entries = rules.entries_from_rules(mapped, owners(spark))
+    assert entries.dtypes == wanted
+    got = entries.first()
+    facet = got.lineage.facets.governance
+    assert (facet.medallion, facet.retentionDays, facet.consentRequired, facet.tags) == ("gold", 30, True, ["a"])
+    assert (facet.rowFilters[0].handler, facet.rowFilters[0].args) == ("h", {"column": "c"})
+    assert got.ontology_path == "shared" and got.ontology_mapping.fields[0].source == "a"
+    described = intro.describe_columns(spark.sql("SELECT 1 AS a"), "s", "t")
+    assert ops.entries_from_tables(described, "n").dtypes == wanted

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wardline.functions.globs import glob_regex
+from wardline.operators.relational import distinct_on
+from wardline.sources.schema import CATALOGUE, GOVERNANCE
 
 # Accepted back ends, introspection defaults, medallion levels in match order.
 BACKEND_TYPES = ("postgres", "s3", "fs", "quantumleap", "context_broker")
@@ -123,7 +125,8 @@ def upsert(current: DataFrame, incoming: DataFrame, tables: DataFrame | None = N
     ``last_wins`` in ``sources.documents`` decides by order. Only ids meet the other side, never whole entries.
     """
     columns = current.columns
-    accepted = _flag_fit(incoming, tables).filter("__fit").select(*columns).dropDuplicates(["dataset_id"])
+    accepted = _flag_fit(incoming, tables).filter("__fit").select(*columns)
+    accepted = distinct_on(accepted, ["dataset_id"], [F.col("title").asc(), F.col("description").asc()])
     known = current.select(F.col("dataset_id").alias("__old")).distinct()
     taken = accepted.join(known, F.col("dataset_id") == F.col("__old"), "left")
     action = F.when(F.col("__old").isNull(), "created").otherwise("updated")
@@ -305,6 +308,30 @@ def list_row_filters(catalogue: DataFrame) -> DataFrame:
     )
 
 
+# --- entries in the shape of the catalogue ------------------------------------------
+
+
+def _conformed(value: Column, have: T.DataType, want: T.DataType) -> Column:
+    """``value`` in the wanted type: members of structs by name, null where there are none."""
+    if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        members = [
+            (_conformed(value[f.name], have[f.name].dataType, f.dataType) if f.name in have.fieldNames() else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in want.fields
+        ]
+        return F.when(value.isNotNull(), F.struct(*members))
+    return value.cast(want)
+
+
+def to_catalogue(entries: DataFrame) -> DataFrame:
+    """``entries`` of any producer with exactly the columns of the catalogue; flags that aren't stated are false."""
+    wanted = T.StructType.fromDDL(CATALOGUE)
+    columns = [
+        (_conformed(F.col(f.name), entries.schema[f.name].dataType, f.dataType) if f.name in entries.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in wanted.fields
+    ]
+    return entries.select(*columns).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("expose", "dataspace_expose")})
+
+
 # --- entries from tables and lineage ------------------------------------------------
 
 
@@ -330,7 +357,7 @@ def entries_from_tables(columns: DataFrame, namespace: str, expose: bool = False
         )
     )
     fallback = F.concat(F.col("table_type"), F.lit(" '"), physical, F.lit("'"))
-    return tables.select(
+    return to_catalogue(tables.select(
         table_dataset_id(F.lit(namespace), F.col("schema_name"), F.col("table_name")).alias("dataset_id"),
         physical.alias("title"),
         F.coalesce(F.nullif("comment", F.lit("")), fallback).alias("description"),
@@ -352,22 +379,16 @@ def entries_from_tables(columns: DataFrame, namespace: str, expose: bool = False
             ).alias("facets"),
         ).alias("lineage"),
         F.lit(DEFAULT_ACCESS_LEVEL).alias("access_level"),
-    )
-
-
-LINEAGE_GOVERNANCE = (
-    "license string, owners array<string>, accessLevel string, accessRights string, "
-    "classification string, tags array<string>, title string, description string"
-)
+    ))
 
 
 def entries_from_lineage(records: DataFrame, backend_type: str = "postgres", expose: bool = False) -> DataFrame:
     """Catalogue entries from lineage-store records whose facets are a map of JSON texts.
 
-    The governance facet moves to ``lineage.governance`` without its ``_`` bookkeeping keys.
+    The governance facet stays at ``lineage.facets.governance``, row filters included, without ``_`` bookkeeping keys.
     """
     none = F.array().cast("array<string>")
-    gov = F.from_json(F.element_at("facets", "governance"), LINEAGE_GOVERNANCE)
+    gov = F.from_json(F.element_at("facets", "governance"), GOVERNANCE)
     blank = lambda c: F.nullif(c, F.lit(""))
     owners = F.coalesce(gov["owners"], none)
     own_tags = F.concat(F.coalesce("tags", none), F.transform(owners, lambda o: F.concat(F.lit("owner:"), o)))
@@ -382,10 +403,7 @@ def entries_from_lineage(records: DataFrame, backend_type: str = "postgres", exp
         if backend_type == "postgres"
         else F.struct(F.col("physicalName").alias("path"), F.lit(OBJECT_FORMAT).alias("format"))
     )
-    other_facets = F.map_filter(F.col("facets"), lambda k, v: k != "governance")
-    stated = F.from_json(F.element_at("facets", "governance"), "map<string,string>")
-    governance = F.map_filter(stated, lambda k, v: ~k.startswith("_"))
-    return records.select(
+    return to_catalogue(records.select(
         F.translate(F.lower("name"), " ", "_").alias("dataset_id"),
         F.coalesce(blank(gov["title"]), F.col("name")).alias("title"),
         F.coalesce(blank(gov["description"]), blank(F.col("description")), F.col("physicalName")).alias("description"),
@@ -407,7 +425,6 @@ def entries_from_lineage(records: DataFrame, backend_type: str = "postgres", exp
             F.coalesce("updatedAt", "lastModifiedAt").alias("updatedAt"),
             "lastLifecycleState",
             F.coalesce("tags", none).alias("tags"),
-            other_facets.alias("facets"),
-            governance.alias("governance"),
+            F.struct(gov.alias("governance")).alias("facets"),
         ).alias("lineage"),
-    )
+    ))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.functions.globs import glob_regex
-from wardline.operators.catalogue import OBJECT_FORMAT, clean_id, physical_table
+from wardline.operators.catalogue import OBJECT_FORMAT, clean_id, physical_table, to_catalogue
+from wardline.sources.schema import MAPPING, ROW_FILTER
 
 TEXTS = "array<string>"
 
@@ -183,9 +184,39 @@ def _texts(rule: Column, path: str) -> Column:
     return F.from_json(value_at(rule, path), TEXTS)
 
 
+def governance_facet(rule: Column, owners: Column) -> Column:
+    """What a rule states, as the facet that row filters, offers and levels are read from."""
+    member = lambda path, kind="string": value_at(rule, path).cast(kind)
+    return F.struct(
+        F.from_json(value_at(rule, "row_filters"), f"array<{ROW_FILTER}>").alias("rowFilters"),
+        member("user_filter_column").alias("userFilterColumn"),
+        member("consent_required", "boolean").alias("consentRequired"),
+        member("medallion").alias("medallion"),
+        member("title").alias("title"),
+        member("description").alias("description"),
+        member("access_level").alias("accessLevel"),
+        member("classification").alias("classification"),
+        member("license").alias("license"),
+        owners.alias("owners"),
+        _texts(rule, "tags").alias("tags"),
+        member("attribution").alias("attribution"),
+        member("retention_days", "bigint").alias("retentionDays"),
+        member("source_system").alias("sourceSystem"),
+    )
+
+
 def entries_from_rules(resolved: DataFrame, owners: DataFrame, backend_type: str = "postgres") -> DataFrame:
-    """Catalogue entries from ``(dataset_name, rule)``; conflicting rules must be removed first."""
+    """Catalogue entries from ``(dataset_name, rule)``; conflicting rules must be removed first.
+
+    The semantic model comes from ``ontology_path`` and ``ontology_mapping``, as ``resolve_mappings`` adds them (the mapping
+    as JSON text or in the catalogue's type); a dataset whose model doesn't resolve must be removed first too.
+    """
     r = F.col("rule")
+    given = dict(resolved.dtypes)
+    mapping = F.lit(None)
+    if "ontology_mapping" in given:
+        mapping = F.col("ontology_mapping")
+        mapping = F.from_json(mapping, MAPPING) if given["ontology_mapping"] == "string" else mapping
     blank = lambda c: F.nullif(c, F.lit(""))
     none = F.array().cast(TEXTS)
     physical = physical_table(F.col("dataset_name"))
@@ -209,7 +240,7 @@ def entries_from_rules(resolved: DataFrame, owners: DataFrame, backend_type: str
     temporal = F.struct(
         value_at(r, "dcat.temporal.start").alias("start"), value_at(r, "dcat.temporal.end").alias("end")
     )
-    return owned.select(
+    return to_catalogue(owned.select(
         clean_id(F.col("dataset_name")).alias("dataset_id"),
         F.coalesce(blank(value_at(r, "title")), F.col("dataset_name")).alias("title"),
         F.coalesce(blank(value_at(r, "description")), physical).alias("description"),
@@ -232,5 +263,9 @@ def entries_from_rules(resolved: DataFrame, owners: DataFrame, backend_type: str
         _texts(r, "dcat.language_uris").alias("language_uris"),
         _texts(r, "dcat.spatial_uris").alias("spatial_uris"),
         value_at(r, "documentation_url").alias("landing_page"),
-        F.struct(F.col("dataset_name").alias("name"), r.alias("governance")).alias("lineage"),
-    )
+        (F.col("ontology_path") if "ontology_path" in given else F.lit(None)).alias("ontology_path"),
+        mapping.alias("ontology_mapping"),
+        F.struct(
+            F.col("dataset_name").alias("name"), F.struct(governance_facet(r, named).alias("governance")).alias("facets")
+        ).alias("lineage"),
+    ))

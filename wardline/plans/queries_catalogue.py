@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.operators import catalogue as cat_ops, dcat, rules as rule_ops
+from wardline.operators import catalogue as cat_ops, dcat, rowfilters as rls, rules as rule_ops
 from wardline.plans import testbed as tb
 from wardline.plans.registry import Tables, query
 from wardline.session import shared_folder
@@ -42,6 +42,7 @@ def _lineage_records(t: Tables) -> DataFrame:
             F.when(lang == "de", F.lit("PUBLIC")).alias("accessRights"),
             F.when(F.col("n_chars") >= 2000, F.lit("green")).alias("classification"),
             F.when(lang == "fr", F.array(F.lit("zeta"), source)).alias("tags"),
+            F.when(lang == "de", F.array(F.struct(F.lit("direct_user_match").alias("handler"), F.create_map(F.lit("column"), F.lit("user_id")).alias("args")))).alias("rowFilters"),
             F.when(F.lower("text").contains("license"), F.lit("https://creativecommons.org/licenses/by/4.0/")).alias("license"),
         )
     )
@@ -469,7 +470,7 @@ def lineage_to_entries(t: Tables) -> DataFrame:
         "rights_holder_uri",
         "access_level",
         F.col("lineage.updatedAt").alias("updated"),
-        F.map_contains_key("lineage.governance", "_producer").alias("bookkeeping"),
+        F.to_json("lineage.facets.governance").contains("_producer").alias("bookkeeping"),
     )
 
 
@@ -655,6 +656,63 @@ def rules_to_entries(t: Tables) -> DataFrame:
     )
 
 
+# --- from producers into the catalogue -----------------------------------------------
+
+
+def _imported(t: Tables, entries: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """The whole way of an import: select, validate, upsert, clean up, read the row filters of what came in."""
+    selected = cat_ops.select_globs(entries, ["*"])
+    fit = cat_ops.validate(selected)
+    if tables is None:
+        tables = fit.select(F.col("backend_config.table").alias("table_name")).filter(F.col("table_name").isNotNull())
+    after = cat_ops.upsert(cat_ops.to_catalogue(tb.catalogue(t)), fit, tables)
+    clean = cat_ops.cleanup(after, tables).filter("import_action <> 'kept'")
+    found = clean.select("dataset_id", "import_action", "access_level", F.explode_outer(rls.specs_column()).alias("spec"))
+    return found.select("dataset_id", "import_action", "access_level", "spec.handler", F.col("spec.args")["column"].alias("filter_column"))
+
+
+@query(
+    "import_rules",
+    tb.with_cat(
+        _RULED
+        + """SELECT dataset_id, 'updated' AS import_action, CASE WHEN rule_kind = 'exact' THEN 'open' ELSE 'internal' END AS access_level,
+               CASE WHEN rule_kind = 'gold' THEN 'direct_user_match' END AS handler, CASE WHEN rule_kind = 'gold' THEN 'owner_id' END AS filter_column
+             FROM ruled WHERE rule_kind <> 'digit'"""
+    ),
+)
+def import_rules(t: Tables) -> DataFrame:
+    filters = '[{"handler": "direct_user_match", "args": {"column": "owner_id"}}]'
+    gold = _rules(t).filter(F.col("pattern").endswith("_gold.*"))
+    override = gold.select("pattern", _map({"row_filters": filters}).alias("overlay"))
+    layered = rule_ops.layer_rules(_rules(t), override)
+    names = tb.catalogue(t).select(F.col("dataset_id").alias("dataset_name"))
+    resolved = rule_ops.resolve_rules(names, layered).withColumn("rule", rule_ops.overlay(_map(DEFAULT_RULE), F.col("overlay")))
+    return _imported(t, rule_ops.entries_from_rules(rule_ops.without_conflicts(resolved), _owners(t)))
+
+
+@query(
+    "import_lineage",
+    """SELECT 'set_' || CAST(doc_id AS VARCHAR) AS dataset_id, 'created' AS import_action, CASE WHEN lang = 'en' THEN 'open' END AS access_level,
+              CASE WHEN lang = 'de' THEN 'direct_user_match' END AS handler, CASE WHEN lang = 'de' THEN 'user_id' END AS filter_column FROM documents""",
+)
+def import_lineage(t: Tables) -> DataFrame:
+    return _imported(t, cat_ops.entries_from_lineage(_lineage_records(t)))
+
+
+@query(
+    "import_tables",
+    " UNION ALL ".join(
+        f"""SELECT 'city.lake.{n}' AS dataset_id, 'created' AS import_action, 'internal' AS access_level, CAST(NULL AS VARCHAR) AS handler,
+            CAST(NULL AS VARCHAR) AS filter_column FROM {n} HAVING count(*) > 0"""
+        for n in _INTROSPECTED
+    ),
+)
+def import_tables(t: Tables) -> DataFrame:
+    present = t.spark.createDataFrame([(f"lake.{n}",) for n in _INTROSPECTED], "table_name string")
+    described = intro.describe_tables({n: getattr(t, n) for n in _INTROSPECTED}, "lake")
+    return _imported(t, cat_ops.entries_from_tables(described, "city"), present)
+
+
 # --- DCAT records -------------------------------------------------------------------
 
 

@@ -56,6 +56,8 @@ def records(pages: DataFrame, *, page_id: str, url: str, html: str, least_bytes:
         .filter("n > 1")
         .select(F.col("digest").alias("_digest"), F.col("to"), F.col("to").cast("string").alias("to_page"))
     )
+    # Written first, so that its size is known when the join is planned: pages move only if there are many groups.
+    groups = written(groups, "warc-groups")
     rows = rows.join(groups, F.col("digest") == F.col("_digest"), "left")
     revisit = F.col("_digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("to"))
     one_line = lambda c: F.regexp_replace(c, r"[\r\n]+", " ")

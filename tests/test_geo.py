@@ -131,3 +131,22 @@ def test_spatial_join_brute_force(spark):
         if x <= p + v and x + w >= p and y <= q + k and y + h >= q
     )
     assert pairs == expected and len(set(pairs)) == len(pairs)
+
+
+def test_mixed_reference_systems_fail(spark):
+    df = spark.range(1).select(geo.st_point(F.lit(1.0), F.lit(1.0), 4326).alias("a"), geo.st_point(F.lit(1.0), F.lit(1.0), 3857).alias("b"))
+    for fn in (geo.st_intersects, geo.st_within, geo.st_contains, geo.st_distance):
+        with pytest.raises(Exception, match="do not compare"):
+            df.select(fn(F.col("a"), F.col("b"))).collect()
+
+
+def test_spatial_join_with_geometries_of_any_size(spark):
+    box = lambda i, x, y, s: (i, float(x), float(y), float(x + s), float(y + s))
+    schema = "i int, x0 double, y0 double, x1 double, y1 double"
+    made = lambda rows, name: spark.createDataFrame(rows, schema).select("i", geo.st_makebox(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias(name))
+    left = [box(0, 0, 0, 1e6), box(1, 5, 5, 0.1), box(2, -3, -3, 3), box(3, 100, 100, 40)]
+    right = [box(0, 5.05, 5.05, 0.1), box(1, 999_999, 3, 10), box(2, 0, 0, 5e5), box(3, 120, 120, 0.5)]
+    got = rel.spatial_join(made(left, "a"), made(right, "b").withColumnRenamed("i", "j"), "a", "b", cell=0.25).select("i", "j").collect()
+    touch = lambda p, q: p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]
+    want = {(p[0], q[0]) for p in left for q in right if touch(p, q)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

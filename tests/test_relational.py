@@ -132,3 +132,11 @@ def test_page_rows_render_geometry(spark):
     page = spark.createDataFrame([(1, 9.0, 45.0, None)], "id int, x double, y double, note string")
     shaped = page.select("id", geo.st_point(F.col("x"), F.col("y"), 4326).alias("geom"), "note")
     assert page_rows(shaped).first().item == '{"id":1,"geom":{"type":"Point","coordinates":[9,45]},"note":null}'
+
+
+def test_range_join_with_intervals_of_any_length(spark):
+    points = spark.createDataFrame([(float(v),) for v in (-3e6, -1.0, 0.0, 2.5, 7.0, 9e5, 2e9)], "v double")
+    intervals = spark.createDataFrame([(0, -1e7, 1e7), (1, 0.0, 0.0), (2, 2.4, 2.6), (3, 0.0, 1e12), (4, 5.0, 1.0), (5, -1.0, 8.0)], "i int, lo double, hi double")
+    got = rel.range_join(points, intervals, F.col("v"), F.col("lo"), F.col("hi"), 0.01).select("v", "i").collect()
+    want = {(p.v, r.i) for p in points.collect() for r in intervals.collect() if r.lo <= p.v <= r.hi}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

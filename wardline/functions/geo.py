@@ -278,12 +278,18 @@ def _bind(text: str, **columns: Column) -> Column:
     return F.get(F.call_function("transform", bound, F.expr(f"s -> {text}")), F.lit(0))
 
 
-def _bind_pair(sql: Callable[[str, str, str, str], str], a: Column, b: Column) -> Column:
+def _same_srid(a: str, b: str, body: str, returns: str) -> str:
+    """``body``, failing for geometries of different reference systems, whose coordinates mean different things."""
+    wrong = f"raise_error('geometries of SRID ' || {a}.srid || ' and ' || {b}.srid || ' do not compare')"
+    return f"CASE WHEN {a}.srid <> {b}.srid THEN CAST({wrong} AS {returns}) ELSE {body} END"
+
+
+def _bind_pair(sql: Callable[[str, str, str, str], str], a: Column, b: Column, returns: str = "boolean") -> Column:
     """Predicate over two geometries; the segments of a polygon constant are constants too."""
     sides = {"a": a, "b": b}
     segments = {f"e{k}": g.__dict__["_segments"] for k, g in sides.items() if "_segments" in g.__dict__}
     text = lambda k: f"s.e{k}" if f"e{k}" in segments else _edges(f"s.{k}.rings")
-    return _bind(sql("s.a", "s.b", text("a"), text("b")), **sides, **segments)
+    return _bind(_same_srid("s.a", "s.b", sql("s.a", "s.b", text("a"), text("b")), returns), **sides, **segments)
 
 
 def _vertex(x: Column, y: Column) -> Column:
@@ -371,7 +377,7 @@ def st_contains(a: Column, b: Column) -> Column:
 
 def st_distance(a: Column, b: Column) -> Column:
     """Planar distance; zero when the geometries intersect."""
-    return _bind_pair(_distance_sql, a, b)
+    return _bind_pair(_distance_sql, a, b, "double")
 
 
 def st_transform(geom: Column, srid: int) -> Column:
@@ -404,10 +410,10 @@ def register(spark: SparkSession) -> None:
         "st_ymin": (g, "double", _bound("g", "y", "array_min")),
         "st_xmax": (g, "double", _bound("g", "x", "array_max")),
         "st_ymax": (g, "double", _bound("g", "y", "array_max")),
-        "st_intersects": (two, "boolean", _intersects_sql("a", "b", ea, eb)),
-        "st_within": (two, "boolean", _within_sql("a", "b", ea, eb)),
-        "st_contains": (two, "boolean", _within_sql("b", "a", eb, ea)),
-        "st_distance": (two, "double", _distance_sql("a", "b", ea, eb)),
+        "st_intersects": (two, "boolean", _same_srid("a", "b", _intersects_sql("a", "b", ea, eb), "boolean")),
+        "st_within": (two, "boolean", _same_srid("a", "b", _within_sql("a", "b", ea, eb), "boolean")),
+        "st_contains": (two, "boolean", _same_srid("a", "b", _within_sql("b", "a", eb, ea), "boolean")),
+        "st_distance": (two, "double", _same_srid("a", "b", _distance_sql("a", "b", ea, eb), "double")),
         "st_transform": (f"{g}, srid int", GEOMETRY_TYPE, _transform_sql("g", "srid")),
     }
     for name, (arguments, returns, body) in definitions.items():

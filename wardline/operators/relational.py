@@ -114,22 +114,19 @@ def not_in(df: DataFrame, column: str, sub: DataFrame, key: str) -> DataFrame:
 def range_join(
     points: DataFrame, intervals: DataFrame, value: Column, low: Column, high: Column, width: float
 ) -> DataFrame:
-    """``value BETWEEN low AND high`` as an equi join on buckets of ``width``.
+    """``value BETWEEN low AND high`` as an equi join on buckets of ``width``, 4 x ``width``, 16 x ``width``, ...
 
-    Each point falls in one bucket, each interval is repeated for the buckets it spans, so
-    a matching pair meets exactly once.
+    An interval is listed under the two or three buckets it touches at the level of its length, whatever that is, and a
+    point under one bucket of each level that occurs, so a matching pair meets exactly once.
     """
-    left = points.withColumn("__bucket", F.floor(value / width))
-    right = intervals.withColumn(
-        "__bucket",
-        F.explode(
-            F.when(low <= high, F.sequence(F.floor(low / width), F.floor(high / width))).otherwise(
-                F.array().cast("array<bigint>")
-            )
-        ),
-    )
-    joined = left.join(right, (left["__bucket"] == right["__bucket"]) & (value >= low) & (value <= high))
-    return joined.drop("__bucket")
+    level = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest((high - low) / width, F.lit(1.0))))).cast("int")
+    bucket = lambda v, at: F.floor(v / (F.lit(float(width)) * F.pow(F.lit(4.0), at)))
+    listed = intervals.filter(low <= high).withColumn("__level", level)
+    right = listed.withColumn("__bucket", F.explode(F.sequence(bucket(low, F.col("__level")), bucket(high, F.col("__level")))))
+    levels = listed.agg(F.collect_set("__level")).scalar()  # a few: one for each power of four of the lengths
+    left = points.withColumn("__level", F.explode(levels)).withColumn("__bucket", bucket(value, F.col("__level")))
+    same = (left["__level"] == right["__level"]) & (left["__bucket"] == right["__bucket"])
+    return left.join(right, same & (value >= low) & (value <= high)).drop("__bucket", "__level")
 
 
 def spatial_join(
@@ -142,12 +139,15 @@ def spatial_join(
 ) -> DataFrame:
     """Join on a spatial predicate that implies touching bounding boxes.
 
-    Geometries are listed under the grid cells of their bounding box and meet in an equi
-    join on the cell. A pair sharing several cells is kept only in the lowest shared one,
-    so no distinct pass is needed.
+    A geometry belongs to the first level whose cells (``cell``, 2 x ``cell``, 4 x ``cell``, ...) are no smaller than its
+    bounding box, and is listed there and on the coarser levels that occur, under at most four cells each. Two geometries
+    meet in an equi join on the level of the larger one; a pair sharing several cells there is kept only in the lowest, so no
+    distinct pass is needed.
     """
+    c = F.col
+    size = lambda level: F.lit(float(cell)) * F.pow(F.lit(2.0), level)
 
-    def gridded(df: DataFrame, geom: str, tag: str) -> DataFrame:
+    def boxed(df: DataFrame, geom: str, tag: str) -> DataFrame:
         g = F.col(geom)
         bounds = {
             f"__{tag}x0": geo.st_xmin(g),
@@ -155,22 +155,31 @@ def spatial_join(
             f"__{tag}x1": geo.st_xmax(g),
             f"__{tag}y1": geo.st_ymax(g),
         }
+        side = F.greatest(c(f"__{tag}x1") - c(f"__{tag}x0"), c(f"__{tag}y1") - c(f"__{tag}y0"))
+        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side / cell, F.lit(1.0))))).cast("int")
+        return df.filter(g.isNotNull()).withColumns(bounds).withColumn(f"__{tag}own", level)
+
+    def gridded(df: DataFrame, tag: str, levels: Column) -> DataFrame:
         cells = lambda axis: F.sequence(
-            F.floor(F.col(f"__{tag}{axis}0") / cell), F.floor(F.col(f"__{tag}{axis}1") / cell)
+            F.floor(c(f"__{tag}{axis}0") / size(c(f"__{tag}at"))), F.floor(c(f"__{tag}{axis}1") / size(c(f"__{tag}at")))
         )
-        boxed = df.filter(g.isNotNull()).withColumns(bounds)
-        return boxed.withColumn(f"__{tag}cx", F.explode(cells("x"))).withColumn(f"__{tag}cy", F.explode(cells("y")))
-
-    a, b = gridded(left, left_geom, "l"), gridded(right, right_geom, "r")
-    c = F.col
-    lowest_shared = (c("__lcx") == F.floor(F.greatest("__lx0", "__rx0") / cell)) & (
-        c("__lcy") == F.floor(F.greatest("__ly0", "__ry0") / cell)
+        listed = df.withColumn(f"__{tag}at", F.explode(levels)).filter(c(f"__{tag}at") >= c(f"__{tag}own"))
+        return listed.withColumn(f"__{tag}cx", F.explode(cells("x"))).withColumn(f"__{tag}cy", F.explode(cells("y")))
+
+    a, b = boxed(left, left_geom, "l"), boxed(right, right_geom, "r")
+    found = lambda df, tag: df.agg(F.collect_set(f"__{tag}own")).scalar()  # noqa: E731  a few: one for each power of two
+    levels = F.array_union(found(a, "l"), found(b, "r"))
+    a, b = gridded(a, "l", levels), gridded(b, "r", levels)
+    lowest_shared = (c("__lcx") == F.floor(F.greatest("__lx0", "__rx0") / size(c("__lat")))) & (
+        c("__lcy") == F.floor(F.greatest("__ly0", "__ry0") / size(c("__lat")))
     )
     boxes_touch = (
         (c("__lx0") <= c("__rx1")) & (c("__lx1") >= c("__rx0")) & (c("__ly0") <= c("__ry1")) & (c("__ly1") >= c("__ry0"))
     )
+    same_cell = (c("__lat") == c("__rat")) & (c("__lcx") == c("__rcx")) & (c("__lcy") == c("__rcy"))
+    at_larger = c("__lat") == F.greatest("__lown", "__rown")
     met = a.join(
-        b, (c("__lcx") == c("__rcx")) & (c("__lcy") == c("__rcy")) & lowest_shared & boxes_touch & predicate(a[left_geom], b[right_geom])
+        b, same_cell & at_larger & lowest_shared & boxes_touch & predicate(a[left_geom], b[right_geom])
     )
-    helpers = [f"__{tag}{name}" for tag in "lr" for name in ("x0", "y0", "x1", "y1", "cx", "cy")]
+    helpers = [f"__{tag}{name}" for tag in "lr" for name in ("x0", "y0", "x1", "y1", "own", "at", "cx", "cy")]
     return met.drop(*helpers)

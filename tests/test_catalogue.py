@@ -378,3 +378,18 @@ def test_producers_give_the_catalogue_schema(spark):
     assert got.ontology_path == "shared" and got.ontology_mapping.fields[0].source == "a"
     described = intro.describe_columns(spark.sql("SELECT 1 AS a"), "s", "t")
     assert ops.entries_from_tables(described, "n").dtypes == wanted
+
+
+def test_single_record_carries_its_context(spark):
+    cat = catalogue(spark, {"dataset_id": "datasets.ds.x", "access_level": "open", "expose": True, "backend_config": {"table": "ds.x"}})
+    nodes = dcat.dataset_nodes(cat, owners(spark), "https://data.example.org/", "https://data.example.org/catalogue", "https://api.example.org")
+    document = json.loads(dcat.dataset_documents(nodes, "https://space.example.org/ns#").first().document)
+    assert document["@context"]["ds"] == "https://space.example.org/ns#" and document["@context"]["dcat"]
+    assert document["@id"].startswith("https://data.example.org/")
+
+
+def test_a_table_without_columns_keeps_a_schema(spark):
+    columns = intro.describe_columns(spark.sql("SELECT 1 AS a"), "s", "t")
+    tables = spark.createDataFrame([("s", "t"), ("s", "bare")], "schema_name string, table_name string")
+    got = {r.table_name: json.loads(r.json_schema) for r in intro.json_schema(columns, tables).collect()}
+    assert list(got["t"]["properties"]) == ["a"] and got["bare"]["properties"] == {}

@@ -20,8 +20,9 @@ CONTEXT = {
     "odrl": "http://www.w3.org/ns/odrl/2/",
     "skos": "http://www.w3.org/2004/02/skos/core#",
     "schema": "https://schema.org/",
-    "ds": "https://dataspaces.localhost/ns/energy#",
 }
+#: Namespace of the dataspace's own terms (prefix ``ds``); a deployment passes its own.
+DATASPACE = "urn:dataspace:terms#"
 ACCESS_RIGHTS = {
     "open": "http://publications.europa.eu/resource/authority/access-right/PUBLIC",
     "internal": "http://publications.europa.eu/resource/authority/access-right/RESTRICTED",
@@ -175,7 +176,19 @@ def dataset_nodes(
     return ready.select("dataset_id", node.alias("node"))
 
 
-def catalog_rows(nodes: DataFrame, title: str, catalog_uri: str, api_base: str) -> DataFrame:
+def context(dataspace: str = DATASPACE) -> Column:
+    """The ``@context`` of every document."""
+    return F.struct(*[F.lit(v).alias(k) for k, v in {**CONTEXT, "ds": dataspace}.items()])
+
+
+def dataset_documents(nodes: DataFrame, dataspace: str = DATASPACE) -> DataFrame:
+    """``(dataset_id, document)``: each dataset as a JSON-LD document of its own, with its context."""
+    return nodes.select("dataset_id", F.to_json(F.struct(context(dataspace).alias("@context"), "node.*")).alias("document"))
+
+
+def catalog_rows(
+    nodes: DataFrame, title: str, catalog_uri: str, api_base: str, dataspace: str = DATASPACE
+) -> DataFrame:
     """The catalogue as JSON lines ``(part, id, document)``.
 
     Header and service are one row each; served datasets are one link row each, so no list
@@ -183,14 +196,13 @@ def catalog_rows(nodes: DataFrame, title: str, catalog_uri: str, api_base: str)
     """
     api = api_base.rstrip("/")
     service = f"{catalog_uri}/service"
-    context = F.struct(*[F.lit(v).alias(k) for k, v in CONTEXT.items()])
     first = nodes.sparkSession.range(1)
     header = first.select(
         F.lit("catalog").alias("part"),
         F.lit(catalog_uri).alias("id"),
         F.to_json(
             F.struct(
-                context.alias("@context"),
+                context(dataspace).alias("@context"),
                 F.lit(catalog_uri).alias("@id"),
                 F.lit("dcat:Catalog").alias("@type"),
                 F.lit(title).alias("dct:title"),
@@ -228,8 +240,16 @@ def catalog_rows(nodes: DataFrame, title: str, catalog_uri: str, api_base: str)
     return header.unionByName(service_row).unionByName(rows)
 
 
-def catalog(catalogue: DataFrame, owners: DataFrame, title: str, base_uri: str, catalog_uri: str, api_base: str) -> DataFrame:
+def catalog(
+    catalogue: DataFrame,
+    owners: DataFrame,
+    title: str,
+    base_uri: str,
+    catalog_uri: str,
+    api_base: str,
+    dataspace: str = DATASPACE,
+) -> DataFrame:
     """JSON lines of the whole catalogue; secret entries are left out."""
     open_entries = catalogue.filter(F.col("access_level").isNull() | (F.col("access_level") != "secret"))
     nodes = dataset_nodes(open_entries, owners, base_uri, catalog_uri, api_base)
-    return catalog_rows(nodes, title, catalog_uri, api_base)
+    return catalog_rows(nodes, title, catalog_uri, api_base, dataspace)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 from functools import reduce
@@ -122,8 +123,8 @@ def json_schema_properties(columns: DataFrame) -> DataFrame:
     )
 
 
-def json_schema(columns: DataFrame) -> DataFrame:
-    """``(schema_name, table_name, json_schema)``; a table without columns gets the empty schema."""
+def json_schema(columns: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """``(schema_name, table_name, json_schema)``; of the listed ``tables``, one without columns gets the empty schema."""
     p = json_schema_properties(columns)
     prop = F.struct(F.col("json_type").alias("type"), "nullable", F.col("json_format").alias("format"))
     grouped = p.groupBy("schema_name", "table_name").agg(
@@ -145,9 +146,9 @@ def json_schema(columns: DataFrame) -> DataFrame:
         "required",
         F.lit(False).alias("additionalProperties"),
     )
-    return grouped.select("schema_name", "table_name", F.to_json(document).alias("json_schema"))
-
-
-EMPTY_JSON_SCHEMA = (
-    '{"$schema":"' + JSON_SCHEMA_DIALECT + '","type":"object","properties":{},"required":[]}'
-)
+    found = grouped.select("schema_name", "table_name", F.to_json(document).alias("json_schema"))
+    if tables is None:
+        return found
+    empty = json.dumps({"$schema": JSON_SCHEMA_DIALECT, "type": "object", "properties": {}, "required": [], "additionalProperties": False})
+    listed = tables.select("schema_name", "table_name").distinct().join(found, ["schema_name", "table_name"], "left")
+    return listed.withColumn("json_schema", F.coalesce("json_schema", F.lit(empty)))

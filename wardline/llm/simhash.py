@@ -191,10 +191,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` less all but one of each component: that with the smallest doc_id (null last), then the
-    smallest text hash; of rows equal in both, any one."""
-    best = grouped(docs, doc_id=doc_id, text=text, **options).groupBy("root").agg(
+def keep_best(docs: DataFrame, rows: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that are the best of a ``root`` of ``rows`` (``doc_id``, ``text_hash``, ``root``)."""
+    best = rows.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
     )
     stay = best.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.text_hash").alias("_keep_hash"))
@@ -202,3 +201,9 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
         stay, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi"
     )
     return found.dropDuplicates([doc_id, "_hash"]).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: that with the smallest doc_id (null last), then the
+    smallest text hash; of rows equal in both, any one."""
+    return keep_best(docs, grouped(docs, doc_id=doc_id, text=text, **options), doc_id=doc_id, text=text)

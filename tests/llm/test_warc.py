@@ -1,6 +1,9 @@
 import base64
 import hashlib
 import random
+from pathlib import Path
+
+import pytest
 
 from wardline.llm import warc
 
@@ -80,3 +83,26 @@ def test_empty_and_damaged(spark, tmp_path):
     third = data.index(b"WARC/1.1", data.index(b"WARC/1.1", 5) + 5)
     open(file, "wb").write(data[: third - 4] + b"x" + data[third - 4 :])
     assert warc.read(spark, path).count() == 2  # the second record's length no longer leads to the third
+
+
+def test_headers_of_any_length(spark):
+    rows = [(i, "data:" + "x" * (3 << 19) if i == 2 else "u", f"page {i % 5}" + FAKE.format(3, "abc")) for i in range(9)]
+    df = frame(spark, rows).coalesce(1)
+    for size in (1 << 18, 8 << 20):
+        assert found(df, range_bytes=size) == plain(rows)
+
+
+def test_round_trip_of_a_damaged_file_fails(spark, tmp_path, monkeypatch):
+    path, write = str(tmp_path / "out"), warc.write
+
+    def damaged(pages, path, **options):
+        write(pages.coalesce(1), path, **options)
+        (file,) = Path(path).glob("part-*")
+        data = file.read_bytes()
+        third = data.index(b"WARC/1.1", data.index(b"WARC/1.1", 5) + 5)
+        file.write_bytes(data[: third - 4] + b"x" + data[third - 4 :])
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(ValueError, match="bytes"):
+        warc.round_trip(frame(spark, [(1, "u", "a"), (2, "u", "b"), (3, "u", "c")]), path=path)

@@ -25,8 +25,6 @@ END = b"\r\n\r\n"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
-#: A header without an end within so many bytes is none.
-LONGEST_HEADER = 1 << 20
 
 
 def base32_sha1(content: Column) -> Column:
@@ -129,13 +127,15 @@ def candidates_in(file, size: int, begin: int, end: int) -> list[tuple[int, int,
             break
         if at < begin or at and data[m.start() - len(END) : m.start()] != END:
             continue
-        stop = data.find(END, m.start(), m.start() + LONGEST_HEADER)
-        more = m.start()
-        while stop < 0 and start + len(data) < min(size, at + LONGEST_HEADER):  # a header that goes on beyond what was read
+        stop = data.find(END, m.start())
+        step = 64 << 10
+        # A header may be of any length. The next candidate follows its end, so no stretch is looked at twice.
+        while stop < 0 and start + len(data) < size:
             more = max(m.start(), len(data) - len(END))
             file.seek(start + len(data))
-            data += file.read(64 << 10)
-            stop = data.find(END, more, m.start() + LONGEST_HEADER)
+            data += file.read(step)
+            step *= 2
+            stop = data.find(END, more)
         fields = parse_header(data[m.start() : stop]) if stop >= 0 else None
         if fields is None:
             continue
@@ -258,7 +258,7 @@ def round_trip(pages: DataFrame, *, page_id: str = "page_id", path: str | None =
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of each page, from archives written and read.
 
     A revisit has no payload of its own: its size and digest are those of the response that it refers to. Rows that repeat
-    a page are records of their own.
+    a page are records of their own. Raises ValueError if the records of a file end before the file does.
     """
     spark = prepare(pages.sparkSession)
     path = path or shared_path(spark, "archives")
@@ -272,8 +272,16 @@ def round_trip(pages: DataFrame, *, page_id: str = "page_id", path: str | None =
         F.col("fields")["warc-refers-to-page-id"].cast(kind).alias("refers_to"),
         "payload_bytes",
         "payload_digest",
+        "file",
+        (F.col("block") + F.col("length") + len(END)).alias("end"),
     )
     recs = written(recs, "warc-records")
+    ends = recs.groupBy("file").agg(F.max("end").alias("end"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
+    broken = files.join(ends, "file", "left").filter(F.coalesce("end", F.lit(0)) != F.col("size")).first()
+    if broken:
+        raise ValueError(f"the records of {broken['file']} end at {broken['end'] or 0} of {broken['size']} bytes")
+    recs = recs.drop("file", "end")
     own = recs.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     full = recs.filter("record_type = 'response'").select(F.col("record").alias("to"), "payload_bytes", "payload_digest").distinct()
     again = recs.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(full, "to")

@@ -264,3 +264,19 @@ def test_tautology_needs_an_or_on_its_own_level(spark, where, verdict):
     r = screening.screen(log).first()
     got = "reject" if "tautology" in r.reasons else "warn" if "tautology" in r.warnings else "none"
     assert got == verdict
+
+
+@pytest.mark.parametrize(
+    "where, verdict",
+    [
+        ("x = 5 AND (1 = 1 OR a IN (1,2))", "reject"),
+        ("x = 5 AND(1 = 1 OR a IN(SELECT b FROM t WHERE (c = 2)))", "reject"),
+        ("x = 5 AND ((((((1 = 1 OR a IN (1,2)))))))", "reject"),
+        ("(((((a = 2 OR b = 3))))) AND 1 = 1", "warn"),
+        ("x IN (1,2) AND (lower(a) = lower(a) OR (b = 3))", "reject"),
+        ("(lower(a) = lower(b) OR c IN (1,2)) AND 1 = 1", "warn"),
+    ],
+)
+def test_tautology_on_levels_that_hold_brackets(spark, where, verdict):
+    r = screening.screen(spark.createDataFrame([(f"SELECT * FROM t WHERE {where}",)], "sql string")).first()
+    assert ("reject" if "tautology" in r.reasons else "warn" if "tautology" in r.warnings else "none") == verdict

@@ -34,6 +34,7 @@ _STACKED = r";\s*\S"
 _COMMENT = r"--|/\*"
 _OR = r"\bor\b"
 _TAUTOLOGY = r"(?<![\w.'])('[^']*'|[\w.]+\([^()]*\)|[\w.]+)\s*=\s*\1(?![\w.'(])"
+_LEVEL_TAUTOLOGY = "(?<![\\w.'])('[^']*'|[\\w.]+\u27e6[^=]*\u27e7|[\\w.]+)\\s*=\\s*\\1(?![\\w.'(\u27e6])"
 _GROUP = r"\([^()]*\)"
 _TOP_LIMIT = r"\b(limit|offset)\s+\S+\s*$"
 _SET_OPERATION = r"\b(union|intersect|except)\b"
@@ -74,14 +75,22 @@ def _tautology(text: Column) -> Column:
 
 
 def _or_beside_tautology(text: Column) -> Column:
-    """Whether an OR stands on the bracket level of an equality of equals: at the top, or in an innermost bracket."""
-    low = F.lower(text)
-    top = low
-    for _ in range(4):  # what is in brackets goes; calls are kept as long as they are compared
-        top = F.regexp_replace(top, r"(?<![\w])" + _GROUP, "x")
-    both = lambda c: c.rlike(_TAUTOLOGY) & c.rlike(_OR)
-    inner = F.regexp_extract_all(F.regexp_replace(low, r"(?<=\w)" + _GROUP, ""), F.lit(_GROUP), F.lit(0))
-    return both(top) | F.exists(inner, both)
+    """Whether an OR stands on the bracket level of an equality of equals, on any level.
+
+    Each pass judges the innermost brackets and puts a token in their place, as often as the text has opening brackets; what
+    is left is the top. A call's brackets become others first, as calls can be compared.
+    """
+    low = F.regexp_replace(F.lower(text), rf"\b({'|'.join(CLAUSE_WORDS)})\(", "$1 (")
+    both = lambda c: c.rlike(_LEVEL_TAUTOLOGY) & c.rlike(_OR)
+
+    def peel(state: Column, _: Column) -> Column:
+        called = F.regexp_replace(state["rest"], r"(?<=\w)\(([^()]*)\)", "\u27e6$1\u27e7")
+        found = state["found"] | F.exists(F.regexp_extract_all(called, F.lit(_GROUP), F.lit(0)), both)
+        return F.struct(F.regexp_replace(called, _GROUP, "?").alias("rest"), found.alias("found"))
+
+    depth = F.length(low) - F.length(F.replace(low, F.lit("("), F.lit("")))
+    start = F.struct(low.alias("rest"), F.lit(False).alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), depth), start, peel, lambda s: s["found"] | both(s["rest"]))
 
 
 def _not_select(words: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, decontam, hamming, langid, lm, mixing, quality, simhash, substrings, variants, warc
+from wardline.llm import alignment, chat, decontam, hamming, langid, lm, mixing, quality, simhash, substrings, variants, warc
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.token_alignments(table(spark, folder, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_hamming_top_k": op8_hamming_top_k,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_token_alignment": op11_token_alignment,
     "op12_spelling_variants": op12_spelling_variants,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import alignment, chat, decontam, hamming, langid, lm, mixing, quality, simhash, substrings, variants, warc
+from wardline.llm import alignment, chat, decontam, hamming, langid, lm, mixing, permutations, quality, simhash, substrings, variants, warc
 from wardline.llm.common import prepare
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
 
 
+def op13_permutation_search(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return permutations.top_k(rows, rows.filter("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -78,6 +83,7 @@ QUERIES: dict[str, QueryFn] = {
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_permutation_search": op13_permutation_search,
 }
 
 ORACLES: dict[str, str] = {

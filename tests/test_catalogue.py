@@ -185,6 +185,31 @@ def test_conflicting_gates_are_reported(spark):
     assert rules.exposure_conflicts(df, "r").count() == 1
 
 
+def test_leading_wildcards_meet_only_names_with_their_rarest_piece(spark):
+    rng = random.Random(6)
+    piece = lambda a, b: "".join(rng.choice("abcd._7[]^") for _ in range(rng.randint(a, b)))
+    names = ["gold." + piece(0, 9) for _ in range(1500)] + [piece(0, 4) for _ in range(200)] + ["", "a", "gold.", "*", "x\ny"]
+    wild = ("*", "?", "[a-c]", "[!a]", "[]]", "**", "[")
+    patterns = {rng.choice(wild) + piece(0, 5) + rng.choice(wild) + piece(0, 4) + rng.choice(("", *wild)) for _ in range(300)}
+    patterns |= {"*", "?", "??", "*?", "[ab]*", "*gold*", "go*", "g*", "*d.*", "*.", "gold.*a", "*7", "[", "*[*", "*zzz*"}
+    n = spark.createDataFrame([(x,) for x in names], "n string")
+    p = spark.createDataFrame([(x,) for x in patterns], "p string")
+    found = rules.glob_matches(n, "n", p, "p")
+    assert sorted(map(tuple, found.collect())) == sorted((x, y) for x in names for y in patterns if fnmatch.fnmatchcase(x, y))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_key_of_the_pattern_index_meets_all_names(spark):
+    n = spark.range(20_000).select(F.concat(F.lit("datasets.lake.t_"), "id").alias("n"))
+    p = spark.range(2_000).select(F.concat(F.lit("*.t_"), F.col("id") * 7, F.lit("?")).alias("p"))
+    literal = F.regexp_replace("p", r"[*?]", "\x00")
+    keys = p.select(F.explode(rules._pattern_keys(literal)).alias("k")).groupBy("k.__kind", "k.__gram").count()
+    assert keys.filter("__gram = '.t_'").first()["count"] == 2_000  # what all share, and the index avoids
+    found = rules.glob_matches(n, "n", p, "p")
+    assert found.count() == sum(1 for i in range(1, 2_000) for d in range(10) if 70 * i + d < 20_000)
+
+
 def test_globs_match_like_the_shell(spark):
     rng = random.Random(3)
     words = ["ds", "gold", "a", "b.c", "x_1", "T", "[", "z-9", "$", "a+b"]

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +281,42 @@ def test_tautology_needs_an_or_on_its_own_level(spark, where, verdict):
 def test_tautology_on_levels_that_hold_brackets(spark, where, verdict):
     r = screening.screen(spark.createDataFrame([(f"SELECT * FROM t WHERE {where}",)], "sql string")).first()
     assert ("reject" if "tautology" in r.reasons else "warn" if "tautology" in r.warnings else "none") == verdict
+
+
+@pytest.mark.parametrize(
+    "where, verdict",
+    [
+        ("x = 5 OR (a = 1 AND 1 = 1)", "reject"),  # the OR is further out
+        ("x = 5 OR a IN (SELECT b FROM t WHERE 1 = 1)", "reject"),
+        ("1 = 1 AND x IN (SELECT a OR b FROM t)", "warn"),
+        ("'A' = 'a' OR b = 1", "none"),
+        ("note = '1 = 1 OR (' AND 1 = 1", "warn"),
+        ("a + 1 = a + 1 OR b", "reject"),
+        ("(1) = (1) OR b", "reject"),
+        ("a < b = b OR c", "none"),
+        ("CASE WHEN 1 = 1 THEN a END = 2 OR b", "reject"),
+        ("CASE WHEN b OR c THEN 1 = 1 END", "warn"),
+        ("a = a) OR (b", "reject"),
+        ("((((a = a", "warn"),
+        ("a = b", "none"),
+    ],
+)
+def test_tautology_under_an_or_anywhere(spark, where, verdict):
+    log = spark.createDataFrame([(f"SELECT * FROM t WHERE {where}",)], "sql string")
+    r = log.select(screening.tautology_severity(F.col("sql")).alias("s")).first()
+    assert (r.s or "none") == verdict
+    r = screening.screen(log).first()
+    assert ("reject" if "tautology" in r.reasons else "warn" if "tautology" in r.warnings else "none") == verdict
+
+
+def test_ten_thousand_brackets_are_judged_in_linear_time(spark):
+    texts = [
+        "SELECT a FROM t WHERE x = 1 OR " + "(" * 5000 + "1 = 1" + ")" * 5000,
+        "SELECT a FROM t WHERE 1 = 1 AND x IN (" + "(b OR c), " * 5000 + "d)",
+    ]
+    log = spark.createDataFrame([(t,) for t in texts], "sql string")
+    judged = log.select(screening.tautology_severity(F.col("sql")).alias("s"))
+    assert [r.s for r in judged.collect()] == ["reject", "warn"]
+    begin = time.time()
+    judged.collect()
+    assert time.time() - begin < 2

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_TOKEN = r"(?s)\[!?\]?[^\]]*\]|."
+# A bracket expression holds a character or more; "]" right at its start is one of them.
+_TOKEN = r"(?s)\[!?+(?:\][^\]]*|[^\]]+)\]|."
+
+
+def glob_tokens(pattern: Column) -> Column:
+    """A pattern's characters, wildcards and bracket expressions in order."""
+    return F.regexp_extract_all(pattern, F.lit(_TOKEN), F.lit(0))
 
 
 def glob_regex(pattern: Column) -> Column:
@@ -21,5 +27,4 @@ def glob_regex(pattern: Column) -> Column:
             .otherwise(F.regexp_replace(token, r"([^\w\s])", r"\\$1"))
         )
 
-    tokens = F.regexp_extract_all(pattern, F.lit(_TOKEN), F.lit(0))
-    return F.concat(F.lit(r"(?s)\A"), F.array_join(F.transform(tokens, translate), ""), F.lit(r"\z"))
+    return F.concat(F.lit(r"(?s)\A"), F.array_join(F.transform(glob_tokens(pattern), translate), ""), F.lit(r"\z"))

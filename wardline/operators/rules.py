@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.functions.globs import glob_regex
+from wardline.functions.globs import glob_regex, glob_tokens
 from wardline.operators.catalogue import OBJECT_FORMAT, clean_id, physical_table, to_catalogue
 from wardline.sources.schema import MAPPING, ROW_FILTER
 
@@ -19,13 +19,71 @@ TEXTS = "array<string>"
 # --- glob matching ------------------------------------------------------------------
 
 
+GRAM = 3
+#: Stands where a pattern has a wildcard; no literal part of a pattern holds it.
+_GAP = "\x00"
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """The distinct pieces of ``n`` characters of a text, none if it is shorter."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(text))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n if isinstance(n, Column) else F.lit(n))))
+
+
+def _pattern_keys(literal: Column) -> Column:
+    """Keys ``(kind, n, gram)`` that all names matching a pattern have; ``literal`` is its text with gaps for wildcards.
+
+    Pieces at the start (``p``), at the end (``s``) and anywhere (``t``), of three characters; shorter ones only if the
+    pattern has none of three. Without any literal the only key is the empty piece, which all names have.
+    """
+    parts = F.split(literal, _GAP)
+    first, last = F.get(parts, 0), F.element_at(parts, -1)
+    key = lambda kind, gram: F.struct(F.lit(kind).alias("__kind"), F.length(gram).alias("__size"), gram.alias("__gram"))
+
+    def keys(longest: bool) -> Column:
+        fits = (lambda x: F.length(x) >= GRAM) if longest else (lambda x: F.length(x).between(1, GRAM - 1))
+        pieces = F.flatten(F.transform(F.filter(parts, fits), lambda x: _grams(x, GRAM) if longest else F.array(x)))
+        ends = F.array(F.when(fits(first), key("p", F.left(first, F.lit(GRAM)))), F.when(fits(last), key("s", F.right(last, F.lit(GRAM)))))
+        return F.concat(F.array_compact(ends), F.transform(F.array_distinct(pieces), lambda x: key("t", x)))
+
+    long, short, none = keys(True), keys(False), F.array(key("t", F.lit("")))
+    return F.when(F.size(long) > 0, long).when(F.size(short) > 0, short).otherwise(none)
+
+
+def _name_grams(name: Column, kind: Column, n: Column) -> Column:
+    """The pieces of a name that keys of one kind and length can ask for."""
+    end = lambda x: F.when(F.length(name) >= n, F.array(x)).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(n == 0, F.array(F.lit("")))
+        .when(kind == "p", end(F.substring(name, F.lit(1), n)))
+        .when(kind == "s", end(F.substring(name, F.length(name) - n + 1, n)))
+        .otherwise(_grams(name, n))
+    )
+
+
+def _indexed_matches(listed: DataFrame, name: str, wild: DataFrame) -> DataFrame:
+    """``(name, pattern)`` over an inverted index: each pattern is listed under the rarest of its keys among the names."""
+    literal = F.array_join(
+        F.transform(glob_tokens(F.col("pattern")), lambda t: F.when(t.isin("*", "?") | (F.length(t) > 1), _GAP).otherwise(t)), ""
+    )
+    options = wild.select("pattern", F.explode(_pattern_keys(literal)).alias("k")).select("pattern", "k.*")
+    needed = options.agg(F.collect_set(F.struct("__kind", "__size"))).scalar()  # seven at most
+    asked = listed.withColumn("__k", F.explode(needed)).select(name, "__k.*")
+    keyed = asked.withColumn("__gram", F.explode(_name_grams(F.col(name), F.col("__kind"), F.col("__size"))))
+    on = ["__kind", "__size", "__gram"]
+    counts = keyed.join(options.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("__names"))
+    rarest = options.join(counts, on).groupBy("pattern").agg(F.min_by(F.struct(*on), F.struct("__names", *on)).alias("k")).select("pattern", "k.*")
+    entries = rarest.withColumn("__regex", glob_regex(F.col("pattern")))
+    return keyed.join(entries, on).filter(F.rlike(F.col(name), F.col("__regex"))).select(name, "pattern")
+
+
 def glob_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """``(name, pattern)`` for every row of ``names`` and every pattern of a table that matches it.
 
-    Literal patterns meet the names in an equi join. For the others, the text before the
-    first wildcard must start the name: names are listed under those of their prefixes whose
-    length occurs among the wildcard patterns and meet the patterns in an equi join on that
-    prefix; only these pairs run the regular expression.
+    Literal patterns meet the names in an equi join. For those with three characters or more before the first wildcard,
+    that text must start the name: names are listed under those of their prefixes whose length occurs among these patterns
+    and meet them in an equi join on that prefix. All others are found over an index of their rarest three characters (or
+    fewer, if a pattern has no three in a row). Only the pairs so found run the regular expression.
     """
     listed = names.select(name)
     pats = (
@@ -34,16 +92,18 @@ def glob_matches(names: DataFrame, name: str, patterns: DataFrame, pattern: str)
         .withColumn("__prefix", F.regexp_extract("pattern", r"^[^*?\[]*", 0))
     )
     literal = pats.filter(F.col("pattern") == F.col("__prefix")).select("pattern")
-    wild = pats.filter(F.col("pattern") != F.col("__prefix")).withColumn("__regex", glob_regex(F.col("pattern")))
-    lengths = wild.agg(F.collect_set(F.length("__prefix"))).scalar()  # at most one entry per prefix length
+    wild = pats.filter(F.col("pattern") != F.col("__prefix"))
+    started = wild.filter(F.length("__prefix") >= GRAM).withColumn("__regex", glob_regex(F.col("pattern")))
+    lengths = started.agg(F.collect_set(F.length("__prefix"))).scalar()  # at most one entry per prefix length
     prefixed = (
         listed.withColumn("__n", F.explode(lengths))
         .filter(F.col("__n") <= F.length(name))
         .withColumn("__prefix", F.substring(F.col(name), F.lit(1), F.col("__n")))
     )
-    by_prefix = (prefixed["__prefix"] == wild["__prefix"]) & F.rlike(F.col(name), F.col("__regex"))
+    by_prefix = (prefixed["__prefix"] == started["__prefix"]) & F.rlike(F.col(name), F.col("__regex"))
     exact = listed.join(literal, F.col(name) == F.col("pattern"))
-    return exact.select(name, "pattern").unionByName(prefixed.join(wild, by_prefix).select(name, "pattern"))
+    found = exact.select(name, "pattern").unionByName(prefixed.join(started, by_prefix).select(name, "pattern"))
+    return found.unionByName(_indexed_matches(listed, name, wild.filter(F.length("__prefix") < GRAM).select("pattern")))
 
 
 def resolve_rules(datasets: DataFrame, rules: DataFrame, name: str = "dataset_name") -> DataFrame:

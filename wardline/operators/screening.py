@@ -32,10 +32,6 @@ WRITE_VERBS = (
 
 _STACKED = r";\s*\S"
 _COMMENT = r"--|/\*"
-_OR = r"\bor\b"
-_TAUTOLOGY = r"(?<![\w.'])('[^']*'|[\w.]+\([^()]*\)|[\w.]+)\s*=\s*\1(?![\w.'(])"
-_LEVEL_TAUTOLOGY = "(?<![\\w.'])('[^']*'|[\\w.]+\u27e6[^=]*\u27e7|[\\w.]+)\\s*=\\s*\\1(?![\\w.'(\u27e6])"
-_GROUP = r"\([^()]*\)"
 _TOP_LIMIT = r"\b(limit|offset)\s+\S+\s*$"
 _SET_OPERATION = r"\b(union|intersect|except)\b"
 _EXISTS = r"\bexists\s*\("
@@ -60,7 +56,7 @@ def trimmed(sql: Column) -> Column:
 
 def blanked(text: Column) -> Column:
     """Lower-cased text with string literals emptied."""
-    return F.lower(F.regexp_replace(text, r"'(?:[^']|'')*'", "''"))
+    return F.lower(F.regexp_replace(text, r"(?:'[^']*+')++", "''"))
 
 
 def bare(sql: Column) -> Column:
@@ -70,27 +66,113 @@ def bare(sql: Column) -> Column:
 # --- rules over prepared text -------------------------------------------------------
 
 
-def _tautology(text: Column) -> Column:
-    return F.lower(text).rlike(_TAUTOLOGY)
+# Tokens of a text; what ends a predicate, and what ends the part of a clause in which an OR covers its predicates.
+_TOKEN = r"""'[^']*'|"[^"]*"|[\w.$]+|<=>|<=|>=|<>|!=|==|\|\||::|\S"""
+_PREDICATE_ENDS = ("and", "not", "as", "exists")
+_PART_ENDS = (
+    "select", "from", "where", "having", "on", "using", "group", "order", "by", "limit", "offset", "join", "union",
+    "intersect", "except", "when", "then", "else", "with", ",", ";",
+)
+_COMPARISONS = ("<", ">", "<=", ">=", "<>", "!=", "<=>", "in", "is", "like", "ilike", "between")
+_PREDICATE, _OR, _PART, _OPEN, _CLOSE, _EQUAL, _COMPARED = range(1, 8)
 
 
-def _or_beside_tautology(text: Column) -> Column:
-    """Whether an OR stands on the bracket level of an equality of equals, on any level.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    Each pass judges the innermost brackets and puts a token in their place, as often as the text has opening brackets; what
-    is left is the top. A call's brackets become others first, as calls can be compared.
-    """
-    low = F.regexp_replace(F.lower(text), rf"\b({'|'.join(CLAUSE_WORDS)})\(", "$1 (")
-    both = lambda c: c.rlike(_LEVEL_TAUTOLOGY) & c.rlike(_OR)
 
-    def peel(state: Column, _: Column) -> Column:
-        called = F.regexp_replace(state["rest"], r"(?<=\w)\(([^()]*)\)", "\u27e6$1\u27e7")
-        found = state["found"] | F.exists(F.regexp_extract_all(called, F.lit(_GROUP), F.lit(0)), both)
-        return F.struct(F.regexp_replace(called, _GROUP, "?").alias("rest"), found.alias("found"))
+def _kind(token: Column) -> Column:
+    word = F.lower(token)
+    return (
+        F.when(word == "or", _OR)
+        .when(word.isin("(", "case"), _OPEN)
+        .when(word.isin(")", "end"), _CLOSE)
+        .when(word.isin("=", "=="), _EQUAL)
+        .when(word.isin(*_COMPARISONS), _COMPARED)
+        .when(word.isin(*_PREDICATE_ENDS), _PREDICATE)
+        .when(word.isin(*_PART_ENDS), _PART)
+        .otherwise(0)
+    )
+
+
+def _level(ors: Column, same: Column, held: Column, first: Column, equal: Column) -> Column:
+    return F.struct(ors.alias("ors"), same.alias("same"), held.alias("held"), first.cast("int").alias("first"), equal.cast("int").alias("equal"))
+
 
-    depth = F.length(low) - F.length(F.replace(low, F.lit("("), F.lit("")))
-    start = F.struct(low.alias("rest"), F.lit(False).alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), depth), start, peel, lambda s: s["found"] | both(s["rest"]))
+def _packed(level: Column) -> Column:
+    """A level as eight bytes. Open levels are kept as bytes, since an array would be copied element by element."""
+    flags = level["ors"].cast("bigint") + 2 * level["same"].cast("bigint") + 4 * level["held"].cast("bigint")
+    number = flags + 8 * level["first"].cast("bigint") + (level["equal"] + 2).cast("bigint") * (1 << 32)
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
+
+
+def _number(stack: Column) -> Column:
+    """The last level of ``stack`` as a number, null if there is none."""
+    return F.conv(F.hex(F.substring(stack, -8, 8)), 16, 10).cast("bigint")
+
+
+def _severity(text: Column) -> Column:
+    """``reject`` if an equality of equals stands below an OR, on its own bracket level or an outer one; ``warn`` if there is
+    one elsewhere; else NULL.
+
+    One fold over the tokens that matter, with the open levels as a stack. A level knows whether its part of a clause has an
+    OR (``ors``) and an equality of equals, its own or one in brackets there (``same``), whether an earlier part held one
+    (``held``, which an OR further out still covers), where the predicate begins and where its equals sign is (-1 none, -2
+    several comparisons). Sides are equal if their tokens are, as written.
+    """
+    no, none = F.lit(False), F.lit(-1)
+
+    def judged(words: Column) -> Column:
+        kinds = F.transform(words, lambda t, i: F.struct(_kind(t).alias("kind"), i.alias("at")))
+        marks = F.filter(kinds, lambda e: e["kind"] > 0)
+        opened = F.size(F.filter(kinds, lambda e: e["kind"] == _OPEN))
+        ends = F.transform(F.sequence(F.lit(0), opened), lambda i: F.struct(F.lit(_CLOSE).alias("kind"), (F.size(words) + i).alias("at")))
+
+        def step(s: Column, e: Column) -> Column:
+            kind, at, top, stack = e["kind"], e["at"], s["top"], s["stack"]
+            first, equal = top["first"], top["equal"]
+            width = equal - first
+            tautology = F.when(
+                ~kind.isin(_OPEN, _EQUAL, _COMPARED) & (width > 0) & (at - equal - 1 == width),
+                F.slice(words, first + 1, width) == F.slice(words, equal + 2, width),
+            ).otherwise(no)
+
+            def after(new: Column) -> Column:
+                ors, same, held = top["ors"], top["same"] | new, top["held"]
+
+                def closed(n: Column) -> Column:
+                    bit = lambda k: n.bitwiseAND(F.lit(k).cast("bigint")) > 0
+                    outer = _level(bit(1), bit(2) | same | held, bit(4), F.shiftright(n, 3).bitwiseAND(F.lit((1 << 29) - 1).cast("bigint")), F.shiftright(n, 32) - 2)
+                    return F.when(n.isNotNull(), outer).otherwise(_level(no, same | held, no, at + 1, none))
+
+                level = (
+                    F.when(kind == _EQUAL, _level(ors, same, held, first, F.when(equal == -1, at).otherwise(-2)))
+                    .when(kind == _COMPARED, _level(ors, same, held, first, F.lit(-2)))
+                    .when(kind.isin(_PREDICATE, _OR), _level(ors | (kind == _OR), same, held, at + 1, none))
+                    .when(kind == _PART, _level(no, no, held | same, at + 1, none))
+                    .when(kind == _CLOSE, _let(_number(stack), closed))
+                    .otherwise(_level(no, no, no, at + 1, none))
+                )
+                return F.struct(
+                    (s["found"] | new).alias("found"),
+                    (s["rejected"] | (kind.isin(_PART, _CLOSE) & ors & same)).alias("rejected"),
+                    level.alias("top"),
+                    F.when(kind == _OPEN, F.concat(stack, _packed(top)))
+                    .when(kind == _CLOSE, F.substring(stack, 1, F.octet_length(stack) - 8))
+                    .otherwise(stack)
+                    .alias("stack"),
+                )
+
+            return _let(tautology, after)
+
+        start = F.struct(
+            no.alias("found"), no.alias("rejected"), _level(no, no, no, F.lit(0), none).alias("top"),
+            F.lit(b"").alias("stack"),
+        )
+        return F.aggregate(F.concat(marks, ends), start, step, lambda s: F.when(s["rejected"], "reject").when(s["found"], "warn"))
+
+    return F.when(text.contains("="), _let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), judged))
 
 
 def _not_select(words: Column) -> Column:
@@ -150,8 +232,8 @@ def unknown_functions(sql: Column) -> Column:
 
 
 def tautology_severity(sql: Column) -> Column:
-    """``reject`` next to an OR, ``warn`` alone, NULL when absent."""
-    return F.when(_tautology(trimmed(sql)), F.when(bare(sql).rlike(_OR), "reject").otherwise("warn"))
+    """``reject`` below an OR, ``warn`` elsewhere, NULL when absent."""
+    return _severity(trimmed(sql))
 
 
 def has_top_limit(sql: Column) -> Column:
@@ -180,10 +262,7 @@ def screen(log: DataFrame, sql: str = "sql") -> DataFrame:
     prepared = log.withColumn("__trimmed", trimmed(c)).withColumn("__bare", blanked(text))
     judged = prepared.withColumns(
         {
-            "__severity": F.when(
-                text.contains("=") & _tautology(text),
-                F.when(words.rlike(_OR) & _or_beside_tautology(text), "reject").otherwise("warn"),
-            ),
+            "__severity": _severity(text),
             "tables": _tables(words),
         }
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.operators import catalogue as cat_ops, dcat, rowfilters as rls, rules as rule_ops
@@ -368,15 +370,17 @@ def _columns_sql() -> str:
 
 @query(
     "introspect_tables",
-    " UNION ALL ".join(f"SELECT 'lake' AS schema_name, '{n}' AS table_name, 'table' AS table_type, count(*) AS n_rows FROM {n}" for n in _INTROSPECTED),
+    " UNION ALL ".join(
+        f"SELECT 'session' AS schema_name, 'lake_{n}' AS table_name, 'view' AS table_type, count(*) AS n_rows FROM {n}" for n in _INTROSPECTED
+    ),
 )
 def introspect_tables(t: Tables) -> DataFrame:
-    listed = _described(t).select("schema_name", "table_name", "table_type").distinct()
-    counts = None
+    """The session's own tables, as listed, with their numbers of rows."""
     for name in _INTROSPECTED:
-        one = getattr(t, name).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("counted", F.lit(name))
-        counts = one if counts is None else counts.unionByName(one)
-    return listed.join(counts, F.col("table_name") == F.col("counted")).drop("counted")
+        getattr(t, name).createOrReplaceTempView(f"lake_{name}")
+    listed = intro.list_tables(t.spark).filter(F.col("table_name").isin(*[f"lake_{n}" for n in _INTROSPECTED]))
+    counts = [t.spark.table(f"lake_{n}").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("counted", F.lit(f"lake_{n}")) for n in _INTROSPECTED]
+    return listed.join(reduce(DataFrame.unionByName, counts), F.col("table_name") == F.col("counted")).drop("counted")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.operators import conformance as conf, mapping, rules as rule_ops, screening
@@ -242,24 +244,77 @@ TEMPLATES = [
 ]
 
 
+# Predicates and connectives of further texts, which nest them in brackets; the event number picks which.
+PREDICATES = (
+    "a = b", "1 = 1", "lower(x) = lower(x)", "'q' = 'Q'", "a IN (1, 2)", "b > 2 AND c = c", "CASE WHEN x = x THEN 1 ELSE 2 END = 1",
+)
+CONNECTIVES = (" AND ", " OR ")
+KINDS = len(TEMPLATES) + 1
+NESTED = "{p0}{c0}({p1}{c1}({p2}{c2}note = '(or'))"
+_STEPS = {"p0": (1, PREDICATES), "c0": (7, CONNECTIVES), "p1": (14, PREDICATES), "c1": (98, CONNECTIVES), "p2": (196, PREDICATES), "c2": (1372, CONNECTIVES)}
+
+
 def _log(t: Tables) -> DataFrame:
     number = F.col("event_id").cast("string")
     texts = [F.concat(F.lit(a), number if a.strip() else F.lit(""), F.lit(b)) for a, b, *_ in TEMPLATES]
-    pick = (F.col("event_id") % len(TEMPLATES)).cast("int")
-    return t.events.select("event_id", "user_id", F.get(F.array(*texts), pick).alias("sql"))
+    parts = [F.lit("SELECT a FROM t1 WHERE ")]
+    for piece in re.split(r"[{}]", NESTED):
+        step, choices = _STEPS.get(piece, (1, (piece,)))
+        picked = F.floor(F.col("event_id") / step) % len(choices)
+        parts.append(F.get(F.array(*map(F.lit, choices)), picked.cast("int")))
+    pick = (F.col("event_id") % KINDS).cast("int")
+    return t.events.select("event_id", "user_id", F.get(F.array(*texts, F.concat(*parts)), pick).alias("sql"))
 
 
 def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _text_of_event() -> str:
+    whens = " ".join(
+        f"WHEN {i} THEN {_sql_text(a)} || {'CAST(event_id AS VARCHAR)' if a.strip() else _sql_text('')} || {_sql_text(b)}" for i, (a, b, *_) in enumerate(TEMPLATES)
+    )
+    parts = ["'SELECT a FROM t1 WHERE '"]
+    for piece in re.split(r"[{}]", NESTED):
+        step, choices = _STEPS.get(piece, (1, (piece,)))
+        parts.append(f"[{', '.join(map(_sql_text, choices))}][event_id // {step} % {len(choices)} + 1]")
+    return f"CASE event_id % {KINDS} {whens} ELSE {' || '.join(parts)} END"
+
+
 _LOG = (
     "expected AS (SELECT * FROM (VALUES "
     + ", ".join(
         f"({i}, {_sql_text('empty' if reasons is None else reasons)}, {_sql_text(warnings)}, {_sql_text(tables)})"
-        for i, (_, _, reasons, warnings, tables) in enumerate(TEMPLATES)
+        for i, (_, _, reasons, warnings, tables) in enumerate([*TEMPLATES, (None, None, "", "", "t1")])
     )
-    + f") v(kind, reasons, warnings, tables)), log AS (SELECT e.event_id, e.user_id, v.* FROM events e JOIN expected v ON e.event_id % {len(TEMPLATES)} = v.kind)"
+    + f") v(kind, reasons, warnings, tables)), log AS (SELECT e.event_id, e.user_id, v.* FROM events e JOIN expected v ON e.event_id % {KINDS} = v.kind)"
+)
+
+# The bracket rule stated on token pairs: an OR covers a predicate if no token between them closes the OR's bracket or ends
+# its part of the clause.
+_JUDGED = (
+    _LOG
+    + f""", texts AS (SELECT event_id, regexp_extract_all(rtrim({_text_of_event()}, ' ;'), {_sql_text(screening._TOKEN)}) AS toks FROM events),
+    words AS (SELECT event_id, toks, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM texts WHERE list_contains(toks, '=')),
+    kinds AS (SELECT event_id, toks, i, CASE WHEN lower(w) = 'or' THEN 'or' WHEN lower(w) IN ('(', 'case') THEN 'open' WHEN lower(w) IN (')', 'end') THEN 'close'
+            WHEN w = '=' THEN 'eq' WHEN lower(w) IN {screening._COMPARISONS} THEN 'cmp' WHEN lower(w) IN {screening._PREDICATE_ENDS} THEN 'pred'
+            WHEN lower(w) IN {screening._PART_ENDS} THEN 'part' ELSE '' END AS k FROM words),
+    depths AS (SELECT *, coalesce(sum(CAST(k = 'open' AS INT)) OVER before, 0) - sum(CAST(k = 'close' AS INT)) OVER upto AS depth FROM kinds
+            WINDOW before AS (PARTITION BY event_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                   upto AS (PARTITION BY event_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    sides AS (SELECT e.event_id, e.i, e.depth, any_value(e.toks) AS toks,
+            coalesce(max(b.i) FILTER (b.i < e.i), 0) AS lo, coalesce(min(b.i) FILTER (b.i > e.i), any_value(len(e.toks)) + 1) AS hi
+            FROM depths e LEFT JOIN depths b ON b.event_id = e.event_id AND b.i <> e.i
+                AND (b.depth < e.depth OR b.depth = e.depth AND b.k IN ('or', 'eq', 'cmp', 'pred', 'part'))
+            WHERE e.k = 'eq' GROUP BY ALL),
+    equal AS (SELECT s.event_id, s.i, s.depth FROM sides s LEFT JOIN depths x ON x.event_id = s.event_id AND x.i = s.lo LEFT JOIN depths y ON y.event_id = s.event_id AND y.i = s.hi
+            WHERE coalesce(x.k, '') NOT IN ('eq', 'cmp') AND coalesce(y.k, '') NOT IN ('eq', 'cmp') AND s.i - s.lo > 1
+                AND s.toks[s.lo + 1 : s.i - 1] = s.toks[s.i + 1 : s.hi - 1]),
+    covered AS (SELECT DISTINCT q.event_id FROM equal q JOIN depths o ON o.event_id = q.event_id AND o.k = 'or'
+            WHERE NOT EXISTS (SELECT 1 FROM depths b WHERE b.event_id = q.event_id AND b.i BETWEEN least(o.i, q.i) AND greatest(o.i, q.i)
+                AND (b.depth < o.depth OR b.depth = o.depth AND b.k = 'part'))),
+    judged AS (SELECT l.* REPLACE (CASE WHEN l.event_id IN (SELECT event_id FROM covered) THEN 'tautology' WHEN l.reasons = 'tautology' THEN '' ELSE l.reasons END AS reasons,
+            CASE WHEN l.event_id IN (SELECT event_id FROM equal) AND l.event_id NOT IN (SELECT event_id FROM covered) THEN 'tautology' ELSE '' END AS warnings) FROM log l)"""
 )
 
 
@@ -300,7 +355,7 @@ def screen_functions(t: Tables) -> DataFrame:
 
 @query(
     "screen_tautology",
-    f"WITH {_LOG} SELECT event_id, CASE WHEN reasons = 'tautology' THEN 'reject' WHEN warnings = 'tautology' THEN 'warn' END AS severity FROM log",
+    f"WITH {_JUDGED} SELECT event_id, CASE WHEN reasons = 'tautology' THEN 'reject' WHEN warnings = 'tautology' THEN 'warn' END AS severity FROM judged",
 )
 def screen_tautology(t: Tables) -> DataFrame:
     return _log(t).select("event_id", screening.tautology_severity(F.col("sql")).alias("severity"))
@@ -323,7 +378,7 @@ def extract_tables(t: Tables) -> DataFrame:
 
 @query(
     "screen_report",
-    f"""WITH {_LOG} SELECT event_id, reasons, warnings, tables, reasons = '' AS accepted FROM log""",
+    f"""WITH {_JUDGED} SELECT event_id, reasons, warnings, tables, reasons = '' AS accepted FROM judged""",
 )
 def screen_report(t: Tables) -> DataFrame:
     screened = screening.screen(_log(t))
@@ -338,7 +393,7 @@ def screen_report(t: Tables) -> DataFrame:
 
 @query(
     "screen_totals",
-    f"WITH {_LOG} SELECT unnest(string_split(reasons, ',')) AS rule, count(*) AS queries FROM log WHERE reasons <> '' GROUP BY 1",
+    f"WITH {_JUDGED} SELECT unnest(string_split(reasons, ',')) AS rule, count(*) AS queries FROM judged WHERE reasons <> '' GROUP BY 1",
 )
 def screen_totals(t: Tables) -> DataFrame:
     return screening.rule_totals(screening.screen(_log(t)))

@@ -26,8 +26,9 @@ COLUMNS_SCHEMA = (
 )
 
 
-def list_tables(spark: SparkSession, include_views: bool = True) -> DataFrame:
-    """``(schema_name, table_name, table_type)`` of the session catalog without system schemas."""
+def list_tables(spark: SparkSession, include_views: bool = True, jdbc: Mapping[str, str] | None = None) -> DataFrame:
+    """``(schema_name, table_name, table_type)`` of the session catalog without system schemas, and of the database that the
+    options ``jdbc`` lead to."""
     rows = []
     for db in spark.catalog.listDatabases():
         if db.name in SYSTEM_SCHEMAS:
@@ -36,7 +37,12 @@ def list_tables(spark: SparkSession, include_views: bool = True) -> DataFrame:
             kind = "view" if t.tableType in ("VIEW", "TEMPORARY") else "table"
             if kind == "table" or include_views:
                 rows.append((db.name if not t.isTemporary else "session", t.name, kind))
-    return spark.createDataFrame(sorted(set(rows)), "schema_name string, table_name string, table_type string")
+    listed = spark.createDataFrame(sorted(set(rows)), "schema_name string, table_name string, table_type string")
+    if jdbc is None:
+        return listed
+    from wardline.sources import jdbc_catalogue  # which builds on this module
+
+    return listed.unionByName(jdbc_catalogue.list_tables(spark, jdbc, include_views).drop("comment"))
 
 
 def type_name(data_type: T.DataType) -> str:
@@ -88,14 +94,15 @@ def describe_tables(tables: Mapping[str, DataFrame], schema_name: str, observe_n
 
 
 def json_type(data_type: Column) -> tuple[Column, Column]:
-    """``(type, format)`` of JSON Schema for a Spark type name; intervals are text durations."""
+    """``(type, format)`` of JSON Schema for a Spark or SQL type name; intervals are text durations."""
     t = F.lower(data_type)
+    geometry = t.rlike(r"^(geometry|geography)\b")
     kind = (
         F.when(t.startswith("interval"), "string")
-        .when(t.isin("tinyint", "smallint", "int", "bigint"), "integer")
-        .when(t.startswith("decimal") | t.isin("float", "double"), "number")
+        .when(t.isin("tinyint", "smallint", "int", "integer", "bigint"), "integer")
+        .when(t.rlike(r"^(decimal|numeric)\b") | t.isin("float", "double", "real", "double precision"), "number")
         .when(t == "boolean", "boolean")
-        .when(t.startswith("struct") | t.startswith("map") | (t == "variant") | (t == "geometry"), "object")
+        .when(t.startswith("struct") | t.startswith("map") | t.isin("variant", "json", "jsonb") | geometry, "object")
         .otherwise("string")
     )
     fmt = (
@@ -103,7 +110,7 @@ def json_type(data_type: Column) -> tuple[Column, Column]:
         .when(t.startswith("timestamp"), "date-time")
         .when(t == "date", "date")
         .when(t.startswith("time"), "time")
-        .when(t == "geometry", "geojson")
+        .when(geometry, "geojson")
     )
     return kind, fmt
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from wardline.operators import conformance as conf, mapping, screening
 from wardline.sources.schema import CATALOGUE
 
+SOSA_SENSOR = "http://www.w3.org/ns/sosa/Sensor"
+
 MAPPING = {
     "version": "3",
     "target_type": "saref:Measurement",
@@ -320,3 +322,51 @@ def test_ten_thousand_brackets_are_judged_in_linear_time(spark):
     begin = time.time()
     judged.collect()
     assert time.time() - begin < 2
+
+
+def test_report_from_columns_agrees_with_the_violations(spark):
+    """Totals of the one-scan report against the listed violations, on rows that share nodes, repeat and lack values."""
+    spec = {
+        "target_type": "sosa:Observation",
+        "id_template": "urn:o:{k}",
+        "fields": [
+            {"source": "k", "target": "dct:identifier", "required": True},
+            {"source": "v", "target": "sosa:hasSimpleResult", "datatype": "xsd:decimal", "required": True},
+            {"source": "w", "target": "sosa:hasSimpleResult", "datatype": "xsd:integer"},
+            {"source": "maker", "target": "sosa:madeBySensor", "kind": "iri"},
+            {"source": "label", "target": "rdfs:label"},
+        ],
+    }
+    shapes = (
+        conf.Shape("sosa:Observation", "rdfs:label", min_count=1),
+        conf.Shape("sosa:Observation", "sosa:hasSimpleResult", min_count=2, datatype="xsd:decimal"),
+        conf.Shape("sosa:Observation", "sosa:madeBySensor", min_count=1, object_class="sosa:Sensor"),
+        conf.Shape("sosa:Platform", "dct:identifier", min_count=2, datatype="xsd:integer"),
+    )
+    rows = [
+        ("a", "1", "1", "urn:m:1", "x"), ("a", "1.0", None, "urn:m:2", None), ("b", "1", None, None, None), ("b", "1", None, None, None),
+        ("c", "bad", "1.5", "urn:m:2", "y"), (None, None, "2", "urn:m:3", "z"), ("d", None, None, "urn:m:1", ""), ("a", "1", "1", "urn:m:1", "x"),
+    ]
+    df = spark.createDataFrame(rows, "k string, v string, w string, maker string, label string")
+    typed = spark.createDataFrame([("urn:m:1", SOSA_SENSOR), ("urn:m:1", SOSA_SENSOR), ("urn:m:2", "urn:other")], "iri string, class string")
+    for chosen in (shapes, shapes[:1], (shapes[1], conf.Shape("sosa:Observation", "rdfs:label", min_count=3)), ()):
+        profile = conf.Profile("p", "v1", chosen)
+        listed = conf.violations(df, spec, profile, typed).groupBy("rule").count().collect()
+        got = conf.report("d", df, spec, [profile], typed).first()
+        assert got.by_rule == {r["rule"]: r["count"] for r in listed} and got.sample_size == 8
+        assert got.n_violations == sum(r["count"] for r in listed) and got.conforms == (not listed)
+    empty = conf.report("d", df.limit(0), spec, [conf.Profile("p", "v1", shapes)], typed).first()
+    assert empty.conforms and empty.sample_size == 0 and empty.by_rule == {}
+    with pytest.raises(conf.ConformanceUnavailable):
+        conf.report("d", df, spec, [conf.Profile("p", "v1", shapes)])
+
+
+def test_report_reads_the_rows_once(spark, tmp_path):
+    df = spark.range(10).select(F.col("id").cast("string").alias("k"))
+    df.write.parquet(str(tmp_path / "rows"))
+    spec = {"target_type": "sosa:Observation", "id_template": "urn:o:{k}", "fields": [{"source": "k", "target": "rdfs:label", "required": True}]}
+    profile = conf.Profile("p", "v1", (conf.Shape("sosa:Observation", "rdfs:label", min_count=2, datatype="xsd:integer"),))
+    report = conf.report("d", spark.read.parquet(str(tmp_path / "rows")), spec, [profile])
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Expand" not in plan
+    assert report.first().by_rule == {"minCount": 10, "shapeDatatype": 10}

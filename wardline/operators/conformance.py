@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.operators.mapping import PREFIXES, RDF_TYPE, expand, map_to_triples, mapped_fields, subject_column
+from wardline.operators.mapping import PREFIXES, RDF_TYPE, expand, map_to_triples, mapped_fields, stated_values, subject_column
 
 
 @dataclass(frozen=True)
@@ -95,17 +95,32 @@ def row_violations(
     return df.select(s.alias("subject"), F.explode(F.array_compact(F.array(*checks))).alias("v")).select("subject", "v.*")
 
 
+def _up_to_two(value: Column) -> Column:
+    """How many different values there are in a group: 0, 1, or 2 for more."""
+    low, high = F.min(value), F.max(value)
+    return F.when(low.isNull(), 0).when(low == high, 1).otherwise(2)
+
+
 def min_count_violations(
     triples: DataFrame, shapes: Sequence[Shape], prefixes: Mapping[str, str] = PREFIXES
 ) -> DataFrame:
-    """Nodes with too few values of a property; one aggregation by node serves every rule."""
+    """Nodes with too few values of a property; one aggregation by node serves every rule.
+
+    A node's properties are a set of values: a repeated statement counts once. Whether there is a value, or a second one, is
+    seen from the smallest and the largest; only rules that ask for more need the statements without repeats first.
+    """
     rules = [s for s in shapes if s.min_count > 0]
     classes = sorted({expand(s.target_class, prefixes) for s in rules})
     paths = sorted({expand(s.path, prefixes) for s in rules})
     typed = {c: F.bool_or((F.col("p") == RDF_TYPE) & (F.col("o") == c)).alias(f"c{i}") for i, c in enumerate(classes)}
-    # A node's properties are a set of values: a repeated statement counts once.
-    counts = {p: F.countDistinct(F.when(F.col("p") == p, F.struct("o", "datatype"))).alias(f"n{i}") for i, p in enumerate(paths)}
-    nodes = triples.filter(F.col("p").isin(RDF_TYPE, *paths)).groupBy("s").agg(*typed.values(), *counts.values())
+    named = triples.filter(F.col("p").isin(RDF_TYPE, *paths))
+    of = lambda p: F.when(F.col("p") == p, F.struct("o", "datatype"))
+    if max(s.min_count for s in rules) > 2:
+        named = named.select("s", "p", "o", "datatype").distinct()
+        counts = [F.count(of(p)).alias(f"n{i}") for i, p in enumerate(paths)]
+    else:
+        counts = [_up_to_two(of(p)).alias(f"n{i}") for i, p in enumerate(paths)]
+    nodes = named.groupBy("s").agg(*typed.values(), *counts)
     checks = []
     for rule in rules:
         c = F.col(f"c{classes.index(expand(rule.target_class, prefixes))}")
@@ -223,7 +238,7 @@ def violations(
     if typed is None and any(s.object_class for s in shapes):
         raise ConformanceUnavailable(f"profile {profile.name!r} needs a vocabulary of typed concepts")
     named = {RDF_TYPE, *(expand(s.path, prefixes) for s in shapes)}
-    triples = map_to_triples(df, spec, context, prefixes).filter(F.col("p").isin(*named))
+    triples = map_to_triples(df, spec, context, prefixes, only=named)
     parts = [row_violations(df, spec, context, prefixes)]
     if any(s.min_count > 0 for s in shapes):
         parts.append(min_count_violations(triples, shapes, prefixes))
@@ -234,6 +249,69 @@ def violations(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _counts_from_columns(
+    df: DataFrame, spec: Mapping[str, Any], shapes: Sequence[Shape], typed: DataFrame | None, context: Mapping[str, str], prefixes: Mapping[str, str]
+) -> DataFrame:
+    """One row: ``rows``, and the number of violations by rule, in one scan of the rows and one aggregation by node.
+
+    The rows' nodes all have the mapping's target type, so the rules that apply are known, and every check is an
+    expression over the row; only the vocabulary's concepts are joined.
+    """
+    subject = subject_column(df, spec, context)
+    values = stated_values(df, spec, context, prefixes)
+    own = expand(spec["target_type"], prefixes)
+    ruled = [s for s in shapes if expand(s.target_class, prefixes) == own]
+    stated = lambda shape: [v for v in values if v[0] == expand(shape.path, prefixes)]
+    tally: dict[str, list[Column]] = {"required": [m for _, m in _missing(df, spec, subject)]}
+    for item, column in mapped_fields(df, spec.get("fields") or []):
+        if item.get("datatype") and (item.get("kind") or "literal") == "literal" and column is not None:
+            value = column.cast("string")
+            tally.setdefault("datatype", []).append(value.isNotNull() & ~lexically_valid(value, item["datatype"], prefixes))
+    concepts: list[tuple[Column, str]] = []
+    for shape in ruled:
+        for _, value, kind, datatype in stated(shape):
+            if shape.datatype:
+                fits = (
+                    lexically_valid(value, shape.datatype, prefixes)
+                    if kind == "literal" and (datatype or expand("xsd:string", PREFIXES)) == expand(shape.datatype, prefixes)
+                    else F.lit(False)
+                )
+                tally.setdefault("shapeDatatype", []).append(subject.isNotNull() & value.isNotNull() & ~fits)
+            if shape.object_class:
+                concepts.append((F.when(subject.isNotNull(), value), expand(shape.object_class, prefixes)))
+    counted = [s for s in ruled if s.min_count > 0]
+    pairs = lambda s: [F.when(v.isNotNull(), F.struct(v.alias("o"), F.lit(d).cast("string").alias("datatype"))) for _, v, _, d in stated(s)]
+    nothing = F.lit(None).cast("struct<o:string,datatype:string>")
+    total = lambda flags: sum((F.coalesce(f, F.lit(False)).cast("bigint") for f in flags), F.lit(0).cast("bigint"))
+    rows = df.select(
+        subject.alias("s"),
+        *[total(flags).alias(f"t_{rule}") for rule, flags in tally.items()],
+        *[F.array_compact(F.array(nothing, *pairs(s))).alias(f"v{i}") for i, s in enumerate(counted)],
+        # Rows without a value get a key of their own, so that they don't meet in one place.
+        *[F.coalesce(v, F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string"))).alias(f"o{i}") for i, (v, _) in enumerate(concepts)],
+    )
+    for i, (_, wanted) in enumerate(concepts):
+        known = typed.filter(F.col("class") == wanted).select(F.col("iri").alias(f"o{i}")).distinct().withColumn(f"k{i}", F.lit(True))
+        rows = rows.join(known, f"o{i}", "left").withColumn(f"u{i}", ~F.col(f"o{i}").startswith("\x00") & F.col(f"k{i}").isNull())
+    if concepts:
+        tally["class"] = []
+        rows = rows.withColumn("t_class", total([F.col(f"u{i}") for i in range(len(concepts))]))
+    nodes = rows.groupBy("s").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(f"t_{rule}").alias(f"t_{rule}") for rule in tally],
+        *[F.min(F.array_min(f"v{i}")).alias(f"low{i}") for i in range(len(counted))],
+        *[F.max(F.array_max(f"v{i}")).alias(f"high{i}") for i in range(len(counted))],
+    )
+    few = []
+    for i, shape in enumerate(counted):
+        n = F.when(F.col(f"low{i}").isNull(), 0).when(F.col(f"low{i}") == F.col(f"high{i}"), 1).otherwise(2)
+        few.append(F.col("s").isNotNull() & (n < shape.min_count))
+    sums = [F.sum(f"t_{rule}").alias(rule) for rule in tally]
+    if counted:
+        sums.append(F.sum(total(few)).alias("minCount"))
+    return nodes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *sums)
+
+
 # --- report -------------------------------------------------------------------------
 
 
@@ -254,13 +332,25 @@ def report(
     if not spec.get("target_type") or not spec.get("id_template"):
         raise ConformanceUnavailable(f"{dataset_id}: the mapping states no target_type or id_template")
     profile, pinned = pick_profile(profiles, spec, profile_version)
-    found = violations(df, spec, profile, typed, context, prefixes).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct("rule", "n"))).alias("by_rule"))
+    shapes = profile.shapes
+    if typed is None and any(s.object_class for s in shapes):
+        raise ConformanceUnavailable(f"profile {profile.name!r} needs a vocabulary of typed concepts")
+    types = [v for p, v, *_ in stated_values(df, spec, context or {}, prefixes) if p == RDF_TYPE]
+    if len(types) > 1 or any(s.min_count > 2 for s in shapes):
+        # Nodes with types of their own, or sets of values to count: from the violations themselves.
+        found = violations(df, spec, profile, typed, context, prefixes).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+        listed = F.array_sort(F.collect_list(F.struct("rule", "n")))
+        total = found.agg(listed.alias("by_rule")).withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
+    else:
+        counts = _counts_from_columns(df, spec, shapes, typed, context or {}, prefixes)
+        each = [F.when(F.col(r) > 0, F.struct(F.lit(r).alias("rule"), F.col(r).alias("n"))) for r in sorted(counts.columns) if r != "rows"]
+        total = counts.select("rows", F.array_compact(F.array(*each)).alias("by_rule"))
+    n = F.aggregate("by_rule", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
     return total.select(
         F.lit(dataset_id).alias("dataset_id"),
-        (F.col("n") == 0).alias("conforms"),
-        df.agg(F.count(F.lit(1))).scalar().alias("sample_size"),
-        F.col("n").alias("n_violations"),
+        (n == 0).alias("conforms"),
+        F.col("rows").alias("sample_size"),
+        n.alias("n_violations"),
         F.map_from_entries("by_rule").alias("by_rule"),
         F.lit(profile.name).alias("profile_name"),
         F.lit(profile.version).alias("profile_version"),

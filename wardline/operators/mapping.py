@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -218,15 +218,11 @@ def mapped_fields(
     return found
 
 
-def _statements(
-    df: DataFrame, spec: Mapping[str, Any], context: Mapping[str, str], prefixes: Mapping[str, str]
-) -> list[Column]:
-    def statement(p: str, o: Column, kind: str, datatype: str | None) -> Column:
-        return F.struct(
-            F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype")
-        )
-
-    found = [statement(RDF_TYPE, F.lit(expand(spec["target_type"], prefixes)), "iri", None)]
+def stated_values(
+    df: DataFrame, spec: Mapping[str, Any], context: Mapping[str, str], prefixes: Mapping[str, str] = PREFIXES
+) -> list[tuple[str, Column, str, str | None]]:
+    """``(property, value as text, iri or literal, datatype)`` of what each row states; a null value states nothing."""
+    found: list[tuple[str, Column, str, str | None]] = [(RDF_TYPE, F.lit(expand(spec["target_type"], prefixes)), "iri", None)]
     for field, column in mapped_fields(df, spec.get("fields") or []):
         if not field.get("target"):
             continue  # only holds nested fields
@@ -234,12 +230,9 @@ def _statements(
         datatype = expand(field["datatype"], prefixes) if field.get("datatype") else None
         if kind == "constant":
             value = template_column(field["value"], df.columns, context)
-            is_iri = "://" in field["value"]
-            found.append(F.when(value.isNotNull(), statement(target, value, "iri" if is_iri else "literal", datatype)))
+            found.append((target, value, "iri" if "://" in field["value"] else "literal", datatype))
         elif column is not None:
-            value = column.cast("string")
-            plain = kind if kind == "iri" else "literal"
-            found.append(F.when(value.isNotNull(), statement(target, value, plain, None if kind == "iri" else datatype)))
+            found.append((target, column.cast("string"), "iri" if kind == "iri" else "literal", None if kind == "iri" else datatype))
     return found
 
 
@@ -248,12 +241,22 @@ def map_to_triples(
     spec: Mapping[str, Any],
     context: Mapping[str, str] | None = None,
     prefixes: Mapping[str, str] = PREFIXES,
+    only: Collection[str] | None = None,
 ) -> DataFrame:
-    """Rows as triples ``(s, p, o, o_kind, datatype)``: one scan, one explode, no shuffle.
+    """Rows as triples ``(s, p, o, o_kind, datatype)``, of the properties ``only`` if given: one scan, one explode, no shuffle.
 
     Rows without an id yield nothing here; ``conformance.required_violations`` reports them.
     """
     context = context or {}
-    statements = F.array_compact(F.array(*_statements(df, spec, context, prefixes)))
+    statements = [
+        F.when(
+            value.isNotNull(),
+            F.struct(F.lit(p).alias("p"), value.alias("o"), F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("datatype")),
+        )
+        for p, value, kind, datatype in stated_values(df, spec, context, prefixes)
+        if only is None or p in only
+    ]
+    empty = F.array().cast("array<struct<p:string,o:string,o_kind:string,datatype:string>>")
+    listed = F.array_compact(F.array(*statements)) if statements else empty
     s = subject_column(df, spec, context)
-    return df.select(s.alias("s"), F.explode(statements).alias("t")).filter(F.col("s").isNotNull()).select("s", "t.*")
+    return df.select(s.alias("s"), F.explode(listed).alias("t")).filter(F.col("s").isNotNull()).select("s", "t.*")

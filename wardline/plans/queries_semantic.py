@@ -100,8 +100,10 @@ _TRIPLES = f"""triples AS (
   UNION ALL SELECT s, '{SOSA}observedProperty', 'https://data.example.org/prop/north', 'iri', NULL FROM obs)"""
 
 
-def _triples(t: Tables) -> DataFrame:
-    return mapping.map_to_triples(tb.observations(t), tb.OBSERVATION_SPEC, tb.OBSERVATION_CONTEXT)
+def _triples(t: Tables, *only: str) -> DataFrame:
+    """All statements of the observations, or those of the properties ``only`` and the types."""
+    named = {RDF_TYPE, *map(mapping.expand, only)} if only else None
+    return mapping.map_to_triples(tb.observations(t), tb.OBSERVATION_SPEC, tb.OBSERVATION_CONTEXT, only=named)
 
 
 @query("map_to_triples", f"WITH {tb.OBS}, {_TRIPLES} SELECT s, p, o, o_kind, datatype FROM triples")
@@ -120,7 +122,8 @@ def map_required(t: Tables) -> DataFrame:
     f"WITH {tb.OBS} SELECT s AS subject, 'rdfs:label' AS path, 'minCount' AS rule FROM obs WHERE event_type IS NULL",
 )
 def shape_min_count(t: Tables) -> DataFrame:
-    return conf.min_count_violations(_triples(t), PROFILES[1].shapes).select("subject", "path", "rule")
+    triples = _triples(t, *(s.path for s in PROFILES[1].shapes if s.min_count))
+    return conf.min_count_violations(triples, PROFILES[1].shapes).select("subject", "path", "rule")
 
 
 def _sensors(t: Tables) -> DataFrame:
@@ -135,7 +138,7 @@ def _sensors(t: Tables) -> DataFrame:
         WHERE sensor NOT IN (SELECT 'https://data.example.org/sensor/' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)""",
 )
 def shape_class(t: Tables) -> DataFrame:
-    return conf.class_violations(_triples(t), PROFILES[1].shapes, _sensors(t)).select("subject", "path", "message")
+    return conf.class_violations(_triples(t, "sosa:madeBySensor"), PROFILES[1].shapes, _sensors(t)).select("subject", "path", "message")
 
 
 @query(

@@ -157,7 +157,7 @@ def test_refusals(spark, tables):
     assert opened(s, "a.loose", USER) == [1]
 
 
-def test_agreements(spark, tables):
+def test_agreements(spark, tables, tmp_path):
     s = session(
         spark,
         tables,
@@ -192,6 +192,18 @@ def test_agreements(spark, tables):
     page = s.open(["a.readings"], service, direct)["a.readings"].limit(10)
     record = s.disclosures(["a.readings"], direct, page).first()
     assert (record.dataset_id, record.row_count, record.authorized_subject_ids) == ("ds.a.readings", 1, ["u2", "u7"])
+    assert record.n_principals == 2
+    turned = s.disclosures(["a.readings"], agreement("direct_user_match", spark.createDataFrame([("u7",), ("u2",), ("u7",)], "p string")), page).first()
+    assert (turned.n_principals, turned.principals_digest, turned.authorized_subject_ids) == (2, record.principals_digest, None)
+    nobody = s.disclosures(["a.readings"], Agreement("ag", "c"), page).first()
+    assert (nobody.n_principals, nobody.principals_digest) == (0, None)
+    # A page is audited once, however often it is written; a crowd stays a table.
+    many, folder = agreement("direct_user_match", crowd, column="owner"), str(tmp_path / "audit")
+    for page_id in ("p1", "p1", "p2"):
+        s.audit_page(["a.readings"], many, page, folder, page_id, "2024-05-01T10:00:00")
+    records = spark.read.parquet(f"{folder}/records")
+    assert sorted((r.page_id, r.n_principals, r.row_count) for r in records.collect()) == [("p1", 100_001, 1), ("p2", 100_001, 1)]
+    assert spark.read.parquet(f"{folder}/people").groupBy("page_id").count().filter("count <> 100001").isEmpty()
 
 
 def test_audit_append_and_totals(spark, tmp_path):

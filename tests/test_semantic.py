@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import conformance as conf, mapping, screening
-from wardline.sources.schema import CATALOGUE
+from wardline.sources.schema import CATALOGUE, MAPPING as MAPPING_SCHEMA
 
 SOSA_SENSOR = "http://www.w3.org/ns/sosa/Sensor"
 
@@ -370,3 +370,16 @@ def test_report_reads_the_rows_once(spark, tmp_path):
     plan = report._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1 and "Expand" not in plan
     assert report.first().by_rule == {"minCount": 10, "shapeDatatype": 10}
+
+
+def test_vocabulary_terms_at_any_depth(spark):
+    leaf = {"source": "leaf", "target": "qudt:unit", "datatype": "xsd:string"}
+    for k in range(6, 0, -1):
+        leaf = {"source": f"s{k}", "target": f"saref:t{k}", "nested_fields": [{"source": f"c{k}", "target": "geo:lat", "kind": "constant"}, leaf]}
+    fields = [{"source": "s4", "target": "saref:early"}, leaf, {"source": "s2", "target": "saref:late", "kind": "iri"}, {"target": "sosa:x", "nested_fields": []}]
+    texts = [("deep", json.dumps({"target_type": "sosa:Observation", "fields": fields})), ("flat", json.dumps({"target_type": "t:T", "fields": [{"source": "a", "target": "dct:title"}]})), ("none", None)]
+    cat = spark.createDataFrame(texts, "dataset_id string, m string").select("dataset_id", F.from_json("m", MAPPING_SCHEMA).alias("ontology_mapping"))
+    got = {(r.dataset_id, r.source): (r.term_id, r.term_type) for r in mapping.vocabulary_terms(cat).collect()}
+    expected = {("deep", f"s{k}"): (f"saref:t{k}", None) for k in range(1, 7)}
+    expected |= {("deep", "s2"): ("saref:late", "@id"), ("deep", "leaf"): ("qudt:unit", "xsd:string"), ("flat", "a"): ("dct:title", None)}
+    assert got == expected

@@ -22,6 +22,28 @@ def disclosure_records(disclosures: DataFrame, page: DataFrame | None = None) ->
     )
 
 
+def principals_summary(people: DataFrame) -> DataFrame:
+    """``(dataset_id, n_principals, principals_digest)`` of ``people`` (``dataset_id``, ``principal``), each counted once.
+
+    The digest doesn't depend on the order: two texts of the same people have the same one.
+    """
+    each = people.filter(F.col("principal").isNotNull()).distinct()
+    half = lambda salt: F.lpad(F.hex(F.bit_xor(F.xxhash64(F.lit(salt), "principal"))), 16, "0")
+    return each.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("n_principals"), F.lower(F.concat(half("a"), half("b"))).alias("principals_digest")
+    )
+
+
+def write_page(records: DataFrame, path: str, page_id: str, at: str) -> None:
+    """Write what belongs to a page, once: under the day of ``at``, the time it was served, and its id.
+
+    Writing the same page again, as after a failure, puts the same rows in place of the first.
+    """
+    stamped = records.withColumn("recorded_at", F.lit(at).cast("timestamp"))
+    placed = stamped.withColumn("day", F.to_date("recorded_at")).withColumn("page_id", F.lit(page_id))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "page_id").parquet(path)
+
+
 def append_audit(records: DataFrame, path: str, at: Column | None = None) -> None:
     """Append records, partitioned by day, stamped with the time of writing."""
     stamped = records.withColumn("recorded_at", F.current_timestamp() if at is None else at)

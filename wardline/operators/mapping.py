@@ -8,6 +8,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from wardline.sources.schema import FLAT_FIELD, NESTED
+
 # Namespaces of public vocabularies.
 PREFIXES = {
     "dct": "http://purl.org/dc/terms/",
@@ -41,44 +43,52 @@ def prefix_table(df: DataFrame, prefixes: Mapping[str, str] = PREFIXES) -> DataF
 # --- vocabulary documents -----------------------------------------------------------
 
 
+def mapped_columns(catalogue: DataFrame) -> DataFrame:
+    """``(dataset_id, path, f)``: every field of each mapping, nested ones at any depth; paths sort in the order of the text.
+
+    The first nested level is typed, deeper ones are JSON text, which a recursive query opens a level at a time.
+    """
+    flat = lambda f: F.struct(*[f[n].alias(n) for n in T.StructType.fromDDL("f " + FLAT_FIELD)["f"].dataType.fieldNames()])
+    top = catalogue.select("dataset_id", F.posexplode("ontology_mapping.fields").alias("i", "f"))
+    first = top.select("dataset_id", F.array("i").alias("path"), flat(F.col("f")).alias("f"))
+    second = top.select("dataset_id", "i", F.posexplode("f.nested_fields").alias("j", "g")).select(
+        "dataset_id", F.array("i", "j").alias("path"), flat(F.col("g")).alias("f"), F.col("g.nested_fields").alias("below")
+    )
+    names = ", ".join(f"g.{n}" for n in T.StructType.fromDDL("f " + FLAT_FIELD)["f"].dataType.fieldNames())
+    deeper = catalogue.sparkSession.sql(
+        f"""WITH RECURSIVE walked(dataset_id, path, f, below) AS (
+              SELECT dataset_id, path, f, below FROM {{opened}}
+              UNION ALL
+              SELECT dataset_id, concat(path, array(k)), struct({names}), g.nested_fields
+              FROM walked LATERAL VIEW posexplode(from_json(below, '{NESTED}')) t AS k, g)
+            SELECT dataset_id, path, f FROM walked WHERE size(path) > 2""",
+        opened=second.filter(F.col("below").isNotNull()),
+    )
+    return first.unionByName(second.drop("below")).unionByName(deeper)
+
+
 def vocabulary_terms(catalogue: DataFrame) -> DataFrame:
     """``(dataset_id, source, term_id, term_type)`` of every mapped column.
 
-    Constants and fields without a source are no columns and are left out; nested fields
-    count under their own source; the last field of a source wins.
+    Constants and fields without a source are no columns and are left out; nested fields, at any depth, count under their
+    own source; the last field of a source wins.
     """
-    fields = F.col("ontology_mapping.fields")
-    flat = F.flatten(
-        F.transform(
-            fields,
-            lambda f: F.concat(
-                F.array(f.dropFields("nested_fields")),
-                F.coalesce(f["nested_fields"], F.array().cast(_FLAT_FIELDS)),
-            ),
-        )
-    )
-    listed = catalogue.select("dataset_id", F.posexplode(flat).alias("position", "f"))
     kind = F.coalesce(F.col("f.kind"), F.lit("literal"))
-    columns = listed.filter((F.coalesce(F.col("f.source"), F.lit("")) != "") & (kind != "constant"))
+    columns = mapped_columns(catalogue).filter((F.coalesce(F.col("f.source"), F.lit("")) != "") & (kind != "constant"))
     term_type = F.when(kind == "iri", F.lit("@id")).otherwise(F.nullif(F.col("f.datatype"), F.lit("")))
     return (
         columns.select(
             "dataset_id",
             F.col("f.source").alias("source"),
-            "position",
+            "path",
             F.struct(F.col("f.target").alias("term_id"), term_type.alias("term_type")).alias("term"),
         )
         .groupBy("dataset_id", "source")
-        .agg(F.max_by("term", "position").alias("term"))
+        .agg(F.max_by("term", "path").alias("term"))
         .select("dataset_id", "source", "term.*")
     )
 
 
-_FLAT_FIELDS = (
-    "array<struct<source:string,target:string,kind:string,datatype:string,required:boolean,value:string>>"
-)
-
-
 def curie_prefix(value: Column) -> Column:
     """Prefix of a CURIE; NULL for absolute IRIs and plain words."""
     return F.when(~value.contains("://"), F.nullif(F.regexp_extract(value, r"^([^:]+):", 1), F.lit("")))

@@ -34,7 +34,8 @@ PROFILES = (
 _TERMS = """terms AS (
   SELECT dataset_id, source, term_id, term_type, med FROM cat, (VALUES
     ('ts', 'sosa:resultTime', 'xsd:dateTime'), ('value', 'sosa:hasSimpleResult', 'xsd:decimal'),
-    ('sensor', 'sosa:madeBySensor', '@id'), ('event_type', 'rdfs:label', NULL)) v(source_, term_id, term_type)
+    ('sensor', 'sosa:madeBySensor', '@id'), ('event_type', 'rdfs:label', NULL),
+    ('note', 'rdfs:comment', NULL)) v(source_, term_id, term_type)
   WHERE lang = 'en')""".replace("SELECT dataset_id, source,", "SELECT dataset_id, source_ AS source,")
 
 

@@ -95,32 +95,50 @@ class GovernedSession:
         return self.spark.sql(query, **{name: opened[ref] for name, ref in datasets.items()})
 
     def disclosures(self, refs: Sequence[str], agreement: Agreement, page: DataFrame) -> DataFrame:
-        """Audit records of a page served under an agreement."""
-        refs = sorted(set(refs))
-        rows = [
-            (
-                r["dataset_id"],
-                agreement.consumer_id,
-                agreement.agreement_id,
-                agreement.transfer_id,
-                self._named((agreement.filters.get(r["dataset_id"]) or {}).get("principals")),
-            )
-            for r in self._resolved(refs, self._candidates(refs)).select("dataset_id").collect()
+        """Audit records of a page served under an agreement: one per dataset, with the number and a digest of the principals.
+
+        The people themselves are the rows of ``disclosed_to``, however many there are; the record's own list has them only
+        where the agreement states a list.
+        """
+        names = self._datasets(refs)
+        lists = [
+            (d, stated["principals"])
+            for d, stated in agreement.filters.items()
+            if stated.get("principals") is not None and not isinstance(stated["principals"], DataFrame)
         ]
-        schema = (
-            "dataset_id string, consumer_id string, agreement_id string, transfer_id string, "
-            "principals array<string>"
+        listed = self.spark.createDataFrame(lists, "dataset_id string, principals array<string>")
+        known = names.join(listed, "dataset_id", "left").select(
+            "dataset_id",
+            F.lit(agreement.consumer_id).cast("string").alias("consumer_id"),
+            F.lit(agreement.agreement_id).cast("string").alias("agreement_id"),
+            F.lit(agreement.transfer_id).cast("string").alias("transfer_id"),
+            "principals",
         )
-        return audit.disclosure_records(self.spark.createDataFrame(rows, schema), page)
+        summary = audit.principals_summary(self.disclosed_to(refs, agreement))
+        records = audit.disclosure_records(known, page).join(summary, "dataset_id", "left")
+        return records.withColumn("n_principals", F.coalesce("n_principals", F.lit(0).cast("bigint")))
+
+    def disclosed_to(self, refs: Sequence[str], agreement: Agreement) -> DataFrame:
+        """``(dataset_id, principal)``: the people whose rows the agreement releases, each once."""
+        people = self.spark.createDataFrame([], "dataset_id string, principal string")
+        for dataset_id, stated in agreement.filters.items():
+            some = stated.get("principals")
+            if some is not None and not isinstance(some, DataFrame):
+                some = self.spark.createDataFrame([(p,) for p in some], "principal string")
+            if some is not None:
+                people = people.union(some.select(F.lit(dataset_id), F.col(some.columns[0]).cast("string")))
+        return people.join(self._datasets(refs), "dataset_id", "left_semi").distinct()
+
+    def audit_page(self, refs: Sequence[str], agreement: Agreement, page: DataFrame, path: str, page_id: str, at: str) -> None:
+        """Write a page's records below ``path``/records and the people below ``path``/people; again is the same as once."""
+        audit.write_page(self.disclosures(refs, agreement, page), f"{path}/records", page_id, at)
+        audit.write_page(self.disclosed_to(refs, agreement), f"{path}/people", page_id, at)
 
     # --- internals ------------------------------------------------------------------
 
-    @staticmethod
-    def _named(principals: Any) -> list[str] | None:
-        """The people a disclosure record names: they are part of one audit row."""
-        if isinstance(principals, DataFrame):
-            return [r[0] for r in principals.collect()]
-        return principals
+    def _datasets(self, refs: Sequence[str]) -> DataFrame:
+        refs = sorted(set(refs))
+        return self._resolved(refs, self._candidates(refs)).select("dataset_id").distinct()
 
     def _candidates(self, refs: Sequence[str]) -> DataFrame:
         """Catalogue rows the refs can mean; the filter reaches the catalogue's scan."""

@@ -83,17 +83,17 @@ def _catalogue(t: Tables) -> DataFrame:
         F.struct(*[F.lit(f.get(k)).alias(k) for k in ("source", "target", "kind", "datatype", "required", "value")])
         for f in OBSERVATION_SPEC["fields"]
     ]
-    mapping = F.when(
-        lang == "en",
-        F.to_json(
-            F.struct(
-                F.lit("1").alias("version"),
-                _when((n >= 2000, "sosa:Observation"), otherwise="schema:Dataset").alias("target_type"),
-                F.lit(OBSERVATION_SPEC["id_template"]).alias("id_template"),
-                F.array(*fields).alias("fields"),
-            )
-        ),
+    # One more column, on the third level.
+    nested = '"fields":[{"nested_fields":[{"nested_fields":[{"source":"note","target":"rdfs:comment"}]}]},'
+    stated = F.to_json(
+        F.struct(
+            F.lit("1").alias("version"),
+            _when((n >= 2000, "sosa:Observation"), otherwise="schema:Dataset").alias("target_type"),
+            F.lit(OBSERVATION_SPEC["id_template"]).alias("id_template"),
+            F.array(*fields).alias("fields"),
+        )
     )
+    mapping = F.when(lang == "en", F.replace(stated, F.lit('"fields":['), F.lit(nested)))
     columns = {
         "title": F.concat_ws(" ", src, lang, "med"),
         "description": F.col("text"),

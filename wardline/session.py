@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot keys even where that costs one more shuffle further down.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Recursive queries walk documents, which end; no number of rows or levels cuts them short.
+    "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.cteRecursionLevelLimit": "-1",
     # Deep pages sort globally instead of holding limit+offset rows in every task.
     "spark.sql.execution.topKSortFallbackThreshold": "1000000",
 }
@@ -28,6 +31,10 @@ STATIC_CONF = {
 }
 
 
+class NoSharedFolder(RuntimeError):
+    """A session on a cluster names no folder that its machines share."""
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -48,7 +55,12 @@ def build_session(app: str = "wardline", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written intermediates, below the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder.
+    Without that setting only a session on one machine gets a temporary folder; on a cluster it would be another one on each
+    machine, so that raises.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/wardline-{purpose}-{uuid.uuid4().hex}"

@@ -27,7 +27,10 @@ BACKEND = (
 )
 
 _FIELD = "source:string,target:string,kind:string,datatype:string,required:boolean,value:string"
-FIELD = f"struct<{_FIELD},nested_fields:array<struct<{_FIELD}>>>"
+# Fields below the first nested level stay JSON text; mapping.mapped_columns follows them to any depth.
+NESTED = f"array<struct<{_FIELD},nested_fields:string>>"
+FLAT_FIELD = f"struct<{_FIELD}>"
+FIELD = f"struct<{_FIELD},nested_fields:{NESTED}>"
 
 MAPPING = (
     "struct<version:string,target_type:string,id_template:string,"

@@ -9,7 +9,7 @@ from wardline.llm import quality
 from wardline.llm.common import crc_share
 
 from .test_decontam import plain as plain_contaminations
-from .test_simhash import plain_components, plain_fingerprint
+from .test_shingles import plain_kept, plain_pairs
 from .test_substrings import plain_spans
 
 SF = "/root/testdata/sf0.001"
@@ -53,19 +53,23 @@ def test_each_stage_against_plain(spark, folder):
     assert 9004 not in {r[0] for r in now} and 9001 in {r[0] for r in now}
 
     before, now = after["near_dedup"]
-    component = {(d, f): c for d, f, c in plain_components([(r[0], plain_fingerprint(r[1])) for r in before])}
-    assert sorted(r[0] for r in now) == sorted(set(component.values()))
-    assert not {9001, 9002} & {r[0] for r in now}
+    rows = [(r[0], r[1]) for r in before]
+    assert sorted(r[0] for r in now) == plain_kept(rows, plain_pairs(rows))
+    assert not {9001, 9002} & {r[0] for r in now} and not set(now) - set(before)
 
     before, now = after["substring_dedup"]
     spans = {}
-    for d, a, b in plain_spans([(r[0], r[1]) for r in before if all(len(s.split()) <= 20 for s in r[1].replace("\n", ". ").split(". "))]):
+    for d, a, b in plain_spans([(r[0], r[1]) for r in before]):
         spans.setdefault(d, []).append((a, b))
-    texts = {r[0]: r[1] for r in before}
-    assert sorted(r[0] for r in now) == sorted(texts)
-    for d, text, _, _, n in now:
-        if d in spans:
-            assert len(text) < len(texts[d]) and n == len(text)
+    left = {r[0]: r for r in now}
+    assert sorted(left) == sorted(r[0] for r in before) and len(spans) > 3
+    for d, text, *others in before:
+        cut, at = [], 0
+        for a, b in sorted(spans.get(d, [])):
+            cut.append(text[at:a])
+            at = b
+        cut = "".join(cut) + text[at:]
+        assert left[d] == (d, cut, *others[:2], len(cut) if d in spans else others[2])
 
     before, now = after["decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+import xxhash
 
 from wardline.llm import substrings
 
@@ -21,9 +22,17 @@ def plain_units(text, min_words):
                 here.append((begin, i + 1))
                 begin = None
         for a, b in here:
-            words = line[a:b].lower().split()
-            if len(words) >= min_words:
-                out.append([" ".join(words), at + a, at + a + len(line[a:b].rstrip()) if False else at + b, len(words), at, min(at + len(line) + 1, len(text))])
+            parts = [(a, b, line[a:b].lower().split())]
+            if len(parts[0][2]) > 24:  # long ones are cut behind words whose hash says so
+                parts, held = [], []
+                for w in re.finditer(r"\S+", line[a:b]):
+                    held.append((a + w.start(), a + w.end(), w[0].lower()))
+                    if xxhash.xxh32_intdigest(held[-1][2]) % 8 == 0 or w.end() == len(line[a:b].rstrip()):
+                        parts.append((held[0][0], held[-1][1], [x for *_, x in held]))
+                        held = []
+            for start, end, words in parts:
+                if len(words) >= min_words:
+                    out.append([" ".join(words), at + start, at + end, len(words), at, min(at + len(line) + 1, len(text))])
         at += len(line) + 1
     return out
 
@@ -33,7 +42,7 @@ def plain_spans(rows, min_words=4, run_words=20):
     seen, spans = {}, []
     for d, text in docs:
         us = plain_units(text or "", min_words)
-        rep = [u[0] in seen for u in us]
+        rep = [u[0] in seen or u[0] in (o[0] for o in us[:k]) for k, u in enumerate(us)]
         kept = [seen.get(u[0]) for u in us]
         mark = [False] * len(text or "")
         run = [False] * len(us)

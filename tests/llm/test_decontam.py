@@ -10,12 +10,12 @@ def plain_words(text):
     """(template word, raw word) of each word; placeholders are tuples."""
     base = re.sub(r"[\"'()\[\]{}*#&%$|<>_\x01\x02\x03]", "", text or "")
     tokens = re.findall(r"[^ \t\n\v\f\r]+", base)
-    gaps = re.split(r"[^ \t\n\v\f\r]+", base)
-    out, before_number, previous = [], False, ""
-    for t, gap in zip(tokens, gaps):
+    out, before_number = [], False
+    for t in tokens:
         bare = re.sub(r"[.,;:!?-]", "", t)
         core = re.match(r"^(\w*)[^\w]*$", t)
-        if core and re.match(r"^[^\W\d_]+$", core[1]) and core[1][0].isupper() and core[1][1:].islower() and len(core[1]) > 1 and previous and previous[-1] not in ".!?" and len(gap) == 1:
+        # Names are told by the word alone. (A token here is one word with signs around it.)
+        if core and re.match(r"^[^\W\d_]+$", core[1]) and core[1][0].isupper() and core[1][1:].islower() and core[1].lower() not in decontam.NO_NAMES:
             word = ("name",)
         elif re.match(r"^[0-9][0-9.,]*[;:!?-]*$", t):
             word = ("number",)
@@ -24,12 +24,16 @@ def plain_words(text):
         else:
             word = bare.lower()
         before_number = word == ("number",)
-        previous = t
         if bare:
             out.append((word, bare))
     return out
 
 
+def single(pairs):
+    """Whether no value of the item has two in the document."""
+    return len({a for a, _ in pairs}) == len(pairs)
+
+
 def plain(docs, items, width=8, share=0.5):
     out = set()
     for i, text in items:
@@ -45,16 +49,19 @@ def plain(docs, items, width=8, share=0.5):
             doc = plain_words(dtext)
             seen = {}
             for p in range(len(doc) - w + 1):
-                seen.setdefault(tuple(x for x, _ in doc[p : p + w]), []).append([r for _, r in doc[p : p + w]])
-            matched = 0
-            for (template, raw), _ in mine.items():
-                for r in seen.get(template, []):
-                    pairs = {(a, b) for a, b, t in zip(raw, r, template) if isinstance(t, tuple)}
-                    if not raw or len({a for a, _ in pairs}) == len(pairs):
-                        matched += 1
-                        break
-            if mine and matched and matched >= share * len(mine):
-                out.add((d, i, matched, len(mine)))
+                seen.setdefault(tuple(x for x, _ in doc[p : p + w]), []).append((p, [r for _, r in doc[p : p + w]]))
+            copies = {}  # by how far the copy is shifted: (place in the item, pairs of values)
+            for (template, raw), p in mine.items():
+                for at, r in seen.get(template, []):
+                    pairs = {(x, y) for x, y, t in zip(raw, r, template) if isinstance(t, tuple)} if raw else set()
+                    if single(pairs):
+                        copies.setdefault(at - p, []).append((p, pairs))
+            places = set()
+            for windows in copies.values():
+                whole = single(set().union(*(pairs for _, pairs in windows)))
+                places |= {p for p, pairs in windows if whole or not pairs}
+            if mine and places and len(places) >= share * len(mine):
+                out.add((d, i, len(places), len(mine)))
     return out
 
 
@@ -86,6 +93,27 @@ def test_finds_other_parameters_and_rejects_inconsistent_slots(spark):
     assert strict == {(1, 1), (2, 1), (3, 2)}
 
 
+STORY = "{} has 3 apples and buys 4 more. After lunch {} sells two of them to a friend. How many apples does {} have at the end of the day?"
+
+
+def test_copies_in_any_context_and_values_all_along_them(spark):
+    items = [(1, "What is the capital of France?"), (2, STORY.format("Tom", "Tom", "Tom")), (3, "Paris lies on the Seine")]
+    docs = [
+        (1, "Question: What is the capital of France?"),
+        (2, "quiz\nWhat is the capital of France? Answer: Paris"),
+        (3, STORY.format("Ann", "Ann", "Ann").replace("3", "11")),  # names at the start of sentences
+        (4, "Some words before it, " + STORY.format("Tom", "Tom", "Tom")),
+        (5, STORY.format("Ann", "Bob", "Zoe")),  # three names for one
+        (6, "(Paris lies on the Seine)"),
+        (7, "The capital is far. France is large. What of it?"),
+        (8, STORY.format("Ann", "Ann", "Ann") + " " + STORY.format("Bob", "Bob", "Bob")),  # two consistent copies
+    ]
+    got = found(spark, docs, items)
+    assert {(d, i) for d, i, *_ in got} == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 3), (8, 2)}
+    assert got == plain(docs, items)
+    assert {m == n for d, i, m, n in got} == {True}  # whole items
+
+
 def test_random_texts_against_plain(spark):
     rng = random.Random(6)
     words = ["the", "car", "Anna", "Otto", "3", "12,5", "km", "hours.", "costs", "a", "(b)", "7?", "is"]

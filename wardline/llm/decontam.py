@@ -1,8 +1,9 @@
 """Benchmark decontamination on templates: numbers, names and units become typed placeholders.
 
 Every window of ``width`` template words of a text is hashed and joined with the windows of the benchmark, so that an item
-with other numbers or names is found as well as a literal copy. A window counts only if its slots are consistent: equal
-values of the item stand for equal values of the document. Column functions only; Spark alone runs it.
+with other numbers or names is found as well as a literal copy. What is a name shows in the word alone, so that a copy has
+the item's template wherever it stands. Windows count only if their slots are consistent, all along a copy: equal values of
+the item stand for equal values of the document. Column functions only; Spark alone runs it.
 """
 
 from __future__ import annotations
@@ -21,13 +22,23 @@ UNITS = (
     "grams", "kilograms", "litres", "liters", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros",
     "cents", "percent", "degrees",
 )
+#: Words that often begin a sentence and are no names.
+NO_NAMES = (
+    "a", "about", "after", "all", "also", "although", "an", "and", "any", "are", "as", "at", "because", "before", "both", "but", "by", "can",
+    "compute", "consider", "could", "did", "do", "does", "each", "every", "explain", "find", "first", "for", "from", "give", "given", "has",
+    "have", "he", "her", "here", "his", "how", "if", "in", "is", "it", "its", "let", "many", "more", "most", "my", "name", "no", "not", "now",
+    "of", "on", "once", "one", "only", "or", "our", "she", "should", "since", "so", "some", "suppose", "that", "the", "their", "then", "there",
+    "these", "they", "this", "those", "to", "two", "we", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with",
+    "would", "write", "you", "your",
+)
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 #: Left out of all words: first those that play no part in recognising numbers and ends of sentences.
 MARKS, POINTS = "\"'()[]{}*#&%$|<>_" + NAME + NUMBER + UNIT, ".,;:!?-"
 WHITE = r"[\x20\x09-\x0D]"
 WORD_END = r"(?![\p{L}\p{N}])"
-#: Up to so many windows of the benchmark (some 100 bytes each) go to all tasks; more meet the documents in a shuffled join.
-BROADCAST_WINDOWS = 1_000_000
+#: Up to so many windows of the benchmark, of so many bytes with their words, go to all tasks; more meet the documents in a
+#: shuffled join.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 1 << 26
 
 
 def split_words(text: Column) -> Column:
@@ -46,10 +57,11 @@ def raw_words(base: Column) -> Column:
 def template_words(base: Column) -> Column:
     """The words in lower case without marks, some replaced by placeholders.
 
-    A name begins with a capital, goes on in small letters and follows another word of the sentence; a number starts with a
-    digit and holds digits, points and commas; a unit is one of ``UNITS`` after a number.
+    A name begins with a capital, goes on in small letters and is none of ``NO_NAMES``; a number starts with a digit and holds
+    digits, points and commas; a unit is one of ``UNITS`` after a number.
     """
-    named = F.regexp_replace(base, r"(?<=[^\x20\x09-\x0D.!?]" + WHITE + r")\p{Lu}\p{Ll}+" + WORD_END, NAME)
+    plain = "(?!(?:" + "|".join(w.capitalize() for w in NO_NAMES) + ")" + WORD_END + ")"
+    named = F.regexp_replace(base, r"(?<![\p{L}\p{N}])" + plain + r"\p{Lu}\p{Ll}+" + WORD_END, NAME)
     numbered = F.regexp_replace(named, r"(?<![\p{L}\p{N}])[0-9][0-9.,]*" + WORD_END, NUMBER)
     unit = NUMBER + r"[.,;:!?-]*" + WHITE + "+)(?i:" + "|".join(UNITS) + ")" + WORD_END
     return split_words(F.translate(F.lower(F.regexp_replace(numbered, "(" + unit, "$1" + UNIT)), POINTS, ""))
@@ -98,13 +110,20 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, theirs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, text_hash, item_id, item_pos)``: windows that documents share with items, with consistent slots: in a
-    window, equal values of the item stand for equal values of the document."""
+    """``(doc_id, text_hash, item_id, item_pos, shift, pairs)``: windows that documents share with items, with consistent slots:
+    in a window, equal values of the item stand for equal values of the document. ``pairs`` are these values ``(a, b)``,
+    ``shift`` is how much further in the document the window lies."""
     met = with_windows(docs, width, ["doc_id", "text_hash"]).join(theirs, "window")
     values = lambda words: F.filter(words, lambda _, i: F.get("marks", i))
     pairs = F.array_distinct(F.arrays_zip(values(F.col("theirs")).alias("a"), values(F.col("slots")).alias("b")))
-    consistent = F.size(pairs) == F.size(F.array_distinct(values(F.col("theirs"))))
-    return met.filter(F.col("theirs").isNull() | consistent).select("doc_id", "text_hash", "item_id", "item_pos")
+    none = F.array().cast("array<struct<a:string,b:string>>")
+    found = met.withColumn("pairs", F.coalesce(pairs, none)).filter(one_to(F.col("pairs")))
+    return found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "pairs")
+
+
+def one_to(pairs: Column) -> Column:
+    """Whether no value of the item stands for two of the document."""
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))
 
 
 def contaminated(
@@ -120,7 +139,8 @@ def contaminated(
 ) -> DataFrame:
     """``(doc_id, text_hash, item_id, matched, item_windows)``: documents that hold at least ``share`` of an item's windows.
 
-    An item shorter than ``width`` words is one window of its own length, which must occur whole. Null and empty texts hold
+    Windows at the same shift are of one copy; if its slots contradict each other, only its windows without any count. An item
+    shorter than ``width`` words is one window of its own length, which must occur whole. Null and empty texts hold
     nothing; items without words, or of placeholders alone, are never found. Rows with the same id and text are one document,
     and so are items; items that share an id but differ in text are told apart. Whole texts are read; only the windows that
     are also the benchmark's leave the task that reads a text.
@@ -139,7 +159,8 @@ def contaminated(
     widths = sorted({width, *(r.width for r in items.select("width").distinct().collect())})  # width and what is shorter
     theirs = [item_windows(items.filter(F.col("width") == w), w) for w in widths]
     known = checkpointed(reduce(DataFrame.union, theirs))
-    few = known.count() <= BROADCAST_WINDOWS
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.concat_ws(" ", "theirs", F.col("item_id.id").cast("string")))).alias("text")).first()
+    few = size.n <= BROADCAST_WINDOWS and 100 * size.n + (size.text or 0) <= BROADCAST_BYTES
     texts = (
         docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), base_text(F.col(text)).alias("base"))
         .withColumn("words", template_words(F.col("base")))
@@ -152,8 +173,13 @@ def contaminated(
         some = known.filter(F.col("width") == w).drop("width")
         found.append(hits(texts, F.broadcast(some) if few else some, w))
     total = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    copies = reduce(DataFrame.union, found).groupBy("doc_id", "text_hash", "item_id", "shift").agg(
+        F.collect_set("item_pos").alias("all"),
+        F.collect_set(F.when(F.size("pairs") == 0, F.col("item_pos"))).alias("bare"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+    )
     return (
-        reduce(DataFrame.union, found)
+        copies.select("doc_id", "text_hash", "item_id", F.explode(F.when(one_to(F.col("pairs")), F.col("all")).otherwise(F.col("bare"))).alias("item_pos"))
         .groupBy("doc_id", "text_hash", "item_id")
         .agg(F.countDistinct("item_pos").alias("matched"))
         .join(total, "item_id")

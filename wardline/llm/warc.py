@@ -149,6 +149,12 @@ def candidates_in(file, size: int, begin: int, end: int) -> list[tuple[int, int,
 CANDIDATE = "file string, range bigint, offset bigint, block bigint, successor bigint, leaves bigint, fields map<string,string>"
 
 
+#: Partitions at most, however many ranges there are.
+MOST_TASKS = 50_000
+#: Bytes of an archive whose payloads are read together.
+STRETCH = 4 << 20
+
+
 def candidates(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
     """All candidates of all files below ``path``. ``leaves`` is the first offset outside its range on a candidate's chain."""
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
@@ -173,7 +179,8 @@ def candidates(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
                     pa.schema([("file", pa.string()), ("range", pa.int64()), ("offset", pa.int64()), ("block", pa.int64()), ("successor", pa.int64()), ("leaves", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))]),
                 )
 
-    return ranges.repartition("path", "begin").mapInArrow(searched, CANDIDATE)
+    # As many partitions as ranges: their rows are short, so by their bytes many ranges would fall to one task.
+    return ranges.repartition(min(max(ranges.count(), 1), MOST_TASKS), "path", "begin").mapInArrow(searched, CANDIDATE)
 
 
 def entries(found: DataFrame, steps: int) -> DataFrame:
@@ -222,10 +229,11 @@ def read(spark: SparkSession, path: str, *, range_bytes: int = 8 << 20) -> DataF
     )
 
 
-def payloads(recs: DataFrame) -> DataFrame:
+def payloads(recs: DataFrame, parts: int) -> DataFrame:
     """``recs`` plus ``payload_bytes`` and ``payload_digest`` of what the archive holds of each payload, read back whole.
 
-    The payload is the block after its HTTP header. Each task reads the blocks of a file in the order of their offsets.
+    The payload is the block after its HTTP header. Each task reads the blocks of a file in the order of their offsets;
+    ``parts`` is over how many partitions the stretches of ``STRETCH`` bytes are dealt.
     """
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +258,7 @@ def payloads(recs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], [*batch.schema.names, "payload_bytes", "payload_digest"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recs.schema.fields)
-    dealt = recs.repartition("file", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("file", "offset")
+    dealt = recs.repartition(parts, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(digested, f"{schema}, payload_bytes bigint, payload_digest string")
 
 
@@ -264,7 +272,8 @@ def round_trip(pages: DataFrame, *, page_id: str = "page_id", path: str | None =
     path = path or shared_path(spark, "archives")
     write(pages, path, page_id=page_id, **options)
     kind = pages.schema[page_id].dataType
-    recs = payloads(read(spark, path, range_bytes=range_bytes)).select(
+    stretches = spark.read.format("binaryFile").load(path).agg(F.sum(F.ceil(F.col("length") / STRETCH))).first()[0]
+    recs = payloads(read(spark, path, range_bytes=range_bytes), min(max(stretches or 0, 1), MOST_TASKS)).select(
         F.col("fields")["warc-record-id"].alias("record"),
         F.col("fields")["warc-refers-to"].alias("to"),
         F.col("fields")["warc-type"].alias("record_type"),

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.session import configure
+from wardline.session import NoSharedFolder, configure
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,10 +21,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session without it (tests) gets a folder of its own."""
+    """The cluster's ``spark.checkpoint.dir``; a session without it gets a folder of its own on one machine (tests), and raises
+    on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     used = spark.sparkContext.getCheckpointDir()
     if used is None:
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
         used = spark.sparkContext.getCheckpointDir()
     return root or used

@@ -5,17 +5,19 @@ index shift over spans that double while they agree; a stretch where token stand
 Where the ends part, the irregular group is resolved by stepping whichever side ends first until both end together again,
 and its difference in length is added to the shift.
 
-Both tokenizers never join what is left and right of a single space between visible characters (see ``CUT``). So texts are
-encoded in such units, of which a task remembers many, and long texts are aligned a number of units at a time.
+Neither tokenizer joins what is around a single space between visible characters, so long texts are encoded and aligned in
+spans that end there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +27,18 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import prepare, written
 
-#: A space between two visible characters of Latin script. The byte-level pattern matches up to such a space and starts
-#: anew with it, whatever it is followed by; the pieces hold their blanks in front only.
+#: A space between two visible characters of Latin script. A's pattern matches up to such a space and starts anew with it,
+#: whatever follows; B's pieces hold their blanks in front only.
 CUT = re.compile(" (?<=[!-~À-ɏ] )(?=[!-~À-ɏ])")
-#: Characters after which a text is cut at the next such space, to hold few units at a time.
+#: Characters after which a text is cut at the next such space, to hold few tokens at a time.
 SPAN = 1 << 20
-#: Units a task remembers, and the longest of them; when full, it starts afresh.
-CACHE, CACHED = 200_000, 64
+#: Fixed value: the pattern by which byte-level vocabularies of this kind split texts before their merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of B are below this, so that a pair of ids is one integer.
 IDS = 1 << 31
 
-Unit = tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], tuple[int, ...], bool]
+#: Ids of A and B, and the byte offsets where their tokens end.
+Span = tuple[list[int], list[int], list[int], list[int]]
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,51 +53,44 @@ class Pair:
 
     def __init__(self, folder: str, a: str, b: str) -> None:
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        self.a = Tokenizer.from_file(f"{folder}/{a}")
-        self.a.encode_special_tokens = True  # their strings in a text are text
-        self.b = SentencePieceProcessor(model_file=f"{folder}/{b}")
+        with open(f"{folder}/{a}", encoding="utf-8") as file:
+            stated = json.load(file)
+        special = {t["id"] for t in stated["added_tokens"]}  # their strings in a text are text
         byte_of = byte_letters()
-        self.bytes_a = {i: bytes(byte_of.get(c, 0) for c in t) for t, i in self.a.get_vocab().items()}
-        self.bytes_b = [
-            bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
-            for i in range(self.b.get_piece_size())
-        ]
-        if any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())):
-            raise ValueError(f"{b} has pieces with a blank behind other characters, so texts can't be encoded in units")
-        self.units: dict[str, Unit] = {}
-
-    def encoded(self, unit: str) -> Unit:
-        """The ids and byte lengths of " " + ``unit`` in A and in B, and whether both give its bytes."""
-        a = self.a.encode(" " + unit, add_special_tokens=False).ids
-        b = self.b.encode(unit)
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        same = b"".join(bytes_a) == b"".join(bytes_b) == b" " + unit.encode()
-        found = tuple(a), tuple(map(len, bytes_a)), tuple(b), tuple(map(len, bytes_b)), same
-        if len(unit) <= CACHED:
-            if len(self.units) >= CACHE:
-                self.units.clear()
-            self.units[unit] = found
-        return found
-
-    def spans(self, text: str) -> Iterator[list[Unit]] | None:
-        """The units of " " + ``text``, some at a time; None if the two tokenizers don't give its bytes."""
-        spans, start = [], 0
+        self.bytes_a = {i: bytes(byte_of[c] for c in t) for t, i in stated["model"]["vocab"].items() if i not in special}
+        # Ids are in the order of the merges, which makes them their ranks.
+        self.a = Encoding(a, pat_str=PATTERN, mergeable_ranks={t: i for i, t in self.bytes_a.items()}, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=f"{folder}/{b}")
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError(f"{b} has pieces with a blank behind other characters, so long texts can't be encoded in spans")
+        self.sizes_a = {i: len(t) for i, t in self.bytes_a.items()}
+        self.names = [str(i) for i in range(max(*self.bytes_a, len(self.bytes_b)) + 1)]
+        self.opened = [n + "|" for n in self.names]
+
+    def span(self, text: str) -> Span | None:
+        """" " + ``text`` in both; None if one doesn't give back its bytes."""
+        whole = " " + text
+        ids_a, ids_b = self.a.encode_ordinary(whole), self.b.encode(text)
+        bytes_b = list(map(self.bytes_b.__getitem__, ids_b))
+        if not self.a.decode_bytes(ids_a) == b"".join(bytes_b) == whole.encode():
+            return None
+        return ids_a, list(accumulate(map(self.sizes_a.__getitem__, ids_a))), ids_b, list(accumulate(map(len, bytes_b)))
+
+    def spans(self, text: str) -> Iterator[Span] | None:
+        """" " + ``text`` in both, a span at a time; None if one doesn't give back its bytes."""
+        cuts, start = [], 0
         while len(text) - start > SPAN and (cut := CUT.search(text, start + SPAN)):
-            spans.append((start, cut.start()))
+            cuts.append((start, cut.start()))
             start = cut.end()
-        spans.append((start, len(text)))
-        get, encoded = self.units.get, self.encoded
-
-        def of(span: tuple[int, int]) -> list[Unit]:
-            return [get(x) or encoded(x) for x in CUT.split(text[slice(*span)])]
-
-        first = of(spans[0])
-        if all(u[4] for u in first) and all(u[4] for s in spans[1:] for u in of(s)):
-            return iter([first]) if len(spans) == 1 else map(of, spans)
-        whole = self.encoded(text)  # ends of units may not be common ones here
-        return iter([[whole]]) if whole[4] else None
+        cuts.append((start, len(text)))
+        first = self.span(text[slice(*cuts[0])])
+        if first is not None and all(self.span(text[slice(*c)]) is not None for c in cuts[1:]):
+            return chain([first], (self.span(text[slice(*c)]) for c in cuts[1:]))
+        return None
 
 
 @lru_cache(maxsize=4)
@@ -161,27 +157,27 @@ def aligned_text(pair: Pair, text: str | None):
         return 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
     n_a = n_b = n_groups = 0
     digest, found = hashlib.sha256(), []
-    for units in spans:
-        ids_a, sizes_a, ids_b, sizes_b = [], [], [], []
-        for a, la, b, lb, _ in units:
-            ids_a += a
-            sizes_a += la
-            ids_b += b
-            sizes_b += lb
-        ends_a, ends_b = list(accumulate(sizes_a)), list(accumulate(sizes_b))
+    for ids_a, ends_a, ids_b, ends_b in spans:
+        opened, names_b = list(map(pair.opened.__getitem__, ids_a)), list(map(pair.names.__getitem__, ids_b))
         left, right, groups = [], [], []
         for i, j, k_a, k_b in align(ends_a, ends_b):
             if k_a == k_b > 0:
-                some_a, some_b = ids_a[i : i + k_a], ids_b[j : j + k_b]
-                left += some_a
-                right += some_b
-                groups += [f"{x}|{y}" for x, y in zip(some_a, some_b)]
+                left += ids_a[i : i + k_a]
+                right += ids_b[j : j + k_b]
+                groups += map(add, opened[i : i + k_a], names_b[j : j + k_b])
             else:
                 k_a, k_b = abs(k_a), abs(k_b)
-                for x, y in overlaps(ends_a, ends_b, i, j, i + k_a):
-                    left.append(ids_a[x])
-                    right.append(ids_b[y])
-                groups.append(",".join(map(str, ids_a[i : i + k_a])) + "|" + ",".join(map(str, ids_b[j : j + k_b])))
+                if k_a == 1:  # one token over all of the other side's
+                    left += ids_a[i : i + 1] * k_b
+                    right += ids_b[j : j + k_b]
+                elif k_b == 1:
+                    left += ids_a[i : i + k_a]
+                    right += ids_b[j : j + 1] * k_a
+                else:
+                    for x, y in overlaps(ends_a, ends_b, i, j, i + k_a):
+                        left.append(ids_a[x])
+                        right.append(ids_b[y])
+                groups.append(",".join(map(str, ids_a[i : i + k_a])) + "|" + ",".join(names_b[j : j + k_b]))
         digest.update(((";" if n_groups else "") + ";".join(groups)).encode())
         n_a, n_b, n_groups = n_a + len(ids_a), n_b + len(ids_b), n_groups + len(groups)
         found.append(np.unique(np.array(left, np.int64) * IDS + np.array(right, np.int64), return_counts=True))

@@ -210,6 +210,16 @@ def test_no_key_of_the_pattern_index_meets_all_names(spark):
     assert found.count() == sum(1 for i in range(1, 2_000) for d in range(10) if 70 * i + d < 20_000)
 
 
+def test_equal_ids_are_told_apart_by_all_columns(spark):
+    rows = [{"dataset_id": "d", "title": "t", "description": "x", "landing_page": f"p{i}", "license_uri": f"l{i % 2}"} for i in range(6)]
+    taken = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        incoming = catalogue(spark, *order).repartition(4)
+        (r,) = ops.upsert(catalogue(spark, {"dataset_id": "old"}), incoming).filter("dataset_id = 'd'").collect()
+        taken.add((r.landing_page, r.license_uri))
+    assert len(taken) == 1
+
+
 def test_globs_match_like_the_shell(spark):
     rng = random.Random(3)
     words = ["ds", "gold", "a", "b.c", "x_1", "T", "[", "z-9", "$", "a+b"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import pg
-from wardline.operators import relational as rel
+from wardline.operators import relational as rel, rowfilters
 from wardline.sources.documents import page_rows
 from wardline.functions import geo
 
@@ -13,6 +13,48 @@ def ids(df, column="id"):
     return sorted(r[column] for r in df.collect())
 
 
+def test_page_index_reads_only_the_ranges_of_a_page(spark):
+    df = spark.range(20_000).select(F.expr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 5 ELSE id % 97 END").alias("k"), "id")
+    order = [pg.desc("k"), pg.asc("id")]  # nulls first, and two keys that hold a third each
+    index = rel.PageIndex(df, order, parts=20)
+    whole = [tuple(r) for r in df.orderBy(*order).collect()]
+    assert index.total == 20_000 and max(end - begin for _, begin, end in index.starts) < 4_000
+    for offset in (0, 7, 999, 6_660, 13_333, 19_950, 20_000, 30_000, -5):
+        page = index.page(100, offset)
+        assert [tuple(r) for r in page.collect()] == whole[max(offset, 0) :][:100]
+        assert len({f.split("/")[-2] for f in page.inputFiles()}) <= 2
+    assert rel.PageIndex(df.limit(0), order, parts=3).page(10, 5).collect() == []
+    with pytest.raises(ValueError):
+        index.page(10_001, 0)
+    with pytest.raises(ValueError):
+        rel.PageIndex(df, [])
+
+
+def test_large_key_lists_reach_the_scan_as_a_bloom_filter(spark, tmp_path):
+    """Where the keys outgrow a broadcast, the fact rows are filtered before they are shuffled to the semi join."""
+    spark.range(50_000).selectExpr("id % 5000 AS k", "id AS v", "id % 7 AS w").write.parquet(str(tmp_path / "facts"))
+    spark.range(900).selectExpr("id * 5 AS k", "id % 3 AS kind").write.parquet(str(tmp_path / "keys"))
+    narrow = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in narrow}
+    try:
+        for k, v in narrow.items():
+            spark.conf.set(k, v)
+        keys = spark.read.parquet(str(tmp_path / "keys")).filter("kind = 1")
+        found = rowfilters.semi_join_keys(spark.read.parquet(str(tmp_path / "facts")), "k", keys.select("k"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "might_contain" in plan and "bloom_filter_agg" in plan
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        at = next(i for i, line in enumerate(lines) if "might_contain" in line)
+        assert any("Exchange hashpartitioning(k" in line for line in lines[:at])  # below the shuffle
+        assert found.count() == sum(1 for i in range(50_000) if i % 5000 % 5 == 0 and i % 5000 // 5 < 900 and i % 5000 // 5 % 3 == 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_filter_table(spark):
     df = spark.createDataFrame([(1, 20, "Rome"), (2, 25, "Milan"), (3, 30, "Rome")], "id int, temperature int, city string")
     assert ids(df.filter((F.col("temperature") > 22) & (F.col("city") == "Milan"))) == [2]

@@ -110,7 +110,8 @@ def plan_import(
         .when(F.col("has").isNull(), "create")
         .otherwise("update")
     )
-    planned = now.join(new.dropDuplicates(["dataset_id"]), "dataset_id", "full").select("dataset_id", action.alias("action"))
+    new = new.groupBy("dataset_id").agg(F.bool_or("__fit").alias("__fit"))  # an id is taken if one of its entries is
+    planned = now.join(new, "dataset_id", "full").select("dataset_id", action.alias("action"))
     if not remove_stale or tables is None:
         return planned
     stale = stale_entries(current, tables).select("dataset_id", F.lit(True).alias("__stale"))
@@ -121,12 +122,14 @@ def plan_import(
 def upsert(current: DataFrame, incoming: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """The catalogue after import: incoming entries overwrite by id, entries without their table are skipped.
 
-    Adds ``import_action`` (``created``, ``updated`` or ``kept``). Of incoming entries with the same id one is taken;
-    ``last_wins`` in ``sources.documents`` decides by order. Only ids meet the other side, never whole entries.
+    Adds ``import_action`` (``created``, ``updated`` or ``kept``). Of incoming entries with the same id the first is taken by
+    title, description and the other columns; ``last_wins`` in ``sources.documents`` decides by order. Only ids meet the other side, never whole entries.
     """
     columns = current.columns
     accepted = _flag_fit(incoming, tables).filter("__fit").select(*columns)
-    accepted = distinct_on(accepted, ["dataset_id"], [F.col("title").asc(), F.col("description").asc()])
+    # Whole entries break ties, so that the one taken never depends on how the rows arrive.
+    order = [F.col("title").asc(), F.col("description").asc(), F.to_json(F.struct(*columns)).asc()]
+    accepted = distinct_on(accepted, ["dataset_id"], order)
     known = current.select(F.col("dataset_id").alias("__old")).distinct()
     taken = accepted.join(known, F.col("dataset_id") == F.col("__old"), "left")
     action = F.when(F.col("__old").isNull(), "created").otherwise("updated")

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.functions import geo
+from wardline.session import shared_folder
 
 # Page and sample bounds.
 DEFAULT_LIMIT = 100
@@ -28,7 +29,7 @@ def paginate(
 ) -> DataFrame:
     """One page. ``order`` must end in a unique key, otherwise pages are not stable.
 
-    Rows up to the end of the page pass one task; for deep pages use ``page_after``.
+    Rows up to the end of the page pass one task; for deep pages use ``page_after`` or a ``PageIndex``.
     """
     if not order:
         raise ValueError("paging needs an order")
@@ -51,6 +52,40 @@ def page_after(
     return df.filter(first & after).orderBy(*keys).limit(page_size(limit, maximum))
 
 
+class PageIndex:
+    """Pages at any offset: the rows written once in order, in ``parts`` ranges whose rows are counted.
+
+    A page reads the ranges it lies in and skips all others, so a deep page costs what the first one does. ``order`` must
+    end in a unique key. What comes to the driver is one number per range.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], parts: int = 200) -> None:
+        if not order:
+            raise ValueError("paging needs an order")
+        self.order, self.columns = list(order), df.columns
+        self._part = "__part"
+        folder = shared_folder(df.sparkSession, "pages")
+        placed = df.repartitionByRange(parts, *order).withColumn(self._part, F.spark_partition_id())
+        placed.write.partitionBy(self._part).parquet(folder)
+        self._folder, self._reader = folder, df.sparkSession.read.schema(placed.schema).option("basePath", folder)
+        self.rows = self._reader.parquet(folder)
+        counts = {r[0]: r[1] for r in self.rows.groupBy(self._part).count().collect()}
+        self.starts: list[tuple[int, int, int]] = []  # (range, its first row's place, the place after its last)
+        self.total = 0
+        for part in sorted(counts):
+            self.starts.append((part, self.total, self.total + counts[part]))
+            self.total += counts[part]
+
+    def page(self, limit: int = DEFAULT_LIMIT, offset: int = 0, maximum: int = MAX_LIMIT) -> DataFrame:
+        """The rows from ``offset`` on, as ``paginate`` gives them."""
+        offset, size = max(offset, 0), page_size(limit, maximum)
+        met = [(part, begin) for part, begin, end in self.starts if begin < offset + size and end > offset]
+        if not met:
+            return self.rows.limit(0).select(*self.columns)
+        some = self._reader.parquet(*[f"{self._folder}/{self._part}={part}" for part, _ in met])
+        return some.orderBy(*self.order).offset(offset - met[0][1]).limit(size).select(*self.columns)
+
+
 def total_count(df: DataFrame) -> DataFrame:
     """One row: the number of rows of the whole result."""
     return df.agg(F.count(F.lit(1)).alias("total"))

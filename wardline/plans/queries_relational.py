@@ -543,6 +543,19 @@ def paginate(t: Tables) -> DataFrame:
     return rel.paginate(rows, [pg.asc("o_orderdate"), pg.asc("o_orderkey")], 250, 1000)
 
 
+@query(
+    "paginate_deep",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM (
+         SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS place FROM lineitem) t
+       WHERE place >= (SELECT count(*) // 2 FROM lineitem) AND place < (SELECT count(*) // 2 FROM lineitem) + 250""",
+)
+def paginate_deep(t: Tables) -> DataFrame:
+    """A page from the middle of the table, without the rows before it."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    index = rel.PageIndex(rows, [pg.asc(c) for c in rows.columns], parts=16)
+    return index.page(250, index.total // 2)
+
+
 @query(
     "page_after",
     """SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, o_orderkey) > (250000.0, 77)

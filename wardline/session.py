@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot keys even where that costs one more shuffle further down.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Key lists of up to this size become Bloom filters that large scans apply before their rows are shuffled.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
     # Recursive queries walk documents, which end; no number of rows or levels cuts them short.
     "spark.sql.cteRecursionRowLimit": "-1",
     "spark.sql.cteRecursionLevelLimit": "-1",

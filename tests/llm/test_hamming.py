@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -21,7 +22,8 @@ def plain(rows, queries, k):
 
 
 @pytest.mark.parametrize("bits,segment_bits,k", [(24, 8, 5), (20, 8, 3), (8, 16, 50)])
-def test_against_all_rows(spark, bits, segment_bits, k):
+def test_against_all_rows(spark, bits, segment_bits, k, monkeypatch):
+    monkeypatch.setattr(hamming, "FEW", 6)
     rng = random.Random(bits)
     centre = [[rng.gauss(0, 1) for _ in range(bits)] for _ in range(4)]
     rows = [(i, [x + rng.gauss(0, 0.4) for x in rng.choice(centre)]) for i in range(90)]
@@ -34,6 +36,15 @@ def test_against_all_rows(spark, bits, segment_bits, k):
     assert sorted(tuple(r) for r in found.collect()) == plain(rows, asked, k)
 
 
+def test_few_rows_are_compared_at_once(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(5)] + [(7, [1.0, -1.0]), (3, [rng.gauss(0, 1) for _ in range(64)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    begin = time.time()
+    assert sorted(tuple(r) for r in hamming.top_k(df, df).collect()) == plain(rows, rows, 10)
+    assert time.time() - begin < 30
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert hamming.top_k(df, df).count() == 0

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from wardline.llm.common import checkpointed, prepare, written
 
 
+#: Codes of one length up to which queries are compared with all of them.
+FEW = 64
+
+
 def sign_code(vector: Column, segment_bits: int = 16) -> Column:
     """The signs of a vector (1 from zero up and for NaN; a null element 0) as an array of segments; the last may be shorter."""
     segment = lambda i: F.aggregate(
@@ -67,9 +71,26 @@ def top_k(
     asked = checkpointed(coded(queries))
     entries = index.select("bits", "code", "ids", F.posexplode("code").alias("seg", "value"))
     open_ = asked.select("bits", F.col("code").alias("q")).distinct()
-    done, best, r = None, None, 0
     nearest = W.partitionBy("bits", "q").orderBy("distance", "id")
-    while True:
+
+    def kept(found: DataFrame) -> DataFrame:
+        return (
+            found.groupBy("bits", "q", "id")  # an id may have several vectors
+            .agg(F.min("distance").alias("distance"))
+            .withColumn("nth", F.row_number().over(nearest))
+            .filter(F.col("nth") <= k + 1)
+            .drop("nth")
+        )
+
+    # Where a length has few codes, no radius may ever prove the k-th; its queries are compared with all of them.
+    few = checkpointed(index.groupBy("bits").agg(F.count(F.lit(1)).alias("codes")).filter(F.col("codes") <= FEW).select("bits"))
+    direct = open_.join(few, "bits", "left_semi").join(index.select("bits", "ids", "code"), "bits")
+    done = checkpointed(
+        kept(direct.select("bits", "q", distance(F.col("q"), F.col("code")).alias("distance"), F.explode("ids").alias("id")))
+    )
+    open_ = checkpointed(open_.join(few, "bits", "left_anti"))
+    best, r = None, 0
+    while not open_.isEmpty():
         masks = F.array(*[F.lit(sum(1 << b for b in bits)) for bits in combinations(range(segment_bits), r)])
         probes = (
             open_.select("bits", "q", F.posexplode("q").alias("seg", "mine"))
@@ -83,24 +104,16 @@ def top_k(
         )
         if best is not None:
             found = found.union(best.join(open_, ["bits", "q"], "left_semi"))
-        best = checkpointed(
-            found.groupBy("bits", "q", "id")  # an id may have several vectors
-            .agg(F.min("distance").alias("distance"))
-            .withColumn("nth", F.row_number().over(nearest))
-            .filter(F.col("nth") <= k + 1)
-            .drop("nth")
-        )
+        best = checkpointed(kept(found))
         segments = F.size("q")
         proven = best.groupBy("bits", "q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).filter(
             (F.col("n") == k + 1) & (F.col("far") <= segments * (r + 1) - 1)
         )
         finished = best if r == segment_bits else best.join(proven, ["bits", "q"], "left_semi")
-        done = finished if done is None else done.union(finished)
+        done = done.union(finished)
         if r == segment_bits:
             break
         open_ = checkpointed(open_.join(proven, ["bits", "q"], "left_anti"))
-        if open_.isEmpty():
-            break
         r += 1
     place = W.partitionBy("query_id").orderBy("distance", "id")
     return (

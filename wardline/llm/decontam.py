@@ -61,7 +61,8 @@ def template_words(base: Column) -> Column:
     digits, points and commas; a unit is one of ``UNITS`` after a number.
     """
     plain = "(?!(?:" + "|".join(w.capitalize() for w in NO_NAMES) + ")" + WORD_END + ")"
-    named = F.regexp_replace(base, r"(?<![\p{L}\p{N}])" + plain + r"\p{Lu}\p{Ll}+" + WORD_END, NAME)
+    # The capital is looked for first, as most places have none.
+    named = F.regexp_replace(base, r"(?=\p{Lu})(?<![\p{L}\p{N}])" + plain + r"\p{Lu}\p{Ll}+" + WORD_END, NAME)
     numbered = F.regexp_replace(named, r"(?<![\p{L}\p{N}])[0-9][0-9.,]*" + WORD_END, NUMBER)
     unit = NUMBER + r"[.,;:!?-]*" + WHITE + "+)(?i:" + "|".join(UNITS) + ")" + WORD_END
     return split_words(F.translate(F.lower(F.regexp_replace(numbered, "(" + unit, "$1" + UNIT)), POINTS, ""))

@@ -121,3 +121,17 @@ def test_gradients_against_differences():
             down = loss()
             value[at] = old
             assert (up - down) / (2 * e) == pytest.approx(grad[at], rel=0.05, abs=5e-3)
+
+
+def test_every_training_text_trains(spark, monkeypatch):
+    kept = {}
+
+    def seen(df, purpose, real=lm.written):
+        kept[purpose] = real(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(lm, "written", seen)
+    rows = [(i, f"text {i} of many") for i in range(200)] + [(None, "no id")] * 3
+    lm.document_scores(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert kept["lm-sample"].count() == sum(not held(d) for d, _ in rows)
+    assert {r["round"] for r in kept["lm-sample"].select("round").distinct().collect()} == {0, 1}

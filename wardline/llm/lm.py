@@ -3,7 +3,7 @@
 Counts of all training words are gathered in one grouping that grows with the corpus. The most frequent words are the
 model's own; each other word w has the probability P(rare word) * (c(w) + 1) / (sum of the rare ones' c + 1), the model's
 share for rare words spread by their counts. The weights are learned by truncated backpropagation in a fixed number of
-tasks on a fixed share of the training documents, and averaged after each round.
+tasks on all training documents, dealt to the rounds, and averaged after each round.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def document_scores(
     own: int = 4000,
     classes: int = 48,
     hidden: int = 24,
-    share: int = 6,
+    share: int = 1,
     rounds: int = 2,
     trainers: int = 6,
     rate: float = 0.15,
@@ -162,8 +162,8 @@ def document_scores(
 
     Held out are the ids whose crc32 modulo 7 is 2 (a null id counts as an empty text there). Words are lower-cased in A-Z; the
     end of a text is its last token, so that null and empty texts have one. ``base_score`` is the add-one unigram score over
-    all training tokens and ``score`` the recurrent model's, both log10 of whole texts. All training texts are counted; one
-    in ``share`` of them, by a hash of the id, trains the weights, a share that grows with the corpus. Without training
+    all training tokens and ``score`` the recurrent model's, both log10 of whole texts. All training texts are counted, and
+    each trains the weights in one round, dealt by a hash of the id (with ``share`` above 1, one in ``share`` does). Without training
     texts the base is that of the formula with N = V = 0. Rows that repeat are scored each. Only the two named columns are read.
     """
     spark = prepare(docs.sparkSession)

@@ -67,16 +67,29 @@ class Net:
         """States after each step of a window ``x`` (time x lanes), the last state, and what backpropagation needs."""
         size = h.shape[1]
         states = np.empty((*x.shape, size), np.float32)
+        gates, wh = self.wx[x], self.wh.copy()
+        half = np.float32(0.5)
+        gates[:, :, : 2 * size] *= half  # a gate is tanh(a / 2) / 2 + 1 / 2
+        wh[:, : 2 * size] *= half
+        begins = fresh.any(axis=1)
         tape = []
         for t in range(len(x)):
-            h = h * ~fresh[t][:, None]
-            gates, own = self.wx[x[t]], h @ self.wh
-            zr = np.tanh((gates[:, : 2 * size] + own[:, : 2 * size]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+            if begins[t]:
+                h = h * ~fresh[t][:, None]
+            own = h @ wh
+            zr = own[:, : 2 * size] + gates[t, :, : 2 * size]
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
             z, r = zr[:, :size], zr[:, size:]
-            n = np.tanh(gates[:, 2 * size :] + r * own[:, 2 * size :])
+            n = r * own[:, 2 * size :]
+            n += gates[t, :, 2 * size :]
+            np.tanh(n, out=n)
             if keep:
                 tape.append((h, z, r, n, own[:, 2 * size :]))
-            h = n + z * (h - n)
+            h = h - n
+            h *= z
+            h += n
             states[t] = h
         return states, h, tape
 
@@ -89,10 +102,11 @@ class Net:
 
         def soft(logits: np.ndarray, target: np.ndarray, at: np.ndarray) -> np.ndarray:
             """Log-probabilities of the targets; ``logits`` become probabilities."""
-            logits -= logits.max(axis=1, keepdims=True)
+            if not (-60 < logits.min() and logits.max() < 60):  # exp() neither overflows nor vanishes between
+                logits -= logits.max(axis=1, keepdims=True)
             chosen = logits[at, target]
             np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
+            total = logits @ np.ones(logits.shape[1], logits.dtype)
             if learn:
                 logits /= total[:, None]
             return chosen - np.log(total)
@@ -126,22 +140,36 @@ class Net:
     def back(self, x: np.ndarray, fresh: np.ndarray, tape: list, dstates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients for ``wh`` and for the rows of ``wx`` used at each step, within the window only."""
         size = self.wh.shape[0]
-        dwh = np.zeros_like(self.wh)
         dgates = np.empty((*x.shape, 3 * size), np.float32)
+        before = np.empty((*x.shape, size), self.wh.dtype)
+        downs = np.empty((*x.shape, 3 * size), self.wh.dtype)
+        wht = np.ascontiguousarray(self.wh.T)
+        begins = fresh.any(axis=1)
         dh = np.zeros_like(dstates[0])
         for t in range(len(x) - 1, -1, -1):
             h, z, r, n, own = tape[t]
             dh = dh + dstates[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            d = dgates[t]
-            d[:, :size] = dh * (h - n) * z * (1 - z)
-            d[:, size : 2 * size] = dn * own * r * (1 - r)
-            d[:, 2 * size :] = dn
-            down = d.copy()
-            down[:, 2 * size :] *= r
-            dwh += h.T @ down
-            dh = (dh * z + down @ self.wh.T) * ~fresh[t][:, None]
-        return dwh, dgates
+            keeps = dh * z
+            dn = dh - keeps
+            dz = h - n
+            dz *= z
+            dz *= dn  # dh (h - n) z (1 - z)
+            dn *= 1 - n * n
+            down = downs[t]
+            rest = dn * r
+            down[:, :size] = dz
+            down[:, 2 * size :] = rest
+            rest *= 1 - r
+            rest *= own
+            down[:, size : 2 * size] = rest
+            dgates[t, :, : 2 * size] = down[:, : 2 * size]
+            dgates[t, :, 2 * size :] = dn
+            before[t] = h
+            dh = down @ wht
+            dh += keeps
+            if begins[t]:
+                dh *= ~fresh[t][:, None]
+        return before.reshape(-1, size).T @ downs.reshape(-1, 3 * size), dgates
 
 
 def lanes(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +225,20 @@ def score(net: Net, docs: list[np.ndarray], start: int, most: int = 256, steps:
 class Trainer:
     """AdaGrad over windows of ``steps`` words in ``most`` lanes."""
 
-    def __init__(self, net: Net, rate: float, most: int = 96, steps: int = 16) -> None:
+    def __init__(self, net: Net, rate: float, most: int = 384, steps: int = 16) -> None:
         self.net, self.rate, self.most, self.steps = net, rate, most, steps
         self.past = {n: np.full_like(getattr(net, n), 1e-3) for n in NAMES}
 
-    def move(self, name: str, at, grad: np.ndarray) -> None:
+    def move(self, name: str, grad: np.ndarray) -> None:
+        """One step against ``grad``, which is used up; weights whose gradient is zero stay."""
         past = self.past[name]
-        past[at] += grad * grad
-        getattr(self.net, name)[at] -= self.rate * grad / np.sqrt(past[at])
+        scale = grad * grad
+        past += scale
+        np.sqrt(past, out=scale)
+        grad *= self.rate
+        grad /= scale
+        weights = getattr(self.net, name)
+        weights -= grad
 
     def learn(self, docs: list[np.ndarray], start: int) -> None:
         net, h = self.net, None
@@ -217,13 +251,13 @@ class Trainer:
             dstates = np.zeros_like(states)
             dstates[real] = dh
             dwh, dgates = net.back(x, fresh, tape, dstates)
-            self.move("wc", slice(None), dwc * n)
-            self.move("bc", slice(None), dbc * n)
+            dwo, dbo, dwx = np.zeros_like(net.wo), np.zeros_like(net.bo), np.zeros_like(net.wx)
             for part, dw, db in words:
-                self.move("wo", part, dw * n)
-                self.move("bo", part, db * n)
-            self.move("wh", slice(None), np.clip(dwh * n, -1, 1))
+                dwo[part], dbo[part] = dw, db
             flat = x.ravel()
-            order = np.argsort(flat, kind="stable")
+            order = np.argsort(flat.astype(np.uint16) if len(net.wx) <= 1 << 16 else flat, kind="stable")
             ids, first = np.unique(flat[order], return_index=True)
-            self.move("wx", ids, np.add.reduceat(dgates.reshape(-1, dgates.shape[2])[order], first, axis=0) * n)
+            dwx[ids] = np.add.reduceat(dgates.reshape(-1, dgates.shape[2])[order], first, axis=0)
+            for name, grad in (("wc", dwc), ("bc", dbc), ("wo", dwo), ("bo", dbo), ("wx", dwx)):
+                self.move(name, grad * n)
+            self.move("wh", np.clip(dwh * n, -1, 1))

@@ -428,3 +428,17 @@ def test_a_table_without_columns_keeps_a_schema(spark):
     tables = spark.createDataFrame([("s", "t"), ("s", "bare")], "schema_name string, table_name string")
     got = {r.table_name: json.loads(r.json_schema) for r in intro.json_schema(columns, tables).collect()}
     assert list(got["t"]["properties"]) == ["a"] and got["bare"]["properties"] == {}
+
+
+def test_upsert_orders_whole_entries_only_where_an_id_repeats(spark):
+    def entries(rows):
+        made = spark.createDataFrame(rows, "dataset_id string, title string, description string, backend_type string")
+        return ops.to_catalogue(made)
+
+    incoming = entries([("a", "x", "2", "s3"), ("a", "x", "1", "s3"), ("b", "y", "3", "s3"), (None, "n", "5", "s3"), (None, "m", "6", "s3"), ("c", "z", "7", "s3"), ("c", None, "8", "s3")])
+    done = ops.upsert(entries([("b", "old", "0", "s3"), ("k", "kept", "0", "s3"), (None, "none", "0", "s3")]), incoming)
+    got = {(r.dataset_id, r.title, r.description, r.import_action) for r in done.select("dataset_id", "title", "description", "import_action").collect()}
+    assert got == {("a", "x", "1", "created"), ("b", "y", "3", "updated"), (None, "m", "6", "created"), ("c", None, "8", "created"), ("k", "kept", "0", "kept"), (None, "none", "0", "kept")}
+    # The texts of other entries are no sort keys.
+    plan = done.select("dataset_id", "import_action")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "description" not in plan.split("Window", 1)[1].split("windowspecdefinition", 1)[-1].split("\n", 1)[0]

@@ -1,6 +1,8 @@
 import random
 
-from wardline.llm import shingles
+import numpy as np
+
+from wardline.llm import shingles, simhash
 
 SF = "/root/testdata/sf0.01/documents.parquet"
 
@@ -71,3 +73,40 @@ def test_hard_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4]
     assert shingles.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_copies_come_from_bk_trees(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:i] + ["other"] + words[i + 1 :])) for i in range(1, 40)]  # several share their bits
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    measured = {shingles.wide_fingerprint(shingles.shingle_set(t.encode(), 5)).tobytes() for _, t in rows}
+    kept = [r.doc_id for r in shingles.keep_one(docs, shard_rows=5, block_rows=7).collect()]
+    assert kept == [1] and plain_kept(rows, plain_pairs(rows)) == [1]
+    assert shingles.keep_one(docs, radius=0).count() >= len(measured) > 1  # what no tree finds is not linked
+
+
+def test_trees_of_wide_fingerprints():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 64, (400, 2), np.uint64)
+    fps[1::2] = fps[::2] ^ (rng.integers(0, 1 << 64, (200, 2), np.uint64) & rng.integers(0, 1 << 64, (200, 2), np.uint64) & rng.integers(0, 1 << 64, (200, 2), np.uint64))
+    shard = np.sort(rng.integers(0, 5, 400))
+    who, place = simhash.Forest(shard, fps).within(shard, fps, 20)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=int)
+    expected = np.argwhere((apart <= 20) & (shard[:, None] == shard[None]))
+    assert sorted(zip(who.tolist(), place.tolist())) == sorted(map(tuple, expected.tolist())) and len(expected) > 420
+
+
+def test_copies_at_the_limit_share_a_table():
+    rng = np.random.default_rng(4)
+    for size in (30, 300):
+        pairs = []
+        for _ in range(400):
+            s = np.unique(rng.integers(0, 1 << 64, size * 10 // 9, np.uint64))
+            s = rng.permutation(s)
+            part = len(s) // 10
+            pairs.append((shingles.wide_fingerprint(s[part:]), shingles.wide_fingerprint(s[: len(s) - part])))  # similarity 0.8
+        a, b = (np.array(x) for x in zip(*pairs))
+        apart = np.bitwise_count(a ^ b).sum(axis=1)
+        tables = shingles.Tables(200_000, 0.2008, 1e-3)
+        met = (tables.of(a) == tables.of(b)).any(axis=1)
+        assert (apart <= 64).mean() > 0.995 and met.mean() > 0.995

@@ -1,13 +1,15 @@
-"""Near-dedup at an exact Jaccard similarity of word shingles.
+"""Near-dedup at an exact Jaccard similarity of word shingles, by SimHash and BK-trees.
 
-Two texts are near-copies if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more. At 0.8 the
-SimHash fingerprints of such a pair differ in up to 17 of 64 bits, a radius at which segments and BK-trees exclude next to
-nothing. So candidates are the texts that agree in one of ``bands`` bands of ``per_band`` MinHash values each, and each
-candidate pair is compared by its full sets, unless its two texts are linked already.
+Two texts are near-copies if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more. The SimHash
+bits of such a pair differ in a share of at most about arccos(2 least / (1 + least)) / pi, 0.15 at 0.8, which is too much for
+the few segments of ``simhash``. So a text has 256 bits, and many tables of some of these bits each; the texts that agree in
+a table's bits form a shard, whose BK-tree finds those within ``radius`` bits. What is found is compared by
+the full sets, unless the two texts are linked already.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,28 +20,50 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import prepare, written
 from wardline.llm.components import components
-from wardline.llm.simhash import keep_best, shingle_hashes
+from wardline.llm.simhash import differing, keep_best, met_in_shards, shingle_hashes
+
+
+#: Words of 64 bits in a fingerprint.
+WORDS = 4
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or b"", width), np.uint64))
 
 
-class Bands:
-    """``of(s)``: the keys of a shingle set's bands; two sets of similarity j share one with 1 - (1 - j^per_band)^bands."""
+_RNG = np.random.default_rng(5)
+_FACTORS = _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
+_MASKS = _RNG.integers(0, 1 << 64, WORDS, np.uint64)
+
+
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of SimHash: each bit is set if it is in over half the hashes, ``WORDS`` of every shingle."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(s), 255):  # counts of 255 rows fit a byte
+        h = s[i : i + 255, None] * _FACTORS + _MASKS
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(s)).view(np.uint64)
+
 
-    def __init__(self, bands: int, per_band: int, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
-        self.bands, self.per_band = bands, per_band
-        self.masks = rng.integers(0, 1 << 64, bands * per_band, np.uint64)
-        self.factors = rng.integers(0, 1 << 64, bands * per_band, np.uint64) | np.uint64(1)
+class Tables:
+    """Shards by SimHash bits, for ``rows`` sets. Two that differ in a share ``apart`` of the bits agree in the bits of a table
+    but for ``missed``. Bits grow with the rows, so that shards stay short, and tables with the bits."""
 
-    def of(self, s: np.ndarray) -> list[int]:
-        if not len(s):
-            return []
-        parts = [((s[i : i + 1024] ^ self.masks[:, None]) * self.factors[:, None]).min(axis=1) for i in range(0, len(s), 1024)]
-        rows = np.min(parts, axis=0).reshape(self.bands, self.per_band)
-        return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
+    def __init__(self, rows: int, apart: float, missed: float, seed: int = 5) -> None:
+        self.bits = max(4, math.ceil(2 / 3 * math.log2(max(rows, 2))))
+        self.count = math.ceil(math.log(missed) / math.log1p(-((1 - apart) ** self.bits)))
+        chosen = np.random.default_rng(seed).permuted(np.tile(np.arange(64 * WORDS), (self.count, 1)), axis=1)[:, : self.bits]
+        self.weights = np.zeros((64 * WORDS, self.count))
+        for t, bits in enumerate(chosen):
+            self.weights[bits, t] = 2.0 ** np.arange(self.bits)
+
+    def of(self, fps: np.ndarray) -> np.ndarray:
+        """Rows x tables: the shard of each fingerprint in each table."""
+        bits = np.unpackbits(fps.view(np.uint8), axis=1).astype(np.float64)
+        return (bits @ self.weights).astype(np.int64) * self.count + np.arange(self.count)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -50,8 +74,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def linked(sets: list[np.ndarray], keys: list[list[int]], role: list[int], least: float) -> list[int]:
-    """The smallest place reachable from each, over similar pairs that share a key; pairs of a known (1) and a sought (2)."""
+def linked(sets: list[np.ndarray], fps: np.ndarray, role: list[int], radius: int, least: float) -> list[int]:
+    """The smallest place reachable from each, over similar pairs within ``radius``; pairs of a known (1) and a sought (2)."""
     root = list(range(len(sets)))
 
     def top(i: int) -> int:
@@ -60,26 +84,13 @@ def linked(sets: list[np.ndarray], keys: list[list[int]], role: list[int], least
             i = root[i]
         return i
 
-    buckets: dict[int, list[int]] = {}
-    for i, some in enumerate(keys):
-        for k in some:
-            buckets.setdefault(k, []).append(i)
-    tested: set[tuple[int, int]] = set()
-    for bucket in buckets.values():
-        if len(bucket) < 2 or len({top(i) for i in bucket}) == 1:
-            continue
-        known = [i for i in bucket if role[i] & 1]
-        for i in bucket:
-            if not role[i] & 2:
-                continue
-            for j in known:
-                pair = (min(i, j), max(i, j))
-                if i == j or top(i) == top(j) or pair in tested:
-                    continue
-                tested.add(pair)
-                if similar(sets[i], sets[j], least):
-                    low, high = sorted((top(i), top(j)))
-                    root[high] = low
+    roles = np.array(role)
+    known, asked = np.flatnonzero(roles & 1), np.flatnonzero(roles & 2)
+    for i in asked.tolist():
+        for j in known[differing(fps[known], fps[i]) <= radius].tolist():
+            if (j < i or not (roles[i] & roles[j]) == 3) and top(i) != top(j) and similar(sets[i], sets[j], least):
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
     return [top(i) for i in range(len(sets))]
 
 
@@ -90,38 +101,56 @@ def grouped(
     text: str = "text",
     width: int = 5,
     least: float = 0.8,
-    bands: int = 25,
-    per_band: int = 5,
+    radius: int = 64,
+    missed: float = 1e-3,
+    shard_rows: int = 512,
     block_rows: int = 256,
 ) -> DataFrame:
     """``(doc_id, text_hash, node, root)``: each document with a number of its shingle set and of its component.
 
-    Equal sets are one node, and so are all texts without words. What the bands connect is a group; only groups of two nodes
-    or more move their texts, in blocks of ``block_rows`` of which every two meet in one task.
+    Equal sets are one node, and so are all texts without words. What the BK-trees connect is a group; only groups of two nodes
+    or more move their texts, in blocks of ``block_rows`` of which every two meet in one task. ``missed`` is the share of
+    pairs that no table may hold together, where more bits differ than in nearly all pairs of a similarity of ``least``.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    words = [f"w{i}" for i in range(WORDS)]
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Bands(bands, per_band)
         for batch in batches:
-            nodes, keys = [], []
-            for t in batch.column(2):
+            nodes, fps = [], np.empty((batch.num_rows, WORDS), np.uint64)
+            for i, t in enumerate(batch.column(2)):
                 s = shingle_set(t.as_py(), width)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
-                keys.append(hashed.of(s))
+                fps[i] = wide_fingerprint(s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "node", "keys"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), *(pa.array(w.view(np.int64)) for w in fps.T.copy())],
+                ["doc_id", "text_hash", "node", *words],
             )
 
-    found = written(rows.mapInArrow(signed, f"doc_id {kind}, text_hash bigint, node bigint, keys array<bigint>"), "shingles")
-    keyed = found.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("key", "b")
-    groups = components(keyed.join(stars, "key").select(F.col("node").alias("a"), "b"))
+    schema = ", ".join([f"doc_id {kind}, text_hash bigint, node bigint", *(f"{w} bigint" for w in words)])
+    found = written(rows.mapInArrow(signed, schema), "shingles")
+    sets = written(found.groupBy("node").agg(*(F.first(w).alias(w) for w in words)), "shingle-sets")
+    # The share of bits that differ on average at ``least``, and 2.2 standard deviations of 256 bits' share.
+    apart = math.acos(2 * least / (1 + least)) / math.pi
+    apart += 2.2 * math.sqrt(apart * (1 - apart) / (64 * WORDS))
+    tables = Tables(sets.count(), apart, missed)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, *held = (c.to_numpy() for c in batch.columns)
+            values = tables.of(np.stack(held, axis=1))
+            parts = [np.repeat(x, tables.count) for x in (node, *held)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (values.ravel(), *parts)], ["value", "node", *words])
+
+    entries = sets.mapInArrow(dealt, ", ".join(f"{c} bigint" for c in ("value", "node", *words)))
+    large = written(entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows), "shingle-shards")
+    near = met_in_shards(entries, large, radius=radius, shard_rows=shard_rows, node="node", words=tuple(words))
+    groups = components(near)
     groups = groups.select("node", "root").union(groups.select(F.col("root").alias("node"), "root").distinct())
-    # A text of each node; equal sets have equal bands, so any will do.
+    # A text of each node; equal sets have equal fingerprints, so any will do.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     chosen = (
         found.groupBy("node")
@@ -148,20 +177,20 @@ def grouped(
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        hashed = Bands(bands, per_band)
         first: dict[int, int] = {}  # rows that repeat are one node
         for i, n in enumerate(table.column("node").to_pylist()):
             first.setdefault(n, i)
         nodes, places = list(first), list(first.values())
         sets = [shingle_set(table.column("text")[i].as_py(), width) for i in places]
         roles = [table.column("role")[i].as_py() for i in places]
-        root = linked(sets, [hashed.of(s) for s in sets], roles, least)
+        fps = np.array([wide_fingerprint(s) for s in sets])
+        root = linked(sets, fps, roles, radius, least)
         pairs = [(n, nodes[r]) for n, r in zip(nodes, root) if n != nodes[r]]
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     links = texts.groupBy("group", "tree", "sought").applyInArrow(compare, "a bigint, b bigint")
     return (
-        found.drop("keys").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found.drop(*words).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     )
 
 

@@ -57,10 +57,17 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return picked.mapInArrow(hashed, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ, of one word each or of a row of words each."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class Forest:
     """BK-trees of many shards as arrays. ``shard`` is sorted; no shard holds a fingerprint twice."""
 
     def __init__(self, shard: np.ndarray, fps: np.ndarray) -> None:
+        self.bits = BITS * (fps.shape[1] if fps.ndim == 2 else 1)
         self.shards, first = np.unique(shard, return_index=True)
         node = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(shard))))
         rest = np.ones(len(fps), bool)
@@ -69,7 +76,7 @@ class Forest:
         members, edges, count = [first], [], len(first)
         values = fps[first]
         while len(items):  # a level of all trees: the first item at a parent's edge becomes the child, the others go below it
-            edge = at * (BITS + 1) + np.bitwise_count(fps[items] ^ values[at])
+            edge = at * (self.bits + 1) + differing(fps[items], values[at])
             keys, new, at = np.unique(edge, return_index=True, return_inverse=True)
             members.append(items[new])
             edges.append(keys)
@@ -80,24 +87,26 @@ class Forest:
             rest[new] = False
             items, at = items[rest], at[rest]
         self.values = values
+        #: Where each node was in ``fps``.
+        self.places = np.concatenate(members)
         #: Sorted, as a level's nodes come after those of the level above. Edge i leads to node i + number of shards.
         self.edges = np.concatenate(edges) if edges else np.empty(0, np.int64)
 
     def within(self, shard: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index into ``fps``, fingerprint found) of each fingerprint with its shard's within ``radius``."""
-        found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        """Pairs (index into ``fps``, place of the fingerprint found) of each fingerprint with its shard's within ``radius``."""
+        found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         root = np.searchsorted(self.shards, shard)
         for begin in range(0, len(fps), 4096):
             who = np.arange(begin, min(begin + 4096, len(fps)))
             node = root[who]
             while len(who):
-                d = np.bitwise_count(fps[who] ^ self.values[node]).astype(np.int64)
+                d = differing(fps[who], self.values[node])
                 hit = d <= radius
                 found[0].append(who[hit])
-                found[1].append(self.values[node[hit]])
-                base = node * (BITS + 1)
+                found[1].append(self.places[node[hit]])
+                base = node * (self.bits + 1)
                 low = np.searchsorted(self.edges, base + np.maximum(d - radius, 0), "left")
-                width = np.searchsorted(self.edges, base + np.minimum(d + radius, BITS), "right") - low
+                width = np.searchsorted(self.edges, base + np.minimum(d + radius, self.bits), "right") - low
                 who = np.repeat(who, width)
                 step = np.arange(len(who)) - np.repeat(np.cumsum(width) - width, width)
                 node = np.repeat(low, width) + step + len(self.shards)
@@ -105,11 +114,7 @@ class Forest:
 
 
 def links(classes: DataFrame, *, radius: int = 4, shard_rows: int = 512) -> DataFrame:
-    """Links ``(a, b)`` between the distinct ``fp`` of ``classes``, enough to connect all that are within ``radius``.
-
-    A task returns a spanning forest of the pairs it finds, never all pairs of a group. A segment value with more than
-    ``shard_rows`` fingerprints is cut into shards; every two shards meet in one task, as tree and as fingerprints sought.
-    """
+    """Links ``(a, b)`` between the distinct ``fp`` of ``classes``, enough to connect all that are within ``radius``."""
     cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
     keys = [
         F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) * F.lit(64) + F.lit(i)
@@ -117,33 +122,58 @@ def links(classes: DataFrame, *, radius: int = 4, shard_rows: int = 512) -> Data
     ]
     rows = classes.select("fp", F.explode(F.array(*keys)).alias("value"))
     large = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)
+    return met_in_shards(rows, large, radius=radius, shard_rows=shard_rows)
+
+
+def met_in_shards(
+    rows: DataFrame, large: DataFrame, *, radius: int, shard_rows: int, node: str = "fp", words: tuple[str, ...] = ("fp",)
+) -> DataFrame:
+    """Links ``(a, b)`` between the ``node`` of ``rows``, enough to connect all that share a ``value`` and whose fingerprints,
+    of one or more ``words``, are within ``radius``.
+
+    A task returns a spanning forest of the pairs it finds, never all pairs of a group. A value with more than ``shard_rows``
+    rows (``large``: ``value``, ``n``) is cut into shards; every two shards meet in one task, as tree and as fingerprints sought.
+    """
+    fields = list(dict.fromkeys([node, *words]))
     split = (
         rows.join(large, "value", "left")
         .withColumn("shards", F.coalesce(F.ceil(F.col("n") / shard_rows), F.lit(1)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), "shards").cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64(node), "shards").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
         .select(
             "value",
             F.least("own", "other").alias("tree"),
             F.greatest("own", "other").alias("sought"),
             F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"),
-            "fp",
+            *fields,
         )
     )
 
-    def search(value: np.ndarray, tree: np.ndarray, sought: np.ndarray, role: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def search(columns: list[np.ndarray]) -> pa.RecordBatch:
+        value, tree, sought, role, named = columns[:5]
+        held = [columns[4 + fields.index(w)].view(np.uint64) for w in words]
         fresh = np.ones(len(value), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (tree[1:] != tree[:-1]) | (sought[1:] != sought[:-1])
         shard = np.cumsum(fresh)
+        a, b = [], []
+        if len(held) == 1:
+            fps = held[0]
+        else:  # nodes of one shard can share a fingerprint: the first of each role stands for all
+            order = np.lexsort((*held, role, shard))
+            shard, role, named = shard[order], role[order], named[order]
+            fps = np.stack([w[order] for w in held], axis=1)
+            first = np.ones(len(order), bool)
+            first[1:] = (shard[1:] != shard[:-1]) | (role[1:] != role[:-1]) | (fps[1:] != fps[:-1]).any(axis=1)
+            stands = named[first][np.cumsum(first) - 1]
+            a, b = [named[~first]], [stands[~first]]
+            shard, role, named, fps = shard[first], role[first], named[first], fps[first]
         known, asked = role & 1 > 0, role & 2 > 0
         who, other = Forest(shard[known], fps[known]).within(shard[asked], fps[asked], radius)
-        mine = fps[asked][who]
-        nodes, index = np.unique(np.concatenate([mine, other]), return_inverse=True)
-        root = local_roots(len(nodes), index[: len(mine)], index[len(mine) :])
+        a, b = np.concatenate([*a, named[asked][who]]), np.concatenate([*b, named[known][other]])
+        nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(nodes), index[: len(a)], index[len(a) :])
         linked = root != np.arange(len(nodes))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(nodes[linked].view(np.int64)), pa.array(nodes[root[linked]].view(np.int64))], ["a", "b"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["a", "b"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -158,11 +188,10 @@ def links(classes: DataFrame, *, radius: int = 4, shard_rows: int = 512) -> Data
                 )
                 end = last[-1] + 1 if len(last) else 0  # the last group may go on in the next batch
                 if end:
-                    yield search(*(c[:end] for c in columns[:4]), columns[4][:end].view(np.uint64))
+                    yield search([c[:end] for c in columns])
                 held, size = [[c[end:] for c in columns]], len(columns[0]) - end
         if size:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            yield search(*columns[:4], columns[4].view(np.uint64))
+            yield search([np.concatenate(c) for c in zip(*held)])
 
     dealt = split.repartition("value", "tree", "sought").sortWithinPartitions("value", "tree", "sought")
     return dealt.mapInArrow(searched, "a bigint, b bigint")

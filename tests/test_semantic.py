@@ -383,3 +383,15 @@ def test_vocabulary_terms_at_any_depth(spark):
     expected = {("deep", f"s{k}"): (f"saref:t{k}", None) for k in range(1, 7)}
     expected |= {("deep", "s2"): ("saref:late", "@id"), ("deep", "leaf"): ("qudt:unit", "xsd:string"), ("flat", "a"): ("dct:title", None)}
     assert got == expected
+
+
+def test_tautology_fold_only_where_a_side_can_repeat(spark):
+    cases = {
+        "SELECT a FROM t WHERE a = b AND c = d": None, "SELECT a FROM t WHERE x == x": "warn", "SELECT a FROM t WHERE (x = x)": "warn",
+        "SELECT a FROM t WHERE a = 1 OR lower(x) = lower(x)": "reject", "x = x": "warn", "= x": None, "x =": None,
+        "SELECT a FROM t WHERE 'a=b' = 'a=b'": "warn", "SELECT a FROM t WHERE NOT f(a, 'q') = f(a, 'q') OR b": "reject",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "sql string").select("sql", screening.tautology_severity(F.col("sql")).alias("s"))
+    assert {r.sql: r.s for r in df.collect()} == cases
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("arrays_overlap") < plan.find("aggregate(")

@@ -125,8 +125,10 @@ def _severity(text: Column) -> Column:
 
     def judged(words: Column) -> Column:
         kinds = F.transform(words, lambda t, i: F.struct(_kind(t).alias("kind"), i.alias("at")))
-        marks = F.filter(kinds, lambda e: e["kind"] > 0)
-        opened = F.size(F.filter(kinds, lambda e: e["kind"] == _OPEN))
+        return _let(F.filter(kinds, lambda e: e["kind"] > 0), lambda marks: folded(words, marks))
+
+    def folded(words: Column, marks: Column) -> Column:
+        opened = F.size(F.filter(marks, lambda e: e["kind"] == _OPEN))
         ends = F.transform(F.sequence(F.lit(0), opened), lambda i: F.struct(F.lit(_CLOSE).alias("kind"), (F.size(words) + i).alias("at")))
 
         def step(s: Column, e: Column) -> Column:
@@ -172,7 +174,16 @@ def _severity(text: Column) -> Column:
         )
         return F.aggregate(F.concat(marks, ends), start, step, lambda s: F.when(s["rejected"], "reject").when(s["found"], "warn"))
 
-    return F.when(text.contains("="), _let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), judged))
+    def possible(words: Column) -> Column:
+        """Whether a token after an equals sign also stands elsewhere, as the first of two equal sides does."""
+        signed = lambda i: F.coalesce(F.get(words, i - 1).isin("=", "=="), no)
+        after, elsewhere = F.filter(words, lambda t, i: signed(i)), F.filter(words, lambda t, i: ~signed(i))
+        return F.arrays_overlap(after, elsewhere)
+
+    return F.when(
+        text.contains("="),
+        _let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda words: F.when(possible(words), judged(words))),
+    )
 
 
 def _not_select(words: Column) -> Column:

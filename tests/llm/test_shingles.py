@@ -110,3 +110,18 @@ def test_copies_at_the_limit_share_a_table():
         tables = shingles.Tables(200_000, 0.2008, 1e-3)
         met = (tables.of(a) == tables.of(b)).any(axis=1)
         assert (apart <= 64).mean() > 0.995 and met.mean() > 0.995
+
+
+def test_kept_rows_move_once(spark):
+    docs = spark.createDataFrame([(1, "a b", 1), (None, "a b", 2), (None, "c", 3), (None, "c", 4)], "doc_id bigint, text string, _key int")
+    rows = spark.createDataFrame([(None, "c", 7), (1, "a b", 8)], "doc_id bigint, text string, root bigint")
+    rows = rows.selectExpr("doc_id", "xxhash64(text) AS text_hash", "root")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_best(docs, rows, doc_id="doc_id", text="text")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3  # by root, and either side of the join; the distinct rows stay
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "c"), (1, "a b")]

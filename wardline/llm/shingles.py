@@ -160,11 +160,9 @@ def grouped(
     )
     chosen = written(chosen, "shingle-groups")
     sizes = chosen.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    placed = chosen.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))  # before texts come in
     texts = (
-        rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-        .select("node", "group", "text")
-        .join(sizes, "group")
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        rows.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "group",

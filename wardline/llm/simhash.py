@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import prepare, written
+from wardline.llm.common import free_name, prepare, written
 from wardline.llm.components import components, local_roots
 
 BITS = 64
@@ -225,11 +225,12 @@ def keep_best(docs: DataFrame, rows: DataFrame, *, doc_id: str, text: str) -> Da
     best = rows.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
     )
-    stay = best.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.text_hash").alias("_keep_hash"))
-    found = docs.withColumn("_hash", F.xxhash64(text)).join(
-        stay, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi"
-    )
-    return found.dropDuplicates([doc_id, "_hash"]).select(*docs.columns)
+    # One key, in which null ids are equal: rows that met in the join need not move again for the distinct ones.
+    key = lambda i, h: F.struct(i.alias("id"), h.alias("hash"))
+    stay = best.select(key(F.col("best.doc_id"), F.col("best.text_hash")).alias("_keep"))
+    name = free_name(docs, "_key")
+    found = docs.withColumn(name, key(F.col(doc_id), F.xxhash64(text)).cast(stay.schema["_keep"].dataType))
+    return found.join(stay, F.col(name) == F.col("_keep"), "left_semi").dropDuplicates([name]).drop(name)
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

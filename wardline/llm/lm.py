@@ -78,11 +78,12 @@ class Vocabulary:
         self.rare, self.end = ids[b" rare"], ids[END]
         self.id_of = np.array([ids.get(t, self.rare) for t in self.tokens], np.int32)
         self.id_of[self.own :] = self.rare
+        self.id_of = np.append(self.id_of, np.int32(self.rare))  # the last for words outside
 
     def ids(self, split: list[bytes]) -> np.ndarray:
         get, none = self.place.get, len(self.tokens)
         at = np.array([get(w, none) for w in split], np.int64)
-        return np.append(np.append(self.id_of, self.rare)[at], self.end).astype(np.int32)
+        return np.append(self.id_of[at], np.int32(self.end))
 
 
 def vocabulary(counts: DataFrame, frequent: int, own: int) -> Vocabulary:
@@ -184,7 +185,6 @@ def document_scores(
         number = TaskContext.get().partitionId() << 33
         base_log = np.append(np.log10(vocab.counts + 1.0), 0.0)
         rare_log = np.where(np.arange(len(base_log)) >= vocab.own, base_log, 0.0)
-        id_of = np.append(vocab.id_of, vocab.rare)
         get, none = vocab.place.get, len(vocab.tokens)
         end = vocab.place.get(END, none)
 
@@ -212,7 +212,7 @@ def document_scores(
                 odd = Counter([split[j] for j in np.flatnonzero(at[:-1] == none).tolist()])
                 if end == none and vocab.n:  # the end itself may be outside the frequent words
                     odd[END] += 1
-                ids = id_of[at]
+                ids = vocab.id_of[at]
                 ids[-1] = vocab.end
                 frequent_ = at < none
                 n_rare = int((ids == vocab.rare).sum())

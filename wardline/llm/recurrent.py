@@ -64,71 +64,85 @@ class Net:
             return Net(**{n: held[n] for n in (*NAMES, "bounds")})
 
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-        """States after each step of a window ``x`` (time x lanes), the last state, and what backpropagation needs."""
+        """States after each step of a window ``x`` (time x lanes), the last state, and what backpropagation needs.
+
+        Within, lanes are the last axis, so that each gate is one piece of memory.
+        """
         size = h.shape[1]
-        states = np.empty((*x.shape, size), np.float32)
-        gates, wh = self.wx[x], self.wh.copy()
-        half = np.float32(0.5)
-        gates[:, :, : 2 * size] *= half  # a gate is tanh(a / 2) / 2 + 1 / 2
-        wh[:, : 2 * size] *= half
+        gates = np.ascontiguousarray(self.wx[x].transpose(0, 2, 1))
+        wht, h = np.ascontiguousarray(self.wh.T), np.ascontiguousarray(h.T)
+        np.negative(gates[:, : 2 * size], out=gates[:, : 2 * size])  # a gate is 1 / (1 + exp(-a))
+        np.negative(wht[: 2 * size], out=wht[: 2 * size])
+        states = np.empty((len(x), size, x.shape[1]), np.float32)
         begins = fresh.any(axis=1)
         tape = []
-        for t in range(len(x)):
-            if begins[t]:
-                h = h * ~fresh[t][:, None]
-            own = h @ wh
-            zr = own[:, : 2 * size] + gates[t, :, : 2 * size]
-            np.tanh(zr, out=zr)
-            zr *= half
-            zr += half
-            z, r = zr[:, :size], zr[:, size:]
-            n = r * own[:, 2 * size :]
-            n += gates[t, :, 2 * size :]
-            np.tanh(n, out=n)
-            if keep:
-                tape.append((h, z, r, n, own[:, 2 * size :]))
-            h = h - n
-            h *= z
-            h += n
-            states[t] = h
-        return states, h, tape
+        with np.errstate(over="ignore"):
+            for t in range(len(x)):
+                if begins[t]:
+                    h = h * ~fresh[t]
+                own = wht @ h
+                zr = own[: 2 * size] + gates[t, : 2 * size]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                z, r = zr[:size], zr[size:]
+                n = r * own[2 * size :]
+                n += gates[t, 2 * size :]
+                np.tanh(n, out=n)
+                if keep:
+                    tape.append((h, z, r, n, own[2 * size :]))
+                h = h - n
+                h *= z
+                h += n
+                states[t] = h
+        return states.transpose(0, 2, 1), h.T, tape
 
     def emit(self, h: np.ndarray, y: np.ndarray, learn: bool = False) -> tuple[np.ndarray, tuple | None]:
         """Natural log-probability of each word ``y`` after state ``h``; with ``learn`` the gradients of minus their sum."""
         of = self.class_of[y]
         order = np.argsort(of, kind="stable")
-        h, y, of = h[order], y[order], of[order]
+        y, of = y[order], of[order]
+        h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)[order]  # the last column meets the biases
+        wc, wo = np.column_stack([self.wc, self.bc]), np.column_stack([self.wo, self.bo])
+        # No logit is larger than this, so that exp() neither overflows nor vanishes where it is small.
+        most = max(float(h.max()), -float(h.min()), 0.0)
+        sizes = np.maximum.reduceat(np.abs(wo).sum(axis=1), self.bounds[:-1]) * most
         rows = np.arange(len(y))
 
-        def soft(logits: np.ndarray, target: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """Log-probabilities of the targets; ``logits`` become probabilities."""
-            if not (-60 < logits.min() and logits.max() < 60):  # exp() neither overflows nor vanishes between
+        def soft(logits: np.ndarray, target: np.ndarray, at: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Log-probabilities of the targets and a column of 1 / sums; with ``learn``, ``logits`` become the gradients
+            but for that factor."""
+            if not small:
                 logits -= logits.max(axis=1, keepdims=True)
             chosen = logits[at, target]
             np.exp(logits, out=logits)
             total = logits @ np.ones(logits.shape[1], logits.dtype)
             if learn:
-                logits /= total[:, None]
-            return chosen - np.log(total)
+                logits[at, target] -= total
+            return chosen - np.log(total), 1 / total[:, None]
 
-        p = h @ self.wc.T + self.bc
-        logp = soft(p, of, rows)
+        p = h @ wc.T
+        logp, factor = soft(p, of, rows, float(np.abs(wc).sum(axis=1).max()) * most < 60)
         grads, back = None, None
         if learn:
-            p[rows, of] -= 1
             back = p @ self.wc
-            grads = [p.T @ h, p.sum(axis=0), []]
+            back *= factor
+            dw = p.T @ (h * factor)
+            grads = [dw[:, :-1], dw[:, -1], []]
         edges = np.searchsorted(of, np.arange(len(self.bounds)))
-        for c in np.flatnonzero(np.diff(edges)):
+        for c in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[c], edges[c + 1])
             words = slice(self.bounds[c], self.bounds[c + 1])
-            q = h[part] @ self.wo[words].T + self.bo[words]
-            at, target = rows[: len(q)], y[part] - self.bounds[c]
-            logp[part] += soft(q, target, at)
+            held = h[part]
+            q = held @ wo[words].T
+            found, factor = soft(q, y[part] - self.bounds[c], rows[: len(q)], sizes[c] < 60)
+            logp[part] += found
             if learn:
-                q[at, target] -= 1
-                back[part] += q @ self.wo[words]
-                grads[2].append((words, q.T @ h[part], q.sum(axis=0)))
+                more = q @ self.wo[words]
+                more *= factor
+                back[part] += more
+                dw = q.T @ (held * factor)
+                grads[2].append((words, dw[:, :-1], dw[:, -1]))
         out = np.empty_like(logp)
         out[order] = logp
         if learn:
@@ -140,10 +154,10 @@ class Net:
     def back(self, x: np.ndarray, fresh: np.ndarray, tape: list, dstates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients for ``wh`` and for the rows of ``wx`` used at each step, within the window only."""
         size = self.wh.shape[0]
-        dgates = np.empty((*x.shape, 3 * size), np.float32)
-        before = np.empty((*x.shape, size), self.wh.dtype)
-        downs = np.empty((*x.shape, 3 * size), self.wh.dtype)
-        wht = np.ascontiguousarray(self.wh.T)
+        dstates = np.ascontiguousarray(dstates.transpose(0, 2, 1))
+        dgates = np.empty((len(x), 3 * size, x.shape[1]), np.float32)
+        dwh = np.zeros_like(self.wh)
+        down = np.empty((3 * size, x.shape[1]), self.wh.dtype)
         begins = fresh.any(axis=1)
         dh = np.zeros_like(dstates[0])
         for t in range(len(x) - 1, -1, -1):
@@ -155,21 +169,20 @@ class Net:
             dz *= z
             dz *= dn  # dh (h - n) z (1 - z)
             dn *= 1 - n * n
-            down = downs[t]
             rest = dn * r
-            down[:, :size] = dz
-            down[:, 2 * size :] = rest
+            down[:size] = dz
+            down[2 * size :] = rest
             rest *= 1 - r
             rest *= own
-            down[:, size : 2 * size] = rest
-            dgates[t, :, : 2 * size] = down[:, : 2 * size]
-            dgates[t, :, 2 * size :] = dn
-            before[t] = h
-            dh = down @ wht
+            down[size : 2 * size] = rest
+            dgates[t, : 2 * size] = down[: 2 * size]
+            dgates[t, 2 * size :] = dn
+            dwh += h @ down.T
+            dh = self.wh @ down
             dh += keeps
             if begins[t]:
-                dh *= ~fresh[t][:, None]
-        return before.reshape(-1, size).T @ downs.reshape(-1, 3 * size), dgates
+                dh *= ~fresh[t]
+        return dwh, dgates.transpose(0, 2, 1)
 
 
 def lanes(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
